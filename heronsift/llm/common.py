@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six white-space characters that the contracts name, as a regex class body.
@@ -72,3 +72,12 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, seed: str = "") -> DataFr
     total = df.count()
     share = min(1.0, 1.2 * rows / total + 40 / total) if total else 1.0
     return df.filter(h < int(share * (1 << 40)) + 1).orderBy(h, F.col(key)).limit(rows)
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``hs_k_id`` and ``hs_k_loc``, one of those that repeat."""
+    loc, n = free_name(docs, "hs_locator"), free_name(docs, "hs_rank")
+    marked = docs.withColumn(loc, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("hs_k_id")) & (F.col(loc) == F.col("hs_k_loc"))
+    one = Window.partitionBy(F.col(id_col).cast("long"), loc).orderBy(F.lit(1))
+    return marked.join(keep, same, "left_semi").withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).drop(loc, n)

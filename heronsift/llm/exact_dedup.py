@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, new_path, written
+from .common import SPACE, keep_rows, new_path, written
 
 #: Hits reach the byte check through this many hash buckets, whatever their number.
 HIT_BUCKETS = 1 << 20
@@ -141,13 +141,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    loc, n = free_name(docs, "hs_locator"), free_name(docs, "hs_rank")
     keep = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("hs_k_id"), F.col("locator").alias("hs_k_loc")).distinct()
-    from pyspark.sql import Window
-
-    marked = docs.withColumn(loc, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("hs_k_id")) & (F.col(loc) == F.col("hs_k_loc"))
-    kept = marked.join(keep, same, "left_semi")
-    # Repeated rows share id and text: one of them stays.
-    one = Window.partitionBy(F.col(id_col).cast("long"), loc).orderBy(F.lit(1))
-    return kept.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).drop(loc, n)
+    return keep_rows(docs, keep, id_col, text_col)

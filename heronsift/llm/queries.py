@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, token_files, url_rules
+from . import exact_dedup, mixing, packing, simhash, token_files, url_rules
 from .common import new_path
 from .sql import OP3_SQL, OP7_SQL, OP8_SQL
 
@@ -41,6 +41,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-copy component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files, read back and digested."""
     path = new_path(spark, "token-files")
@@ -48,5 +54,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op7_exact_dedup, op8_url_filter, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op7_exact_dedup, op8_url_filter, op9_simhash, op10_token_files)}
 ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
