@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, token_files, toxicity, url_rules
+from . import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity, url_rules
 from .common import new_path
 from .sql import OP3_SQL, OP7_SQL, OP8_SQL
 
@@ -26,6 +26,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1."""
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,5 +66,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_packing, op7_exact_dedup, op8_url_filter, op9_simhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_packing, op7_exact_dedup, op8_url_filter, op9_simhash, op10_token_files)}
 ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
