@@ -134,3 +134,15 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
                 yield pa.RecordBatch.from_arrays([*(s.column(k) for k in kept), *(pa.array(e[:, k]) for k in range(len(EVIDENCE)))], [*(s.schema.names[k] for k in kept), *EVIDENCE])
 
     return run, ", ".join(f"{c} double" for c in EVIDENCE), w
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, label: str = "quality", mod: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns.
+
+    The scores are worked out beside the rows they belong to, so nothing is shuffled.
+    """
+    run, schema, w = fitted(docs, labels, label, mod, held, sample_docs, id_col, text_col)
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # any names may occur in docs
+    row = docs.toDF(*plain).select(F.struct(*plain).alias("row"), F.col(plain[docs.columns.index(text_col)]).alias("text"))
+    scored = row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, {schema}").filter(logistic(w) >= least)
+    return scored.select("row.*").toDF(*docs.columns)
