@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, mixing, packing, quality, simhash, token_files, toxicity, url_rules
+from . import ann, exact_dedup, mixing, packing, quality, simhash, substring_dedup, token_files, toxicity, url_rules
 from .common import new_path
 from .sql import OP3_SQL, OP7_SQL, OP8_SQL
 
@@ -42,6 +42,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of documents that other documents hold too."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every 20th embedding."""
     return ann.search(table(spark, sf_dir, "embeddings"))
@@ -71,5 +76,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_packing, op6_ann, op7_exact_dedup, op8_url_filter, op9_simhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_packing, op5_substring_dedup, op6_ann, op7_exact_dedup, op8_url_filter, op9_simhash, op10_token_files)}
 ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
