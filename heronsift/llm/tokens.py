@@ -5,8 +5,8 @@ a visible character into following white space.  A text may therefore be cut
 before every white-space run and each chunk encoded alone: the ids of the text
 are the ids of its chunks in order.  Chunks recur heavily, so a bounded memo
 answers most of them and only unseen chunks reach the library.  Texts in which
-that argument needs care (exotic spaces, control separators, literal special
-tokens) are passed whole to the library.
+that argument needs care (control separators, literal special tokens) are
+passed whole to the library.
 """
 
 from __future__ import annotations
@@ -17,15 +17,28 @@ from itertools import chain
 
 import numpy as np
 
-#: Characters on which Python's and the tokenizer's idea of white space may
-#: differ or which are white space beyond ASCII, and the lead-in of special tokens.
-_DELICATE = re.compile(
-    r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|"
-)
+#: What sends a text to the library whole: separators that only Python takes
+#: for white space, and the lead-in of special tokens.
+_DELICATE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _CHUNK_WITH_SPACE = re.compile(r"\s*\S+|\s+")
 
-#: Chunks in one generation of the memo; two generations are held (about 150 MB).
-MEMO_ENTRIES = 350_000
+#: Punctuation that may follow a word; no apostrophe, which begins contractions.
+_PUNCTUATION = ".,!?;:*&%$#|"
+#: Words of characters under this one stay as they are in normalisation.
+_PLAIN = "\u0250"
+#: Words that go to the library in one line.
+_LINE = 64
+
+#: Chunks in one generation of the memo; two generations are held (about 200
+#: bytes a chunk).
+MEMO_ENTRIES = 800_000
+
+
+class _Places(dict):
+    """Places of known chunks; -1 for others."""
+
+    def __missing__(self, chunk: str) -> int:
+        return -1
 
 
 class ChunkEncoder:
@@ -44,32 +57,92 @@ class ChunkEncoder:
         self._tok.no_padding()
         self._tok.no_truncation()
         self._cut = _CHUNK_WITH_SPACE.findall if spaces_matter else str.split
+        self._spaces = spaces_matter
         self._room = memo_entries
+        # Byte-level tokens that begin a word carry a mark, or those that end one do.
+        size = self._tok.get_vocab_size(with_added_tokens=True)
+        names = [self._tok.id_to_token(k) or "" for k in range(size)]
+        self._mark = np.array([x[:1] == "\u0120" if spaces_matter else x.endswith("</w>") for x in names])
         self._turn()
 
     def _turn(self) -> None:
         """Start a generation: the running one becomes the previous one."""
-        self._old = getattr(self, "_young", None) or ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        self._young: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._old = getattr(self, "_young", None) or (_Places(), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._young: tuple[_Places, np.ndarray, np.ndarray] = (_Places(), np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _learn(self, chunks: set[str]) -> None:
-        known, flat, ends = self._young
-        old, old_flat, old_ends = self._old
-        moved = [c for c in chunks if c in old]
-        fresh = list(chunks.difference(moved))
+        """Make chunks known, with the words inside them.
+
+        A word and the punctuation after it are tokens of their own, so their
+        ids join; the library sees each word once, whatever stands around it.
+        """
+        old, young = self._old[0], self._young[0]
+        joined: list[tuple[str, str, str]] = []
+        primary: set[str] = set()
+        for c in chunks:
+            if c in old:
+                primary.add(c)
+                continue
+            core = c.rstrip(_PUNCTUATION)
+            word = core if self._spaces else core.lower()
+            if word != c and self._is_word(word):
+                joined.append((c, word, c[len(core) :]))
+                primary.add(word)
+                primary.add(c[len(core) :])
+            else:
+                primary.add(c)
+        primary.difference_update(young)
+        moved = [c for c in primary if c in old]
+        primary.difference_update(moved)
+        words = [c for c in primary if self._is_word(c)]
+        fresh, sizes, new = self._encode_words(words)
+        rest = list(primary.difference(fresh))
         ids: list[list[int]] = []
-        for lo in range(0, len(fresh), 4096):
-            ids += [e.ids for e in self._tok.encode_batch_fast(fresh[lo : lo + 4096], add_special_tokens=False)]
+        for lo in range(0, len(rest), 4096):
+            ids += [e.ids for e in self._tok.encode_batch_fast(rest[lo : lo + 4096], add_special_tokens=False)]
         at = np.fromiter(map(old.__getitem__, moved), np.int64, len(moved))
-        old_n = old_ends[at + 1] - old_ends[at]
-        n = np.concatenate([old_n, np.fromiter(map(len, ids), np.int64, len(ids))])
-        new = np.fromiter(chain.from_iterable(ids), np.uint32)
-        known.update(zip(chain(moved, fresh), range(len(known), len(known) + len(chunks))))
-        self._young = (
-            known,
-            np.concatenate([flat, _gather(old_flat, old_ends[at], old_n), new]),
-            np.concatenate([ends, ends[-1] + np.cumsum(n)]),
-        )
+        old_n = self._old[2][at + 1] - self._old[2][at]
+        n = np.concatenate([old_n, sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        flat = [_gather(self._old[1], self._old[2][at], old_n), new, np.fromiter(chain.from_iterable(ids), np.uint32)]
+        self._add([*moved, *fresh, *rest], np.concatenate(flat), n)
+        joined = [j for j in joined if j[0] not in young]
+        at = np.fromiter((young[x] for j in joined for x in j[1:]), np.int64, 2 * len(joined))
+        _, flat, ends = self._young
+        n = ends[at + 1] - ends[at]
+        self._add([j[0] for j in joined], _gather(flat, ends[at], n), n[0::2] + n[1::2])
+
+    def _is_word(self, chunk: str) -> bool:
+        """Letters only, after one space where spaces matter: one cut of the tokenizer's pattern."""
+        if self._spaces:
+            return chunk[:1] == " " and chunk[1:].isalpha() and max(chunk) < _PLAIN
+        return chunk.isalpha() and max(chunk) < _PLAIN
+
+    def _encode_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Encode words a line at a time; marks in the vocabulary tell them apart."""
+        glue = "" if self._spaces else " "
+        lines = [words[lo : lo + _LINE] for lo in range(0, len(words), _LINE)]
+        done, sizes, flat = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for line, e in zip(lines, self._tok.encode_batch_fast([glue.join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(self._mark[ids])
+            if len(marks) == len(line):  # else these words are encoded one by one
+                cuts = np.append(marks, len(ids)) if self._spaces else np.concatenate([[0], marks + 1])
+                done += line
+                sizes.append(np.diff(cuts))
+                flat.append(ids)
+        return done, np.concatenate(sizes), np.concatenate(flat)
+
+    def _add(self, chunks: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        known, flat, ends = self._young
+        used, rows = int(ends[len(known)]), len(known)
+        known.update(zip(chunks, range(rows, rows + len(chunks))))
+        if used + len(ids) > len(flat):
+            flat = np.concatenate([flat[:used], np.zeros(used + 2 * len(ids), np.uint32)])
+        if len(known) + 1 > len(ends):
+            ends = np.concatenate([ends[: rows + 1], np.zeros(rows + 2 * len(chunks), np.int64)])
+        flat[used : used + len(ids)] = ids
+        ends[rows + 1 : rows + 1 + len(chunks)] = used + np.cumsum(n)
+        self._young = (known, flat, ends)
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -77,17 +150,19 @@ class ChunkEncoder:
     def encode_many(self, texts) -> list[np.ndarray]:
         """Ids of each text; null counts as the empty text."""
         cut = self._cut
-        whole = {i: t for i, t in enumerate(texts) if t and _DELICATE.search(t)}
+        whole = {i: t for i, t in enumerate(texts) if t and any(x in t for x in _DELICATE)}
         parts = [[] if i in whole else cut(t or "") for i, t in enumerate(texts)]
         every = list(chain.from_iterable(parts))
-        unseen = set(every).difference(self._young[0])
-        if unseen:
+        at = np.fromiter(map(self._young[0].__getitem__, every), np.int64, len(every))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unseen = {every[i] for i in new.tolist()}
             if len(self._young[0]) + len(unseen) > self._room:
                 self._turn()
-                unseen = set(every)
+                unseen, new = set(every), np.arange(len(every))
             self._learn(unseen)
-        known, flat, ends = self._young
-        at = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+            at[new] = np.fromiter((self._young[0][every[i]] for i in new.tolist()), np.int64, len(new))
+        _, flat, ends = self._young
         n = ends[at + 1] - ends[at]
         ids = _gather(flat, ends[at], n)
         cuts = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(p) for p in parts])[:-1]] if len(parts) > 1 else []
