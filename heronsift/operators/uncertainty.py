@@ -139,7 +139,7 @@ def dirichlet_mrr(df: DataFrame, by: list[str], draws: int = 100, k: int = 5) ->
     normal = F.sqrt(-2 * F.log(md5_uniform(label, F.col("b"), F.col("slot"), F.lit("r")))) * F.cos(2 * math.pi * md5_uniform(label, F.col("b"), F.col("slot"), F.lit("t")))
     wilson_hilferty = F.col("a") * F.pow(F.greatest(F.lit(0.0), 1 - 1 / (9 * F.col("a")) + normal / (3 * F.sqrt("a"))), 3)
     g = F.when(F.col("a") <= 1.0, -F.log(md5_uniform(label, F.col("b"), F.col("slot"), F.lit("e")))).otherwise(wilson_hilferty)
-    s = d.withColumn("g", g).groupBy(*by, "b").agg((F.sum(F.col("g") * F.col("v")) / F.sum("g")).alias("s"))
+    s = d.withColumn("gamma_weight", g).groupBy(*by, "b").agg((F.sum(F.col("gamma_weight") * F.col("v")) / F.sum("gamma_weight")).alias("s"))
     return s.groupBy(*by).agg(F.avg("s").alias("mean"), F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"))
 
 
