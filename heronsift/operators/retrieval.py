@@ -29,7 +29,8 @@ def bm25_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "tex
     ``tf``: chunk_id, term, tf, dl; ``df``: term, df; ``stats``: one row with n, avgdl.
     """
     t = terms(F.col(text_col))
-    tf = chunks.select(F.col(id_col).alias("chunk_id"), F.size(t).alias("dl"), F.explode(t).alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Terms are worked out below the explosion, else their number would be worked out per term.
+    tf = chunks.select(F.col(id_col).alias("chunk_id"), t.alias("ts")).select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(t)).alias("avgdl"))
     return {"tf": tf, "df": tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "stats": stats}
 
