@@ -53,7 +53,7 @@ def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """Code points of all words with start and end marks, the place of each
     character to predict, and the word that it belongs to."""
     pad = _START * (order - 1)
-    flat = np.frombuffer("".join([pad + w + _END for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    flat = np.frombuffer("".join([pad + w + _END for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.flatnonzero(flat != ord(_START))
     # A start mark inside a word is only a character less to predict.
     lengths = np.fromiter((len(w) + order for w in words), np.int64, len(words))
@@ -65,7 +65,7 @@ def _keys(flat: np.ndarray, at: np.ndarray, length: int, skip: int = 0) -> np.nd
     """A 64-bit key of the ``length`` characters that end ``skip`` before each place."""
     key = np.full(len(at), length + 1, np.uint64)
     for k in range(length - 1, -1, -1):
-        key = (key ^ (flat[at - k - skip] + np.uint64(1))) * _PRIME
+        key = (key ^ (flat[at - k - skip].astype(np.uint64) + np.uint64(1))) * _PRIME
         key ^= key >> np.uint64(29)
     return key
 
@@ -79,7 +79,7 @@ def _tally(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def fit_tables(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, d: float = DISCOUNT) -> dict[str, np.ndarray]:
     """The pair of models as tables, from each word's count in either class."""
     flat, at, owner = _grams(words, order)
-    weights = (toxic.astype(float)[owner], ordinary.astype(float)[owner])
+    weights = (toxic.astype(np.float32)[owner], ordinary.astype(np.float32)[owner])
     # Shared chain: probabilities of every distinct top sequence's suffixes.
     top, first = np.unique(_keys(flat, at, order), return_index=True)
     places = at[first]
@@ -214,12 +214,12 @@ def toxicity(
     # Word counts of the bounded sample, by class and fold.
     words = rows.select("label", "fold", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
     sums = [F.count(F.when((F.col("label") == k) & (F.col("fold") == f), 1)).alias(f"n{k}{f}") for k in (0, 1) for f in range(FOLDS)]
-    counts = words.groupBy("word").agg(*sums).toPandas()
-    table, total = counts["word"].tolist(), {(k, f): counts[f"n{k}{f}"].to_numpy(float) for k in (0, 1) for f in range(FOLDS)}
+    counts = words.groupBy("word").agg(*sums).toArrow()  # compact: rows as Python objects would take ten times as much
+    table, total = counts.column("word").to_pylist(), {(k, f): counts.column(f"n{k}{f}").to_numpy().astype(np.float32) for k in (0, 1) for f in range(FOLDS)}
     del counts
 
     def without(fold_out: int | None) -> dict[str, np.ndarray]:
-        n = [sum(total[k, f] for f in range(FOLDS) if f != fold_out) + np.zeros(len(table)) for k in (0, 1)]
+        n = [sum((total[k, f] for f in range(FOLDS) if f != fold_out), np.zeros(len(table), np.float32)) for k in (0, 1)]
         held_in = np.flatnonzero(n[0] + n[1] > 0)
         if not len(held_in):
             return NOTHING
