@@ -127,6 +127,18 @@ def test_chains_equal_quadratic_search():
         assert best[end] == pytest.approx(max(best))
 
 
+def test_two_passages_about_unlike_words(spark):
+    # A common header and footer of 55 words about own words, in two documents each.
+    rows, want = [], set()
+    for i, gap in enumerate([20, 40, 60, 100, 150, 200, 300] * 3):
+        head, foot = words(55), words(55)
+        rows += [(2 * i + j, " ".join(words(30) + head + words(gap) + foot + words(30))) for j in range(2)]
+        want |= {(2 * i, 30 + k) for k in range(55)} | {(2 * i, 85 + gap + k) for k in range(55)}
+    got = substring_dedup.passages(docs(spark, rows)).collect()
+    covered = {(min(r.doc_id, r.other_id), w) for r in got for w in range(r.start, r.start + r.length)}
+    assert want <= covered and all(abs(r.doc_id - r.other_id) == 1 and r.similarity >= 0.8 for r in got)
+
+
 @pytest.mark.parametrize("unit", [True, False])
 def test_neighbours(spark, unit):
     rng = np.random.default_rng(5)
