@@ -10,7 +10,8 @@ Every row is then filed under its nearest centroid and, near a boundary, under
 others almost as near (closer than ``REPLICA`` times the nearest distance, and
 not standing behind a centroid already chosen).  A query walks a neighbourhood
 graph over the centroids, kept in memory, and probes the lists whose distance
-is within a ratio of the best one's.  Lists are searched by blocks of
+is within a ratio of the best one's, and as many more as hold candidates
+enough; a query still left with fewer than ``k`` rows asks all lists.  Lists are searched by blocks of
 vectors, so a list that holds a third of all rows is many tasks' work.
 
 Scores are inner products of the original vectors in double precision.
@@ -43,6 +44,8 @@ LIST_ROWS = 200
 COPIES, REPLICA = 4, 1.10
 #: Lists a query probes at most, and the distance ratio that prunes them.
 PROBES, RATIO = 48, 1.35
+#: Candidates that a query's lists hold at least, as a multiple of ``k``.
+ENOUGH = 4
 #: Neighbours of a centroid in the graph, and candidates a walk holds.
 DEGREE, BEAM = 24, 96
 #: Rows of one block of a list.
@@ -168,12 +171,25 @@ def self_gap(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((c[a] - c[b]) ** 2).sum(1)
 
 
-def probes(graph: CentroidGraph, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which queries (places) probe which lists."""
+def probes(graph: CentroidGraph, q: np.ndarray, held: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries (places) probe which lists; ``held``: rows at home in each list.
+
+    The limits act only beyond the lists that together hold ``need`` rows.
+    """
     near, d = graph.search(q, PROBES)
-    ok = (near >= 0) & (np.sqrt(d) <= RATIO * np.sqrt(d[:, :1]) + 1e-12)
+    inside = np.where(near >= 0, held[near], 0)
+    before = np.cumsum(inside, axis=1) - inside
+    ok = (near >= 0) & ((before < need) | (np.sqrt(d) <= RATIO * np.maximum(np.sqrt(d[:, :1]), 1e-12)))
+    short = np.flatnonzero(inside.sum(axis=1) < need)
     rows, cols = np.nonzero(ok)
-    return rows, near[rows, cols]
+    lists = near[rows, cols]
+    if len(short):  # those take lists until they have enough, whatever the limits
+        full = np.argsort(graph.half - q[short] @ graph.c.T, axis=1, kind="stable")
+        inside = held[full]
+        more, cols = np.nonzero(np.cumsum(inside, axis=1) - inside < need)
+        pair = np.unique(np.concatenate([rows * len(graph.c) + lists, short[more] * len(graph.c) + full[more, cols]]))
+        rows, lists = pair // len(graph.c), pair % len(graph.c)
+    return rows, lists
 
 
 def clean_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -212,13 +228,17 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "
             for lo in range(0, b.num_rows, 1024):
                 s = b.slice(lo, 1024)
                 x = matrix(s.column(1))
-                rows, lists_ = probes(graph, np.column_stack([x, np.zeros(len(x))])) if asks else file_under(graph, lifted(x))
+                rows, lists_ = probes(graph, np.column_stack([x, np.zeros(len(x))]), held, ENOUGH * k) if asks else file_under(graph, lifted(x))
                 take = pa.array(rows)
                 packed = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(lists_.astype(np.int64)), s.column(0).take(take), packed.take(take)], ["list", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists_.astype(np.int64)), s.column(0).take(take), packed.take(take), pa.array(np.arange(len(rows)) < len(x))], ["list", "vec_id", "v", "home"])
 
-    shape = "list long, vec_id long, v binary"
+    shape = "list long, vec_id long, v binary, home boolean"
     posts = written(clean.mapInArrow(lambda it: filed(it, False), shape), "postings")
+    # Every row is at home in one list, so rows at home in different lists are different candidates.
+    held = np.zeros(len(centroids.value), np.int64)
+    for r in posts.filter("home").groupBy("list").agg(F.countDistinct("vec_id", F.xxhash64("v")).alias("n")).collect():  # a row per list
+        held[r.list] = r.n
     asked = written(clean.filter(F.col("vec_id") % query_mod == 0).mapInArrow(lambda it: filed(it, True), shape), "probes")
 
     # Long lists are cut into blocks; a list's queries go to each of its blocks.
@@ -226,11 +246,14 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "
     sizes = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     post = posts.join(F.broadcast(sizes), "list").select("list", block.alias("block"), "vec_id", "v")
-    ask = asked.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+
+    def blocks_of(sized: DataFrame) -> DataFrame:
+        return sized.select(F.col("list").alias("list"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         frames = []
         if len(left) and len(right):
+            left = left.drop_duplicates(["vec_id", "v"])
             x = np.frombuffer(b"".join(left["v"]), np.float64).reshape(len(left), -1)
             ids = left["vec_id"].to_numpy()
             for lo in range(0, len(right), 512):
@@ -244,14 +267,31 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "
                         some = np.flatnonzero(s >= edge - 1e-9 * abs(edge) - 1e-300)
                     else:
                         some = np.arange(len(s))
-                    some = some[s[some] > -np.inf]
-                    # The exact score is summed component by component, alike in every block.
-                    exact = (x[some] * qv).cumsum(axis=1)[:, -1]
-                    top = np.lexsort((ids[some], -exact))[:k]
-                    frames.append(pd.DataFrame({"query_id": qid, "vec_id": ids[some][top], "score": exact[top]}))
+                    cut = len(some) < len(s)
+                    while True:
+                        some = some[s[some] > -np.inf]
+                        # The exact score is summed component by component, alike in every block.
+                        exact = (x[some] * qv).cumsum(axis=1)[:, -1]
+                        top = np.lexsort((ids[some], -exact))
+                        mine, exact = ids[some][top], exact[top]
+                        once = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (exact[1:] != exact[:-1])])[: len(mine)])[:k]
+                        if len(once) == k or not cut:
+                            break
+                        some, cut = np.arange(len(s)), False  # an id's equal scores filled the cut
+                    frames.append(pd.DataFrame({"query_id": qid, "vec_id": mine[once], "score": exact[once]}))
         return pd.concat(frames) if frames else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
 
-    found = post.groupBy("list", "block").cogroup(ask.groupBy("list", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
-    once = found.dropDuplicates(["query_id", "vec_id", "score"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(ask: DataFrame) -> DataFrame:
+        found = post.groupBy("list", "block").cogroup(ask.groupBy("list", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
+        once = found.dropDuplicates(["query_id", "vec_id", "score"])
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = written(answers(blocks_of(asked.join(F.broadcast(sizes), "list"))), "answers")
+    # Queries whose lists held too few rows of other ids, as where an id repeats, ask all lists.
+    full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(full, "vec_id", "left_anti").select("vec_id", "v").distinct()
+    if short.isEmpty():
+        return first
+    second = answers(blocks_of(short.crossJoin(F.broadcast(sizes))))
+    return first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(second)

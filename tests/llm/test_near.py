@@ -164,6 +164,22 @@ def test_neighbours(spark, unit):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_every_query_gets_k_rows(spark, monkeypatch):
+    # Tight copies with a list of their own, an id of many rows, and one row many times.
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    rng = np.random.default_rng(8)
+    rows = [(1000 + i, v) for i, v in enumerate(rng.normal(size=(1500, 8)))]
+    for j in range(6):
+        far = 8 * rng.normal(size=8)
+        rows += [(20 * j + m, far + 1e-7 * rng.normal(size=8)) for m in range(7)]
+    twin = 9 * rng.normal(size=8)
+    rows += [(500, twin + 0.01 * rng.normal(size=8)) for _ in range(200)]
+    rows += [(501, twin)] * 60
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df).toPandas().groupby("query_id").size()
+    assert set(got.index) == {i for i, _ in rows if i % 20 == 0} and (got == 20).all()
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [0.5, 0.5]), (21, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = ann.search(df).orderBy("query_id", "rank").collect()
