@@ -11,8 +11,10 @@ others almost as near (closer than ``REPLICA`` times the nearest distance, and
 not standing behind a centroid already chosen).  A query walks a neighbourhood
 graph over the centroids, kept in memory, and probes the lists whose distance
 is within a ratio of the best one's, and as many more as hold candidates
-enough; a query still left with fewer than ``k`` rows asks all lists.  Lists are searched by blocks of
-vectors, so a list that holds a third of all rows is many tasks' work.
+enough; a query still left with fewer than ``k`` rows asks all lists.  How many lists and which ratio is read
+off a bounded sample of queries, whose true neighbours among all rows are found
+by brute force.  Lists are searched by blocks of vectors, so a list that holds
+a third of all rows is many tasks' work.
 
 Scores are inner products of the original vectors in double precision.
 
@@ -42,8 +44,11 @@ SAMPLE_ROWS, MAX_LISTS = 60_000, 4096
 LIST_ROWS = 200
 #: Lists a row may be filed under, and how much farther than the nearest.
 COPIES, REPLICA = 4, 1.10
-#: Lists a query probes at most, and the distance ratio that prunes them.
+#: Lists a query probes at most, and the distance ratio that prunes them: the
+#: least of each; both grow until sample queries find their neighbours.
 PROBES, RATIO = 48, 1.35
+#: Queries of that sample, and the share of their neighbours to be found.
+TRIALS, RECALL = 256, 0.97
 #: Candidates that a query's lists hold at least, as a multiple of ``k``.
 ENOUGH = 4
 #: Neighbours of a centroid in the graph, and candidates a walk holds.
@@ -103,6 +108,10 @@ class CentroidGraph:
     def search(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """(n, want) centroid numbers, nearest first, and squared distances; padded by -1 and infinity."""
         n, m = len(q), len(self.c)
+        if 2 * want > BEAM:  # so many that measuring all is cheaper than a walk
+            val = self.half - q @ self.c.T
+            ids = np.argsort(val, axis=1, kind="stable")[:, :want]
+            return ids, np.maximum(2 * np.take_along_axis(val, ids, 1) + (q * q).sum(1)[:, None], 0)
         beam = max(BEAM, want)
         score = lambda rows, ids: self.half[ids] - np.einsum("ij,ij->i", q[rows], self.c[ids])
         seen = np.zeros((n, m), bool)
@@ -171,15 +180,15 @@ def self_gap(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((c[a] - c[b]) ** 2).sum(1)
 
 
-def probes(graph: CentroidGraph, q: np.ndarray, held: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+def probes(graph: CentroidGraph, q: np.ndarray, held: np.ndarray, need: int, most: int = PROBES, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray]:
     """Which queries (places) probe which lists; ``held``: rows at home in each list.
 
     The limits act only beyond the lists that together hold ``need`` rows.
     """
-    near, d = graph.search(q, PROBES)
+    near, d = graph.search(q, most)
     inside = np.where(near >= 0, held[near], 0)
     before = np.cumsum(inside, axis=1) - inside
-    ok = (near >= 0) & ((before < need) | (np.sqrt(d) <= RATIO * np.maximum(np.sqrt(d[:, :1]), 1e-12)))
+    ok = (near >= 0) & ((before < need) | (np.sqrt(d) <= ratio * np.maximum(np.sqrt(d[:, :1]), 1e-12)))
     short = np.flatnonzero(inside.sum(axis=1) < need)
     rows, cols = np.nonzero(ok)
     lists = near[rows, cols]
@@ -192,6 +201,26 @@ def probes(graph: CentroidGraph, q: np.ndarray, held: np.ndarray, need: int) ->
     return rows, lists
 
 
+def reach(graph: CentroidGraph, q: np.ndarray, near: list[np.ndarray], lists: dict[int, list[int]], recall: float = RECALL) -> tuple[int, float]:
+    """Lists and distance ratio at which queries ``q`` find a share ``recall`` of the ids ``near`` them.
+
+    ``lists`` are those an id is filed under.  Half of what may be lost goes to either limit.
+    """
+    order, d = graph.search(q, max(BEAM, len(graph.c)))
+    place = np.argsort(order, axis=1)
+    ranks, ratios = [], []
+    for i, ids in enumerate(near):
+        for x in ids:
+            at = int(place[i, lists[x]].min())
+            ranks.append(at + 1)
+            ratios.append(math.sqrt(d[i, at] / d[i, 0]) if d[i, 0] > 0 else (1.0 if d[i, at] <= 0 else math.inf))
+    if not ranks:
+        return PROBES, RATIO
+    share = 1 - (1 - recall) / 2
+    some = np.quantile(ratios, share, method="higher")
+    return max(PROBES, int(np.quantile(ranks, share, method="higher"))), max(RATIO, float(some) * (1 + 1e-9))
+
+
 def clean_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id, v`` of the rows that take part, components as doubles."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -228,7 +257,7 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "
             for lo in range(0, b.num_rows, 1024):
                 s = b.slice(lo, 1024)
                 x = matrix(s.column(1))
-                rows, lists_ = probes(graph, np.column_stack([x, np.zeros(len(x))]), held, ENOUGH * k) if asks else file_under(graph, lifted(x))
+                rows, lists_ = probes(graph, np.column_stack([x, np.zeros(len(x))]), held, ENOUGH * k, most_probes, ratio) if asks else file_under(graph, lifted(x))
                 take = pa.array(rows)
                 packed = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(lists_.astype(np.int64)), s.column(0).take(take), packed.take(take), pa.array(np.arange(len(rows)) < len(x))], ["list", "vec_id", "v", "home"])
@@ -239,7 +268,34 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "
     held = np.zeros(len(centroids.value), np.int64)
     for r in posts.filter("home").groupBy("list").agg(F.countDistinct("vec_id", F.xxhash64("v")).alias("n")).collect():  # a row per list
         held[r.list] = r.n
-    asked = written(clean.filter(F.col("vec_id") % query_mod == 0).mapInArrow(lambda it: filed(it, True), shape), "probes")
+
+    # Sample queries by brute force over all rows: a partition sends at most k rows for each.
+    queries = clean.filter(F.col("vec_id") % query_mod == 0)
+    trial = {r.vec_id: r.v for r in sample_by_hash(queries, "vec_id", TRIALS, "trial").collect()}  # bounded by TRIALS
+    trial_ids, trial_v = np.array(list(trial), np.int64), np.array(list(trial.values()), np.float64)
+
+    def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64), np.zeros(0))] * len(trial_ids)
+        for b in batches:
+            x, ids = matrix(b.column(1)), b.column(0).to_numpy()
+            score = trial_v @ x.T
+            for i, (own, s) in enumerate(zip(trial_ids, score)):
+                some = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
+                some = some[ids[some] != own]
+                all_ids, all_s = np.append(held[i][0], ids[some]), np.append(held[i][1], s[some])
+                top = np.argsort(-all_s, kind="stable")[:k]
+                held[i] = all_ids[top], all_s[top]
+        for own, (ids, s) in zip(trial_ids, held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(s)], ["query_id", "vec_id", "score"])
+
+    most_probes, ratio = PROBES, RATIO
+    if len(trial):
+        top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        true = clean.mapInArrow(truth, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "vec_id")
+        where = true.join(posts.select("vec_id", "list"), "vec_id").groupBy("query_id", "vec_id").agg(F.collect_set("list").alias("lists")).collect()  # TRIALS times k rows
+        near = {q: [r.vec_id for r in where if r.query_id == q] for q in trial}
+        most_probes, ratio = reach(CentroidGraph(centroids.value), np.column_stack([trial_v, np.zeros(len(trial_v))]), list(near.values()), {r.vec_id: r.lists for r in where})
+    asked = written(queries.mapInArrow(lambda it: filed(it, True), shape), "probes")
 
     # Long lists are cut into blocks; a list's queries go to each of its blocks.
     # One row per list: their number is bounded by MAX_LISTS and its splits.

@@ -164,6 +164,20 @@ def test_neighbours(spark, unit):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_probes_grow_with_lists(spark, monkeypatch):
+    # 48 of some 600 lists hold too few neighbours of vectors without clusters.
+    monkeypatch.setattr(ann, "LIST_ROWS", 10)
+    x = np.random.default_rng(3).normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, query_mod=30).toPandas().groupby("query_id")["vec_id"].agg(set)
+    found = 0
+    for q, hits in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(hits & set(np.argsort(-s)[:20].tolist()))
+    assert found / (20 * 200) >= 0.9
+
+
 def test_every_query_gets_k_rows(spark, monkeypatch):
     # Tight copies with a list of their own, an id of many rows, and one row many times.
     monkeypatch.setattr(ann, "LIST_ROWS", 20)
