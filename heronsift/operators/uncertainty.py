@@ -249,6 +249,8 @@ def mixed_logistic(df: DataFrame, label: str, features: list[str], group: str, c
     """Bernoulli mixed model with a random intercept: adaptive Metropolis, one chain per task.
 
     Rows reach the chains as counts per distinct (group, features) combination.
+    Given the other parameters the groups' intercepts are independent, so a step
+    proposes all of them at once and accepts each by its own counts.
     """
     spark = df.sparkSession
     packed = df.filter(F.col(label).isNotNull()).groupBy(group, *features).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
@@ -257,31 +259,41 @@ def mixed_logistic(df: DataFrame, label: str, features: list[str], group: str, c
     g, names = pd.factorize(data[group])
     p, q = len(features), len(names)
 
-    def density(t: np.ndarray) -> float:
-        beta, log_sd, u = t[:p], t[p], t[p + 1 :]
-        sd = math.exp(log_sd)
-        eta = x @ beta + sd * u[g]
-        return float(np.sum(k * eta - n * np.logaddexp(0, eta)) - 0.5 * beta @ beta - 0.5 * sd * sd + log_sd - 0.5 * u @ u)
+    def likelihood(eta: np.ndarray) -> np.ndarray:
+        return k * eta - n * np.logaddexp(0, eta)
 
     def run(batches):
         for pdf in batches:
             for chain in pdf["chain"]:
                 rng = np.random.default_rng(seed + int(chain))
-                t, scale = np.zeros(p + 1 + q), np.full(p + 1 + q, 0.3)
-                now, rows = density(t), []
-                blocks = [np.arange(p + 1), *np.array_split(np.arange(p + 1, p + 1 + q), max(1, q // 8))]
+                fixed, u = np.zeros(p + 1), np.zeros(q)  # the last fixed one is log_sd
+                scale, scale_u = np.full(p + 1, 0.3), np.full(q, 0.3)
+                prior = lambda j, v: -0.5 * v * v if j < p else v - 0.5 * math.exp(2 * v)
+                eta = x @ fixed[:p] + math.exp(fixed[p]) * u[g]
+                now, rows = likelihood(eta), []
                 for step in range(tune + draws):
-                    for b in blocks:
-                        new = t.copy()
-                        new[b] += scale[b] * rng.standard_normal(len(b))
-                        value = density(new)
-                        ok = math.log(rng.random()) < value - now
+                    rate = 1 / math.sqrt(1 + step / 20)
+                    for j in range(p + 1):
+                        new = fixed[j] + scale[j] * rng.standard_normal()
+                        moved = eta + ((new - fixed[j]) * x[:, j] if j < p else (math.exp(new) - math.exp(fixed[p])) * u[g])
+                        value = likelihood(moved)
+                        ok = math.log(rng.random()) < value.sum() - now.sum() + prior(j, new) - prior(j, fixed[j])
                         if ok:
-                            t, now = new, value
+                            fixed[j], eta, now = new, moved, value
                         if step < tune:
-                            scale[b] *= math.exp((0.3 if ok else -0.1) / math.sqrt(1 + step / 20))
+                            scale[j] *= math.exp((0.6 if ok else -0.4) * rate)
+                    sd = math.exp(fixed[p])
+                    new_u = u + scale_u * rng.standard_normal(q)
+                    value = likelihood(eta + sd * (new_u - u)[g])
+                    gain = np.bincount(g, value - now, minlength=q) - 0.5 * (new_u * new_u - u * u)
+                    yes = np.log(rng.random(q)) < gain
+                    u = np.where(yes, new_u, u)
+                    eta = x @ fixed[:p] + sd * u[g]
+                    now = likelihood(eta)
+                    if step < tune:
+                        scale_u *= np.exp(np.where(yes, 0.6, -0.4) * rate)
                     if step >= tune:
-                        rows += [(int(chain), step - tune, f, float(v)) for f, v in zip([*features, "log_sd"], t[: p + 1])]
+                        rows += [(int(chain), step - tune, f, float(v)) for f, v in zip([*features, "log_sd"], fixed)]
                 yield pd.DataFrame(rows, columns=["chain", "draw", "parameter", "value"])
 
     ids = spark.range(chains).withColumnRenamed("id", "chain").repartition(chains, "chain")

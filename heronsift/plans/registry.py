@@ -289,7 +289,7 @@ def a17_bayes_median(spark, sf):
 @query()
 def a08_dirichlet_mrr(spark, sf):
     """Posterior of the mean reciprocal rank per group, tested against its exact mean."""
-    return A.dirichlet_mrr(metric_rows(spark, sf), BY)
+    return A.dirichlet_mrr(metric_rows(spark, sf), BY, draws=50_000)
 
 
 @query(J + "SELECT mode, count(*) AS n, round(avg(mrr), 6) AS mean, round(avg(CAST(mrr = 1 AS DOUBLE)), 6) AS rank1_rate FROM m GROUP BY mode")
@@ -339,11 +339,11 @@ def a20_design_matrix(spark, sf):
 @query()
 def a21_mixed_model(spark, sf):
     """Posterior draws of the mixed logistic model (A21; A23 with another label)."""
-    rows = metric_rows(spark, sf).withColumn("qid", F.pmod("qid", F.lit(40)))
-    x = A.design_matrix(rows, MODES, "easy").select("qid", "difficulty", "mode", "intercept", "x_difficulty", "x_mode1", "x_mode2", "x_mode3")
+    rows = metric_rows(spark, sf)
+    effects = ["intercept", "x_difficulty", *(f"x_{kind}{k}" for kind in ("mode", "inter") for k in range(1, len(MODES)))]
+    x = A.design_matrix(rows, MODES, "easy").select("qid", "difficulty", "mode", *effects).distinct()
     y = rows.select("qid", "difficulty", "mode", "success")
-    both = x.groupBy("qid", "difficulty", "mode", "intercept", "x_difficulty", "x_mode1", "x_mode2", "x_mode3").agg(F.count(F.lit(1)).alias("_")).drop("_").join(y, ["qid", "difficulty", "mode"])
-    return A.mixed_logistic(both, "success", ["intercept", "x_difficulty", "x_mode1", "x_mode2", "x_mode3"], "qid", chains=4, tune=200, draws=200)
+    return A.mixed_logistic(x.join(y, ["qid", "difficulty", "mode"]), "success", effects, "qid", chains=4, tune=2000, draws=2000)
 
 
 #: Posterior draws made from md5, the same on both engines.

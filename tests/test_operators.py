@@ -139,3 +139,26 @@ def test_ingest_once(spark, tmp_path):
     spark.createDataFrame([("b", "y"), ("c", "z")], df.schema).write.mode("append").parquet(src)
     ingest_once(spark, src, df.schema, store, cp)
     assert sorted(r.chunk_id for r in spark.read.parquet(store).collect()) == ["a", "b", "c"]
+
+
+def test_mixed_model_takes_every_query_and_effect(spark, monkeypatch):
+    from heronsift.plans import registry
+
+    rows = spark.createDataFrame([(q, "easy" if q % 2 else "difficult", m, float((q * 7 + i) % 3 > 0)) for q in range(90) for i, m in enumerate(registry.MODES)], "qid long, difficulty string, mode string, success double")
+    monkeypatch.setattr(registry, "metric_rows", lambda *_: rows)
+    given = {}
+    monkeypatch.setattr(A, "mixed_logistic", lambda df, label, features, group, **k: given.update(df=df, features=features, **k) or spark.createDataFrame([(0, 0, "a", 0.0)], "chain long, draw long, parameter string, value double"))
+    registry.QUERIES["a21_mixed_model"](spark, "")
+    assert given["df"].select("qid").distinct().count() == 90 and given["df"].count() == 360
+    assert len(given["features"]) == 8 and (given["chains"], given["tune"], given["draws"]) == (4, 2000, 2000)
+
+
+def test_mixed_logistic_recovers_spread(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    u = 1.5 * rng.normal(size=300)
+    df = spark.createDataFrame([(q, 1.0, float(rng.random() < 1 / (1 + np.exp(-u[q])))) for q in range(300) for _ in range(12)], "qid long, one double, y double")
+    d = A.mixed_logistic(df, "y", ["one"], "qid", chains=2, tune=400, draws=400).groupBy("parameter").agg(F.avg("value").alias("m")).collect()
+    m = {r.parameter: r.m for r in d}
+    assert abs(np.exp(m["log_sd"]) - u.std()) < 0.35 and abs(m["one"] - u.mean()) < 0.3
