@@ -305,7 +305,7 @@ def a10_cube(spark, sf):
 
 @query()
 def a12_zoib_mean(spark, sf):
-    """Zero-one-inflated beta means (A11 to A13), tested against plain means."""
+    """Zero-one-inflated beta means (A11 and the point mean of A12; no draws, no A13), tested against plain means."""
     return A.zoib_mean(metric_rows(spark, sf), "ndcg", BY)
 
 
@@ -363,14 +363,14 @@ def draws(spark) -> DataFrame:
 
 @query(DRAWS + ", w AS (SELECT *, lead(value, 950) OVER (PARTITION BY difficulty, mode ORDER BY value, sample_id) AS hi FROM draws), x AS (SELECT *, row_number() OVER (PARTITION BY difficulty, mode ORDER BY hi - value, value) AS rn FROM w WHERE hi IS NOT NULL), p AS (SELECT difficulty, mode, avg(value) AS mean FROM draws GROUP BY ALL) SELECT x.difficulty, x.mode, round(p.mean, 6) AS mean, round(x.value, 6) AS lo, round(x.hi, 6) AS hi FROM x JOIN p ON x.difficulty = p.difficulty AND x.mode = p.mode WHERE rn = 1")
 def a25_condition_hdi(spark, sf):
-    """Posterior means and narrowest intervals per condition."""
+    """Means and narrowest intervals per condition (A25, A27; not A26), over md5 draws instead of a fitted posterior."""
     d = draws(spark)
     return d.groupBy(*BY).agg(F.avg("value").alias("mean")).join(A.hdi(d, BY, 1000), BY)
 
 
 @query(DRAWS + ", g AS (SELECT mode, mode_ord, sample_id, avg(value) AS value FROM draws GROUP BY ALL), c AS (SELECT a.mode AS mode_a, b.mode AS mode_b, avg(a.value - b.value) AS delta, avg(CAST(a.value > b.value AS DOUBLE)) AS p FROM g a JOIN g b ON a.sample_id = b.sample_id AND a.mode_ord < b.mode_ord GROUP BY a.mode, b.mode) SELECT mode_a, mode_b, round(delta, 6) AS delta, round(p, 6) AS p_greater, CASE WHEN p >= 0.95 THEN 'strong A' WHEN p >= 0.8 THEN 'moderate A' WHEN p > 0.2 THEN 'inconclusive' WHEN p > 0.05 THEN 'moderate B' ELSE 'strong B' END AS evidence FROM c")
 def a28_contrasts(spark, sf):
-    """Pairwise contrasts with evidence labels."""
+    """Pairwise contrasts of modes with evidence labels (A28 without intervals or within difficulties, A31; not A29), over md5 draws."""
     return A.contrasts(draws(spark))
 
 
