@@ -26,13 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import encoder
+from .tokens import encoder, slices
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Rows encoded together in a task.
-ROWS_AT_ONCE = 256
-
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
@@ -133,7 +130,7 @@ def pack(
     end_id: int = 1,
     size: int = 2048,
     open_windows: int = 64,
-    merged_tasks: int = 32,
+    merged_tasks: int = 4,
     spaces_matter: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -152,17 +149,17 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array([task] * len(rows), pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
         for b in batches:
-            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
-                some = b.slice(lo, ROWS_AT_ONCE)
+            for some in slices(b, 1):
                 rows: list[tuple] = []
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode_many(some.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
-                    whole = len(ids) - len(ids) % size
+                flat, ends = enc.encode_ended(some.column(1), end_id)
+                for doc, lo, hi in zip(some.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    n = hi - lo
+                    whole = n - n % size
                     for start in range(0, whole, size):
-                        rows += _rows([[doc, start, ids[start : start + size], len(ids)]], task << 32 | open_.made)
+                        rows += _rows([[doc, start, flat[lo + start : lo + start + size], n]], task << 32 | open_.made)
                         open_.made += 1
-                    if whole < len(ids):
-                        for w, pieces in open_.place([doc, whole, ids[whole:].copy(), len(ids)]):
+                    if whole < n:
+                        for w, pieces in open_.place([doc, whole, flat[lo + whole : hi].copy(), n]):
                             rows += _rows(pieces, task << 32 | w)
                 if rows:
                     yield batch(rows, [None] * len(rows))
