@@ -55,6 +55,14 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     last = ends[words - 1 :] if len(found) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of 64-bit hashes."""
+    n = len(h)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     cuts = np.arange(0, n, 255)
     for k in range(8):  # byte lanes hold the counts of bits k, k+8, ..., of 255 hashes at most
@@ -125,6 +133,37 @@ class GrayForest:
             q = np.arange(lo, min(lo + step, len(self.fp)))
             yield from self._down(len(self.levels) - 1, q, self.root_of[q], np.zeros(len(q), np.int64), np.zeros(len(q), np.uint64), limit)
 
+    def open_pairs(self, q: np.ndarray, label: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the places ``q`` and later ones within ``limit`` bits, without those of one ``label``.
+
+        A node whose members all bear the searcher's label is dropped as a whole.
+        """
+        least, most = label, label
+        uniform = [label]
+        for level in self.levels[1:]:
+            least, most = np.minimum.reduceat(least, level["first"]), np.maximum.reduceat(most, level["first"])
+            uniform.append(np.where(least == most, least, -1))
+        todo = [(len(self.levels) - 1, q, self.root_of[q], np.zeros(len(q), np.int64), np.zeros(len(q), np.uint64))]
+        while todo:
+            depth, q, node, spent, held = todo.pop()
+            if len(q) > FRONTIER // FANOUT:  # as many as the frontier may hold once their children are out
+                half = len(q) // 2
+                todo += [(depth, q[half:], node[half:], spent[half:], held[half:]), (depth, q[:half], node[:half], spent[:half], held[:half])]
+                continue
+            level = self.levels[depth]
+            mask = level["mask"][node]
+            spent = spent + np.bitwise_count((self.fp[q] ^ level["pattern"][node]) & mask & ~held)
+            near = (spent <= limit) & (level["last"][node] > q) & (uniform[depth][node] != label[q])
+            q, node, spent, mask = q[near], node[near], spent[near], mask[near]
+            if not len(q):
+                continue
+            if not depth:
+                yield q, node
+                continue
+            c = level["count"][node]
+            child = np.repeat(level["first"][node] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            todo.append((depth - 1, np.repeat(q, c), child, np.repeat(spent, c), np.repeat(mask, c)))
+
     def _down(self, depth: int, q: np.ndarray, node: np.ndarray, spent: np.ndarray, held: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``spent``: differences so far, in the bits ``held`` by the nodes above."""
         level = self.levels[depth]
@@ -153,9 +192,9 @@ class GrayForest:
             lo = hi
 
 
-def spanning(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest place connected with each of ``n`` places."""
-    label = np.arange(n)
+def spanning(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest place connected with each of ``n`` places; ``label``: what is known of that."""
+    label = np.arange(n) if label is None else label
     for a, b in edges:
         while len(a):
             a, b = label[a], label[b]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from heronsift.llm import ann, simhash, substring_dedup
+from heronsift.llm import ann, near_copies, simhash, substring_dedup
 from heronsift.llm.components import connected_components
 
 DOCS = "doc_id long, text string, fp string, keeper int, hash long"
@@ -73,8 +73,6 @@ def test_near_duplicates(spark):
     want = sorted((-1 if i is None else i, f, name[c]) for (i, _), f, c in zip(rows, fps, cls))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
     assert len(near) > 20
-    kept = simhash.drop_near_duplicates(docs(spark, rows))
-    assert kept.columns == docs(spark, rows).columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(name.values()))
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
@@ -95,6 +93,51 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     assert classes(len(fps), edges) == want and len(edges) < 20 * len(fps)
 
 
+def shingle_set(text, w=5):
+    found = (text or "").lower().split()
+    return {tuple(found[i : i + w]) for i in range(max(1, len(found) - w + 1))} if found else set()
+
+
+@pytest.mark.parametrize("share", [50_000, 6])
+def test_near_copies_by_similarity(spark, monkeypatch, share):
+    monkeypatch.setattr(near_copies, "SHARE_ROWS", share)
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "a"), (4, "A"), (5, "a b"), (6, "a b c d e"), (500, "x " * 60_000)]
+    for i in range(40):  # families of texts that drift from one another, short and long
+        base = words(RNG.choice([30, 80, 300, 900]))
+        rows.append((1000 + 10 * i, " ".join(base)))
+        for j in range(1, 9):
+            base = list(base)
+            for _ in range(max(1, len(base) // RNG.choice([40, 80, 300]))):
+                base[RNG.randrange(len(base))] = RNG.choice("pqrstu") + str(j)
+            rows.append((1000 + 10 * i + j, "  ".join(base)))
+    rows += [(None, rows[12][1]), rows[12]]
+    sets = [shingle_set(t) for _, t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] or sets[b] else 1.0
+    pairs = [(a, b, like(a, b)) for a in range(len(rows)) for b in range(a)]
+    sure, may = classes(len(rows), [p[:2] for p in pairs if p[2] >= 0.88]), classes(len(rows), [p[:2] for p in pairs if p[2] >= 0.72])
+    kept = near_copies.drop_near_copies(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    found = [r.doc_id for r in kept.collect()]
+    place = {i: k for k, (i, _) in enumerate(rows) if i is not None}
+    assert len(found) == len(set(found)) and len({sure[place[i]] for i in found}) == len(found)  # no two sure copies stay
+    assert {may[place[i]] for i in found} == set(may)  # each group keeps one at least
+    assert len([p for p in pairs if 0.8 <= p[2] < 1]) > 40
+    assert near_copies.drop_near_copies(docs(spark, [])).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    worst = 0.0
+    for n in (3, 40, 400, 4000):
+        for share in (0.0, 0.5, 0.7, 0.8, 0.9, 1.0):
+            same = int(n * share)
+            hashes = np.array([RNG.getrandbits(64) for _ in range(2 * n)], np.uint64)
+            a, b = np.unique(hashes[:n]), np.unique(np.concatenate([hashes[:same], hashes[n : 2 * n - same]]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            got = near_copies.estimates(near_copies.sketch(a)[0][None], near_copies.sketch(b)[0][None])[0]
+            worst = max(worst, abs(got - true))
+    assert worst < 0.12
+
+
 def test_passages(spark):
     shared, rows = words(80), []
     for i in range(30):
@@ -210,6 +253,9 @@ def test_pipeline(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "documents.parquet"))
     distinct = corpus_pipeline.keep_distinct(spark, read, str(tmp_path))
     assert distinct.columns == read.columns and distinct.count() == 61
+    rows = [(k, t if k % 2 else " ".join(["new", *t.split()[1:]]), "en", "s0", 1) for k, t in enumerate([x[1] for x in rows[:20] for _ in range(2)])]
+    near = spark.createDataFrame(rows, read.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_unlike(spark, near, str(tmp_path)).collect()) == list(range(0, 40, 2))
     assert corpus_pipeline.keep_unlike(spark, distinct, str(tmp_path)).count() == 61
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0 and out.count() > 0
