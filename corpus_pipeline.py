@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronsift.llm import exact_dedup, mixing, packing, quality, simhash
+from heronsift.llm import exact_dedup, mixing, near_copies, packing, quality
 from heronsift.llm.common import written
 from heronsift.llm.queries import table, vocabulary
 
@@ -29,8 +29,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One row of each group of near copies: five-word shingles of a similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
