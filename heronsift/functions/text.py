@@ -54,8 +54,13 @@ def is_header(line: Column) -> Column:
 
 
 def sections(pages: DataFrame, id_col: str, text_col: str, page: Column) -> DataFrame:
-    """Split at header lines: one row per section, title with its page, null for a leading part."""
-    lines = pages.select(id_col, page.alias("page"), F.posexplode(_lines(F.col(text_col))).alias("line_no", "line")).filter(strip(F.col("line")) != "")
+    """Split at header lines: one row per section, title with its page, null for a leading part.
+
+    Lines are stripped, blank ones dropped and runs of titles merged first.
+    """
+    full = F.filter(F.transform(_lines(F.col(text_col)), strip), lambda x: x != "")
+    merged = F.when(F.size(full) > 0, _lines(merge_upper_titles(F.array_join(full, "\n"))))
+    lines = pages.select(id_col, page.alias("page"), F.posexplode(merged).alias("line_no", "line"))
     w = Window.partitionBy(id_col).orderBy("line_no")
     head = is_header(F.col("line"))
     numbered = lines.withColumn("head", head).withColumn("section_no", F.sum(head.cast("int")).over(w))
@@ -66,29 +71,43 @@ def sections(pages: DataFrame, id_col: str, text_col: str, page: Column) -> Data
 
 @F.pandas_udf(StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without what is not ASCII; dashes become ``-`` first."""
-    fold = lambda t: unicodedata.normalize("NFKD", t.replace("–", "-").replace("—", "-").replace("−", "-")).encode("ascii", "ignore").decode()
+    """Compatibility decomposition without what is not ASCII."""
+    fold = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
     return text.map(lambda t: None if t is None else fold(t))
 
 
+#: What a line that begins with an equation becomes, whatever follows.
+EQUATIONS = (
+    (r"(?i)^R\s*\^?\s*2\s*=", r"$$R^2 = \frac{SS_M}{SS_T}$$"),
+    (r"(?i)^F\s*=", r"$$F = \frac{Mean\ SS_M}{Mean\ SS_R}$$"),
+    (r"(?i)^t\s*=", r"$$t = \frac{\text{mean group 1 - mean group 2}}{\text{standard error of mean differences}}$$"),
+)
+
+
 def rewrite_equations(text: Column) -> Column:
-    """Drop blank lines; lines that begin with R^2=, F= or t= get one fixed form."""
-    lines = F.filter(_lines(text), lambda x: strip(x) != "")
-    form = lambda x: F.when(x.rlike(r"(?i)^R\s*\^?\s*2\s*="), F.regexp_replace(x, r"(?i)^R\s*\^?\s*2\s*=\s*", r"\$R^2\$ = ")).when(x.rlike(r"(?i)^F\s*="), F.regexp_replace(x, r"(?i)^F\s*=\s*", r"\$F\$ = ")).when(x.rlike(r"(?i)^t\s*="), F.regexp_replace(x, r"(?i)^t\s*=\s*", r"\$t\$ = ")).otherwise(x)
+    """Fold to ASCII, strip lines, drop blank ones; a line that begins with R^2=, F= or t= becomes a fixed formula."""
+
+    def form(line: Column) -> Column:
+        out = line
+        for pattern, formula in reversed(EQUATIONS):
+            out = F.when(line.rlike(pattern), F.lit(formula)).otherwise(out)
+        return out
+
+    lines = F.filter(F.transform(_lines(ascii_fold(text)), strip), lambda x: x != "")
     return F.array_join(F.transform(lines, form), "\n")
 
 
 def drop_numeric_tables(text: Column) -> Column:
-    """Drop blocks of over six lines that are mostly numbers and repeat themselves."""
+    """Drop blank blocks, and blocks of over six lines that are mostly numbers and repeat themselves."""
 
     def keep(block: Column) -> Column:
-        lines = F.filter(_lines(block), lambda x: strip(x) != "")
+        lines = F.filter(F.transform(_lines(block), strip), lambda x: x != "")
         n = F.size(lines)
         numeric = F.size(F.filter(lines, lambda x: x.rlike(r"^[\d\s.,%]+$"))) / n
         repeated = 1 - F.size(F.array_distinct(lines)) / n
-        return ~((n > 6) & (F.when(n > 0, numeric) > 0.6) & (F.when(n > 0, repeated) > 0.3))
+        return F.when(n > 0, ~((n > 6) & (numeric > 0.6) & (repeated > 0.3))).otherwise(False)
 
-    return F.array_join(F.filter(F.split(text, r"\n\s*\n"), lambda b: F.coalesce(keep(b), F.lit(True))), "\n\n")
+    return F.array_join(F.filter(F.split(text, "\n\n"), keep), "\n\n")
 
 
 def slug(text: Column) -> Column:
@@ -141,12 +160,16 @@ def drop_empty(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
 
 
+#: Hosts of long and of short video links.
+LONG_HOSTS, SHORT_HOST = ("www.youtube.com", "youtube.com"), "youtu.be"
+
+
 def video_id(url: Column) -> Column:
-    """The ``v`` parameter, the path of a short link, or the last path part."""
-    host, path = F.try_parse_url(url, F.lit("HOST")), F.try_parse_url(url, F.lit("PATH"))
-    by_query = F.when(F.coalesce(host, F.lit("")).contains("youtube.com"), F.try_parse_url(url, F.lit("QUERY"), F.lit("v")))
-    by_path = F.when(F.coalesce(host, F.lit("")).contains("youtu.be"), F.regexp_replace(path, "^/+|/+$", ""))
-    return F.coalesce(by_query, by_path, F.element_at(F.split(F.regexp_replace(F.coalesce(path, url), "/+$", ""), "/"), -1))
+    """The ``v`` parameter of a long link (null without one), the path of a short link, else what follows the last slash."""
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    v = F.nullif(F.try_parse_url(url, F.lit("QUERY"), F.lit("v")), F.lit(""))
+    path = F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), "^/+", "")
+    return F.when(host.isin(*LONG_HOSTS), F.try_url_decode(v)).when(host == SHORT_HOST, path).otherwise(F.element_at(F.split(url, "/"), -1))
 
 
 def file_name(name: Column) -> Column:
@@ -229,9 +252,17 @@ def node_key(doc_id: Column, source: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(or_else(doc_id, source), F.lit("")), F.lit("::"), strip(text)))
 
 
-def is_question(line: Column, skipped: str = "^(?:🧪|🔹|🟢|🟡|🔴)") -> Column:
-    """A line that ends in a question mark and does not begin with a marker."""
-    return strip(line).endswith("?") & ~strip(line).rlike(skipped)
+#: Line starts that mark headings, not questions.
+HEADING_MARKS = ("🧪", "📚", "⚙️", "💡", "❓")
+
+
+def is_question(line: Column, skipped: tuple[str, ...] = HEADING_MARKS) -> Column:
+    """A line that ends in a question mark and does not begin with a heading's mark."""
+    told = strip(line)
+    ok = told.endswith("?")
+    for mark in skipped:
+        ok = ok & ~told.startswith(mark)
+    return ok
 
 
 def raw_url(url: Column) -> Column:

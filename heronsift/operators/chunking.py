@@ -19,9 +19,32 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: strip(s) != "")
 
 
+def bounded_pieces(text: Column, most: int) -> Column:
+    """Sentences; one of more than ``most`` tokens in greedy runs of words, and a word of more in runs of tokens."""
+    runs = lambda w: F.regexp_extract_all(w, F.lit(f"[^A-Za-z0-9]*(?:[A-Za-z0-9]+[^A-Za-z0-9]*){{1,{most}}}"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+
+    def step(a: Column, w: Column) -> Column:
+        t = token_count(w)
+        full = (a["now"] != "") & (a["n"] + t > most)
+        fresh = full | (a["now"] == "")
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
+            F.when(fresh, w).otherwise(F.concat(a["now"], F.lit(" "), w)).alias("now"),
+            F.when(fresh, t).otherwise(a["n"] + t).alias("n"),
+        )
+
+    def cut(s: Column) -> Column:
+        words = F.flatten(F.transform(F.regexp_extract_all(s, F.lit(r"\S+"), F.lit(0)), lambda w: F.when(token_count(w) > most, runs(w)).otherwise(F.array(w))))
+        greedy = F.aggregate(words, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+        return F.when(token_count(s) > most, greedy).otherwise(F.array(s))
+
+    return F.flatten(F.transform(sentences(text), cut))
+
+
 def pack_sentences(text: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
-    """Greedy chunks of whole sentences; a chunk begins with the last sentence of
-    the one before where that has at most ``overlap`` tokens."""
+    """Greedy chunks of sentences, none of more than ``most`` tokens; a chunk begins
+    with the last piece of the one before where that has at most ``overlap`` tokens."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"), F.lit("").alias("last"), F.lit(0).alias("last_n"))
 
     def step(a: Column, s: Column) -> Column:
@@ -36,7 +59,7 @@ def pack_sentences(text: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP)
             (base_n + t).alias("n"), s.alias("last"), t.alias("last_n"),
         )
 
-    return F.aggregate(sentences(text), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    return F.aggregate(bounded_pieces(text, most), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
 
 
 def keep_or_split(df: DataFrame, id_col: str, text_col: str, most: int = MAX_TOKENS) -> DataFrame:

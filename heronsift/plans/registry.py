@@ -522,10 +522,15 @@ def t23_timestamps(spark, sf):
     return table(spark, sf, "events").select("event_id", s.alias("stamp")).withColumn("back", T.seconds(F.col("stamp")))
 
 
-@query(r"SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '^$', '/'), '([^/]*)$', 1) AS video_id, left(regexp_replace(trim(regexp_replace(url, '[^\w\s-]', '', 'g')), '\s+', '_', 'g'), 80) AS file_name FROM pages")
+@query(r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN regexp_extract(url, '([^/]*)$', 1) WHEN 1 THEN 'a/b' || page_id WHEN 2 THEN 'watch?v=x' WHEN 3 THEN 's' || page_id || '/t' WHEN 4 THEN NULL ELSE 'k-' || page_id END AS video_id,
+left(regexp_replace(trim(regexp_replace(url, '[^\w\s-]', '', 'g')), '\s+', '_', 'g'), 80) AS file_name FROM pages""")
 def t17_video_id(spark, sf):
     """Video ids and file names from urls."""
-    return table(spark, sf, "pages").select("page_id", T.video_id(F.col("url")).alias("video_id"), T.file_name(F.col("url")).alias("file_name"))
+    key = F.col("page_id").cast("string")
+    links = [F.col("url"), F.concat(F.lit("https://WWW.youtube.com/watch?t=1&v=a%2Fb"), key), F.concat(F.lit("https://notyoutube.com/"), key, F.lit("/watch?v=x")),
+             F.concat(F.lit("https://youtu.be//s"), key, F.lit("/t?si=1")), F.lit("https://youtube.com/watch?t=1&v="), F.concat(F.lit("https://youtube.com/watch?v=k-"), key, F.lit("#v"))]
+    link = F.element_at(F.array(*links), F.pmod("page_id", F.lit(6)).cast("int") + 1)
+    return table(spark, sf, "pages").select("page_id", T.video_id(link).alias("video_id"), T.file_name(F.col("url")).alias("file_name"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(l) > 120 THEN array_to_string(list_slice(string_split_regex(l, '\s+'), 1, 15), ' ') || '...' WHEN l = '' THEN NULL ELSE l END AS title
@@ -539,13 +544,21 @@ def t01_clean_page(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.clean_page(F.col("text"), ("License",)).alias("text"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, E'\n'), 1) AS line_no, unnest(string_split(text, E'\n')) AS line FROM documents),
-k AS (SELECT *, upper(line) = line AND lower(line) <> line AND len(string_split_regex(trim(line, E' \t\r\x0b\x0c'), '\s+')) >= 2 AND NOT regexp_matches(line, '[=_<>]') AS head FROM l WHERE trim(line, E' \t\r\x0b\x0c') <> ''),
+UPPER_LINE = r"upper(line) = line AND lower(line) <> line AND len(string_split_regex(line, '\s+')) >= 2"
+
+
+@query(rf"""WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN E'  FIRST PART \n\nSECOND PART\nA_B PART = 1\n' || text || E'\n LAST PART' ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, E'\n'), 1) AS line_no, trim(unnest(string_split(text, E'\n')), E' \t\r\x0b\x0c') AS line FROM texts),
+u AS (SELECT *, {UPPER_LINE} AS up FROM l WHERE line <> ''),
+r AS (SELECT *, sum(CASE WHEN up AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT *, coalesce(lag(up) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM u)),
+g AS (SELECT doc_id, min(line_no) AS line_no, string_agg(line, ': ' ORDER BY line_no) AS line FROM r GROUP BY doc_id, run),
+k AS (SELECT *, {UPPER_LINE} AND NOT regexp_matches(line, '[=_<>]') AS head FROM g),
 n AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM k)
 SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, max(line || ' (page 1)') FILTER (WHERE head) AS title, coalesce(string_agg(line, E'\n' ORDER BY line_no) FILTER (WHERE NOT head), '') AS content FROM n GROUP BY doc_id, section_no""")
 def t03_sections(spark, sf):
-    """Sections at capital headings."""
-    return T.sections(table(spark, sf, "documents"), "doc_id", "text", F.lit(1))
+    """Sections at capital headings of stripped lines, runs of titles merged."""
+    text = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("  FIRST PART \n\nSECOND PART\nA_B PART = 1\n"), "text", F.lit("\n LAST PART"))).otherwise(F.col("text"))
+    return T.sections(table(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text", F.lit(1))
 
 
 @query("SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
@@ -653,19 +666,24 @@ def t08_image_headings(spark, sf):
     return table(spark, sf, "part").select("p_partkey", md.alias("md"), F.element_at(T.placeholders(F.lower(md)), 1).alias("found"), T.from_marker(F.concat("p_name", "p_type"), "STEEL").alias("cut"))
 
 
-@query(r"""SELECT o_orderkey, CASE WHEN contains(o_orderpriority, ' ') THEN 'MAIN TITLE: SUB TITLE: ' || o_orderpriority || ': NEXT PART' ELSE 'MAIN TITLE: SUB TITLE' || E'\n' || o_orderpriority || E'\nNEXT PART' END AS merged, E'$F$ = ' || o_orderstatus || E'\nplain ' || o_orderkey AS equations,
-CASE WHEN o_orderkey % 2 = 0 THEN 'text' ELSE E'text\n\n' || o_orderkey || E'\nword' END AS tables FROM orders""")
+@query(r"""SELECT o_orderkey, CASE WHEN contains(o_orderpriority, ' ') THEN 'MAIN TITLE: SUB TITLE: ' || o_orderpriority || ': NEXT PART' ELSE 'MAIN TITLE: SUB TITLE' || E'\n' || o_orderpriority || E'\nNEXT PART' END AS merged,
+CASE o_orderkey % 4 WHEN 0 THEN '$$R^2 = \frac{SS_M}{SS_T}$$' WHEN 1 THEN '$$F = \frac{Mean\ SS_M}{Mean\ SS_R}$$'
+WHEN 2 THEN '$$t = \frac{\text{mean group 1 - mean group 2}}{\text{standard error of mean differences}}$$' ELSE 'so F = ' || o_orderstatus END || E'\nplain cafe ' || o_orderkey AS equations,
+CASE o_orderkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN E'text\n\n' || o_orderkey || E'\nword' ELSE E'text\n\n \t' || array_to_string(list_transform(range(7), lambda i: CAST(i AS VARCHAR)), E'\n') END AS tables FROM orders""")
 def t02_lines(spark, sf):
     """Title runs merged, equations rewritten, numeric tables dropped."""
     o, nl = table(spark, sf, "orders"), F.lit("\n")
     key = F.col("o_orderkey").cast("string")
-    numbers = F.concat(F.lit("text\n\n"), F.array_join(F.array_repeat(key, 8), "\n"))
+    case = lambda n, *cs: F.element_at(F.array(*cs), F.pmod("o_orderkey", F.lit(n)).cast("int") + 1)
+    # Seven lines that repeat go; two lines, and seven that do not repeat, stay.
+    numbers = F.concat(F.lit("text\n\n"), F.array_join(F.array_repeat(F.concat(F.lit(" "), key), 7), "\n"), F.lit("\n\n  \n "))
     words = F.concat(F.lit("text\n\n"), key, F.lit("\nword"))
+    several = F.concat(F.lit("text\n\n \t"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: i.cast("string")), "\n"))
     return o.select(
         "o_orderkey",
         T.merge_upper_titles(F.concat(F.lit("MAIN TITLE\nSUB TITLE\n"), "o_orderpriority", nl, F.lit("NEXT PART"))).alias("merged"),
-        T.rewrite_equations(F.concat(F.lit("f = "), "o_orderstatus", F.lit("\n\n  \nplain "), key)).alias("equations"),
-        T.drop_numeric_tables(F.when(F.pmod("o_orderkey", F.lit(2)) == 0, numbers).otherwise(words)).alias("tables"),
+        T.rewrite_equations(F.concat(case(4, F.lit(" r² = 1, "), F.lit("f= "), F.lit("T – = "), F.lit("so F = ")), "o_orderstatus", F.lit("\n\n  \n plain café "), key)).alias("equations"),
+        T.drop_numeric_tables(case(3, numbers, words, several)).alias("tables"),
     )
 
 
@@ -678,10 +696,13 @@ def t16_metadata(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", show(T.drop_empty(F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), n, F.lit("none"), F.lit(None).cast("string")))).alias("kept"), show(flat).alias("flat"), T.or_else(n, F.col("s_name")).alias("first_set"))
 
 
-@query(r"SELECT 'q_' || row_number() OVER (ORDER BY conv_id, turn, text) AS id, trim(line) AS query FROM (SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN ' ' || left(text, 40) || '? ' WHEN turn % 3 = 0 THEN '🧪 why?' ELSE text END AS line FROM conversations) WHERE ends_with(trim(line), '?') AND NOT starts_with(trim(line), '🧪')")
+@query(r"""WITH l AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN ' ' || left(text, 40) || '? ' WHEN 1 THEN list_extract(['🧪', '📚', '⚙️', '💡', '❓', '🔹'], CAST(conv_id % 6 + 1 AS INT)) || ' why?' WHEN 2 THEN '' ELSE text END AS line FROM conversations)
+SELECT 'q_' || row_number() OVER (ORDER BY conv_id, turn, text) AS id, trim(line) AS query FROM l WHERE ends_with(trim(line), '?') AND NOT regexp_matches(trim(line), '^(🧪|📚|⚙️|💡|❓)')""")
 def t36_questions(spark, sf):
     """Question lines filtered and numbered."""
-    line = F.when(F.pmod("turn", F.lit(2)) == 0, F.concat(F.lit(" "), F.left("text", F.lit(40)), F.lit("? "))).when(F.pmod("turn", F.lit(3)) == 0, "🧪 why?").otherwise(F.col("text"))
+    marks = F.element_at(F.array(*(F.lit(x) for x in ("🧪", "📚", "⚙️", "💡", "❓", "🔹"))), F.pmod("conv_id", F.lit(6)).cast("int") + 1)
+    forms = [F.concat(F.lit(" "), F.left("text", F.lit(40)), F.lit("? ")), F.concat(marks, F.lit(" why?")), F.lit(""), F.col("text")]
+    line = F.element_at(F.array(*forms), F.pmod("turn", F.lit(4)).cast("int") + 1)
     rows = table(spark, sf, "conversations").withColumn("line", line).filter(T.is_question(F.col("line"))).withColumn("o", F.struct("conv_id", "turn", "text"))
     return S.question_template(rows, "o", "line").select("id", "query")
 

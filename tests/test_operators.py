@@ -99,7 +99,9 @@ def test_text_edges(spark):
     assert one(spark, T.first_line_title(F.lit("  \n "))) is None
     assert one(spark, T.video_id(F.lit("https://www.youtube.com/watch?v=abc&x=1"))) == "abc"
     assert one(spark, T.video_id(F.lit("https://youtu.be/xyz"))) == "xyz"
-    assert one(spark, T.ascii_fold(F.lit("é–ﬁ"))) == "e-fi"
+    assert one(spark, T.ascii_fold(F.lit("é–ﬁ"))) == "efi"
+    assert one(spark, T.video_id(F.lit("https://notyoutube.com/watch?v=abc"))) == "watch?v=abc" and one(spark, T.video_id(F.lit("https://youtube.com/watch?t=1"))) is None
+    assert [one(spark, T.is_question(F.lit(m + " so?"))) for m in ("🧪", "📚", "⚙️", "💡", "❓", "🔹", "")] == [False] * 5 + [True] * 2
     assert one(spark, F.array_join(M.parse_gold(F.lit("\"a, b,,a'")), "|")) == "a|b"
 
 
@@ -174,3 +176,13 @@ def test_missing_methods_are_listed_and_not_claimed():
     assert all(m in missing for m in ("A12", "A13", "A22", "A24", "A26", "A28", "A29"))
     said = " ".join(registry.QUERIES[q].__doc__ for q in ("a12_zoib_mean", "a25_condition_hdi", "a28_contrasts"))
     assert "no A13" in said and "not A26" in said and "not A29" in said
+
+
+def test_no_part_passes_the_bound(spark):
+    texts = ["word " * 3000, "a-b-c-" * 900, "One. " * 40 + "two " * 700 + "end. Three four.", "short text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = C.keep_or_split(df, "id", "text", 500).collect()
+    assert max(r.token_length for r in got) == 500 and min(r.token_length for r in got) > 0
+    for k, t in enumerate(texts[:2]):
+        parts = [r.text for r in sorted(got, key=lambda r: r.part) if r.id == k]
+        assert "".join("".join(parts).split()) == "".join(t.split()) and len(parts) > 1
