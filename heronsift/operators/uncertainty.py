@@ -6,6 +6,7 @@ partitioning and rerun.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -84,10 +85,21 @@ def beta_interval(df: DataFrame, a: float = 0.5, b: float = 0.5) -> DataFrame:
     return out.withColumn("cri_lo", F.col("x.lo")).withColumn("cri_hi", F.col("x.hi")).drop("x")
 
 
-def report(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rates with formatted Wilson intervals."""
+def report(df: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
+    """Rates with both formatted intervals and the lower of their lower bounds."""
     lo, hi = wilson(F.col("n"), F.col("rate"))
-    return df.select(*by, "n", "successes", F.round("rate", 3).alias("rate"), F.round(lo, 3).alias("lo"), F.round(hi, 3).alias("hi"), F.format_string("[%.3f, %.3f]", lo, hi).alias("interval"))
+    shown = lambda a, b: F.format_string(f"[%.{digits}f, %.{digits}f]", a, b)
+    r = beta_interval(df)
+    return r.select(
+        *by, "n", F.round("rate", digits).alias("rate"), shown(lo, hi).alias("interval"), F.round("posterior_mean", digits).alias("posterior_mean"),
+        shown(F.col("cri_lo"), F.col("cri_hi")).alias("credible"), F.round(F.least(lo, F.col("cri_lo")), digits).alias("low"),
+    )
+
+
+def conservative_bound(df: DataFrame, by: list[str], panel: str) -> DataFrame:
+    """The lower of the Wilson and the credible lower bound per row, and the least of a panel."""
+    low = F.least(wilson(F.col("n"), F.col("rate"))[0], F.col("cri_lo"))
+    return beta_interval(df).select(*by, low.alias("low")).withColumn("panel_low", F.min("low").over(Window.partitionBy(panel)))
 
 
 def _numbered(df: DataFrame, column: str, by: list[str], key: str) -> DataFrame:
@@ -123,24 +135,75 @@ def bayes_bootstrap(df: DataFrame, column: str, by: list[str], key: str = "qid",
     return s.groupBy(*by).agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"))
 
 
-def dirichlet_mrr(df: DataFrame, by: list[str], draws: int = 100, k: int = 5) -> DataFrame:
+def _seed(label: str) -> np.random.Generator:
+    """A generator that depends on a label alone, so reruns and partitionings agree."""
+    return np.random.default_rng(list(hashlib.md5(label.encode()).digest()))
+
+
+def dirichlet_mrr(df: DataFrame, by: list[str], draws: int = 50_000, k: int = 5) -> DataFrame:
     """Posterior of the mean reciprocal rank on the support 0, 1/k, .., 1/2, 1 with a flat prior.
 
-    A Gamma(c + 1) weight is a sum of exponentials, here drawn by its normal
-    limit for large counts (cube-root form), so its cost does not grow with c.
+    A group reaches its draws as ``k + 1`` counts, so their cost does not grow with its rows.
     """
-    support = df.sparkSession.createDataFrame([(0, 0.0)] + [(r, 1.0 / r) for r in range(1, k + 1)], "slot int, v double")
-    slot = F.when(F.col("mrr") > 0, F.rint(1.0 / F.col("mrr"))).otherwise(0).cast("int")
-    counts = df.filter("mrr is not null").groupBy(*by, slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"))
-    groups = counts.select(*by).distinct()
-    full = groups.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k)))).join(F.broadcast(support), "slot").join(counts, [*by, "slot"], "left").withColumn("a", F.coalesce("c", F.lit(0)) + 1.0)
-    label = F.concat_ws("/", *by)
-    d = full.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    normal = F.sqrt(-2 * F.log(md5_uniform(label, F.col("b"), F.col("slot"), F.lit("r")))) * F.cos(2 * math.pi * md5_uniform(label, F.col("b"), F.col("slot"), F.lit("t")))
-    wilson_hilferty = F.col("a") * F.pow(F.greatest(F.lit(0.0), 1 - 1 / (9 * F.col("a")) + normal / (3 * F.sqrt("a"))), 3)
-    g = F.when(F.col("a") <= 1.0, -F.log(md5_uniform(label, F.col("b"), F.col("slot"), F.lit("e")))).otherwise(wilson_hilferty)
-    s = d.withColumn("gamma_weight", g).groupBy(*by, "b").agg((F.sum(F.col("gamma_weight") * F.col("v")) / F.sum("gamma_weight")).alias("s"))
-    return s.groupBy(*by).agg(F.avg("s").alias("mean"), F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"))
+    slot = F.when(F.col("mrr") > 0, F.rint(1.0 / F.col("mrr"))).otherwise(0)
+    counts = [F.count_if(slot == r).cast("double").alias(f"c{r}") for r in range(k + 1)]
+    g = df.filter("mrr is not null").groupBy(*by).agg(*counts)
+    support = np.array([0.0] + [1.0 / r for r in range(1, k + 1)])
+
+    @F.pandas_udf("struct<mean double, lo double, hi double>")
+    def posterior(label: pd.Series, *cs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for name, *c in zip(label, *cs):
+            m = _seed("mrr|" + name).dirichlet(np.array(c) + 1.0, draws) @ support
+            rows.append((m.mean(), *np.quantile(m, [0.025, 0.975])))
+        return pd.DataFrame(rows, columns=["mean", "lo", "hi"])
+
+    return g.withColumn("x", posterior(F.concat_ws("/", *by), *(F.col(f"c{r}") for r in range(k + 1)))).select(*by, "x.*")
+
+
+#: Draws of one task of ``resampled``.
+BLOCK_DRAWS = 500
+
+
+def resampled(df: DataFrame, column: str, by: list[str], draws: int = 10_000, statistic: str = "mean", bayesian: bool = False) -> DataFrame:
+    """Bootstrap (or Bayesian bootstrap) interval of a mean or median: ``n, mean, lo, hi`` of 95 % per group.
+
+    Rows reach the draws as counts per distinct value: n draws with replacement
+    are multinomial counts over the values, and a value's Dirichlet(1, ..)
+    weights of its rows sum to a Gamma weight of its count.  So a draw costs as
+    many numbers as there are values, and blocks of draws are tasks of their own.
+    """
+    values = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    packed = values.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x", "c"))).alias("xs"))
+    blocks = -(-draws // BLOCK_DRAWS)
+    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("label", F.concat_ws("|", F.concat_ws("/", *by), F.col("block").cast("string")))
+
+    @F.pandas_udf("array<double>")
+    def drawn(label: pd.Series, xs: pd.Series, block: pd.Series) -> pd.Series:
+        out = []
+        for name, items, b in zip(label, xs, block):
+            x, c = np.array([i["x"] for i in items]), np.array([i["c"] for i in items], float)
+            rng, size, stats = _seed(name), min(BLOCK_DRAWS, draws - b * BLOCK_DRAWS), []
+            for lo in range(0, size, 50):
+                some = min(50, size - lo)
+                w = rng.standard_gamma(c, (some, len(c))) if bayesian else rng.multinomial(int(c.sum()), c / c.sum(), some).astype(float)
+                if statistic == "mean":
+                    stats += (w @ x / w.sum(1)).tolist()
+                    continue
+                cum = w.cumsum(1) / w.sum(1)[:, None]
+                at = (cum >= 0.5 - 1e-12).argmax(1)
+                if bayesian:
+                    stats += x[at].tolist()
+                else:  # an even number of rows has two middle ones
+                    above = (cum > 0.5 + 1e-12).argmax(1)
+                    stats += ((x[at] + x[above]) / 2).tolist()
+            out.append(stats)
+        return pd.Series(out)
+
+    seen = dealt.repartition(*by, "block").select(*by, F.explode(drawn("label", "xs", "block")).alias("s"))
+    ends = seen.groupBy(*by).agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"))
+    middle = values.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
+    return middle.join(ends, by)
 
 
 def cube_means(df: DataFrame, column: str) -> DataFrame:
@@ -166,31 +229,64 @@ def beta_mle(n: float, mean: float, var: float, mean_ln: float, mean_ln1: float)
     return a, b
 
 
-def zoib_mean(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Group mean of a zero-one-inflated beta: boundary shares and a fitted middle.
+def zoib_mean(df: DataFrame, column: str, by: list[str], draws: int = 20_000) -> DataFrame:
+    """Posterior of a group's mean under a zero-one-inflated beta: exact mean, and 95 % bounds by draws.
 
-    Only five sums per group leave the aggregation.
+    The shares of zeros, ones and the middle are Dirichlet with a flat prior; the
+    middle's mean comes from a fitted beta, 0.5 where there is none to fit.  Only
+    a few sums per group leave the aggregation.
     """
     x = F.col(column)
     mid = (x > 1e-12) & (x < 1 - 1e-12)
     m = F.when(mid, x)
     stats = df.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(x <= 1e-12).alias("zeros"), F.count_if(x >= 1 - 1e-12).alias("ones"), F.count(m).alias("middle"), F.avg(m).alias("m1"), F.var_pop(m).alias("m2"), F.avg(F.log(m)).alias("ln"), F.avg(F.log1p(-m)).alias("ln1"))
 
-    @F.pandas_udf("struct<a double, b double>")
-    def fit(n: pd.Series, mean: pd.Series, var: pd.Series, ln: pd.Series, ln1: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([beta_mle(*r) for r in zip(n, mean, var, ln, ln1)], columns=["a", "b"])
-
-    f = stats.withColumn("f", fit(F.col("middle").cast("double"), "m1", "m2", "ln", "ln1"))
+    @F.pandas_udf("struct<a double, b double, lo double, hi double>")
+    def fit(label: pd.Series, zeros: pd.Series, ones: pd.Series, n: pd.Series, mean: pd.Series, var: pd.Series, ln: pd.Series, ln1: pd.Series) -> pd.DataFrame:
+        rows = []
+        for name, c0, c1, cm, *r in zip(label, zeros, ones, n, mean, var, ln, ln1):
+            a, b = beta_mle(cm, *r)
+            mu = a / (a + b) if a == a else 0.5
+            w = _seed("zoib|" + name).dirichlet([c0 + 1.0, c1 + 1.0, cm + 1.0], draws)
+            rows.append((a, b, *np.quantile(w[:, 1] + w[:, 2] * mu, [0.025, 0.975])))
+        return pd.DataFrame(rows, columns=["a", "b", "lo", "hi"])
+
+    f = stats.withColumn("f", fit(F.concat_ws("/", *by), *(F.col(c).cast("double") for c in ("zeros", "ones", "middle")), "m1", "m2", "ln", "ln1"))
     mu = F.coalesce(F.nanvl(F.col("f.a") / (F.col("f.a") + F.col("f.b")), F.lit(0.5)), F.lit(0.5))
     total = F.col("n") + 3
-    return f.select(*by, "n", "zeros", "ones", "middle", ((F.col("ones") + 1) / total + (F.col("middle") + 1) / total * mu).alias("mean"))
+    mean = (F.col("ones") + 1) / total + (F.col("middle") + 1) / total * mu
+    return f.select(*by, "n", "zeros", "ones", "middle", mean.alias("mean"), F.col("f.lo").alias("lo"), F.col("f.hi").alias("hi"), F.col("f.a").alias("alpha"), F.col("f.b").alias("beta"))
+
+
+def ndcg_summary(df: DataFrame, column: str, by: list[str], draws: int = 10_000) -> DataFrame:
+    """Twelve fields per group: size, mean with bootstrap bounds, posterior mean with bounds, shares of 0, 1 and between, fitted beta."""
+    b = resampled(df, column, by, draws).select(*by, F.col("mean").alias("mean_ndcg"), F.col("lo").alias("boot_low"), F.col("hi").alias("boot_high"))
+    z = zoib_mean(df.filter(F.col(column).isNotNull()), column, by)
+    return z.join(b, by).select(
+        *by, "n", "mean_ndcg", "boot_low", "boot_high", F.col("mean").alias("bayes_mean"), F.col("lo").alias("bayes_low"), F.col("hi").alias("bayes_high"),
+        (F.col("zeros") / F.col("n")).alias("zero_rate"), (F.col("ones") / F.col("n")).alias("one_rate"), (F.col("middle") / F.col("n")).alias("mid_rate"),
+        F.col("alpha").alias("beta_alpha_hat"), F.col("beta").alias("beta_beta_hat"),
+    )
+
+
+def ndcg_pair(df: DataFrame, column: str, by: list[str], draws: int = 20_000) -> DataFrame:
+    """The bootstrap and the Bayesian bootstrap interval of a mean side by side."""
+    f = resampled(df, column, by, draws).select(*by, "n", F.col("mean").alias("ndcg_mean"), F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
+    b = resampled(df, column, by, draws, bayesian=True).select(*by, F.col("lo").alias("cr_low"), F.col("hi").alias("cr_high"))
+    return f.join(b, by)
 
 
 def precision_posterior(df: DataFrame, by: list[str], k: int = 5) -> DataFrame:
-    """Beta-binomial from per-query precision: hits of trials, flat prior."""
+    """Beta-binomial from per-query precision: hits of trials, flat prior, mean and equal-tailed bounds."""
     hits = F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.rint(F.col("precision_gold") * k)))
-    g = df.groupBy(*by).agg(F.sum(hits).cast("long").alias("successes"), (F.count(F.lit(1)) * k).alias("n"))
-    return g.withColumn("posterior_mean", beta_mean(F.col("successes"), F.col("n"), 1.0, 1.0))
+    g = df.filter("precision_gold is not null").groupBy(*by).agg(F.sum(hits).cast("long").alias("successes"), (F.count(F.lit(1)) * k).alias("n"))
+    return beta_interval(g, 1.0, 1.0)
+
+
+def gold_summary(df: DataFrame, column: str, by: list[str], draws: int = 10_000) -> DataFrame:
+    """Size, mean with bootstrap bounds, median and quartiles per group."""
+    q = df.filter(F.col(column).isNotNull()).groupBy(*by).agg(F.percentile(column, 0.5).alias("median"), F.percentile(column, 0.25).alias("q25"), F.percentile(column, 0.75).alias("q75"))
+    return resampled(df, column, by, draws).join(q, by)
 
 
 def trade_off(df: DataFrame) -> DataFrame:
@@ -211,9 +307,13 @@ def design_matrix(df: DataFrame, modes: list[str], base_difficulty: str) -> Data
 
 
 def condition_draws(conditions: DataFrame, draws: DataFrame) -> DataFrame:
-    """Inverse-logit of the linear predictor per condition and draw (random effect 0)."""
+    """Inverse-logit of the linear predictor per condition and draw (random effect 0).
+
+    ``conditions`` is the design's grid, a row per difficulty and mode; it goes to the draws as an array.
+    """
     eta = F.col("b0") + F.col("b_mode") * F.col("mode_ord") + F.col("b_diff") * F.col("is_difficult")
-    return conditions.join(F.broadcast(draws)).select("difficulty", "mode", "mode_ord", "sample_id", (1 / (1 + F.exp(-eta))).alias("value"))
+    grid = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in conditions.columns)) for r in conditions.collect()))
+    return draws.select("*", F.inline(grid)).select("difficulty", "mode", "mode_ord", "sample_id", (1 / (1 + F.exp(-eta))).alias("value"))
 
 
 def hdi(draws: DataFrame, by: list[str], n: int, mass: float = 0.95, column: str = "value") -> DataFrame:
@@ -224,15 +324,43 @@ def hdi(draws: DataFrame, by: list[str], n: int, mass: float = 0.95, column: str
     return wide.groupBy(*by).agg(best).select(*by, F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
 
 
-def contrasts(draws: DataFrame) -> DataFrame:
-    """Pairwise differences of modes per draw, averaged over difficulty; mean and P(A > B)."""
-    m = draws.groupBy("mode", "mode_ord", "sample_id").agg(F.avg("value").alias("value"))
+def expected_values(draws: DataFrame, inflation: DataFrame) -> DataFrame:
+    """``value`` of each draw with inflation: ``p_one + p_middle * value``; ``inflation`` has a row per draw."""
+    return draws.join(inflation.select("sample_id", "p_one", "p_middle"), "sample_id").withColumn("value", F.col("p_one") + F.col("p_middle") * F.col("value")).drop("p_one", "p_middle")
+
+
+def summary_of_draws(draws: DataFrame, by: list[str], n: int, column: str = "value") -> DataFrame:
+    """Mean, narrowest 95 % interval and the share above 0 of ``n`` draws per group."""
+    m = draws.groupBy(*by).agg(F.avg(column).alias("mean"), F.avg((F.col(column) > 0).cast("double")).alias("p_greater"))
+    return m.join(hdi(draws, by, n, column=column), by)
+
+
+def contrasts(draws: DataFrame, n: int, within: list[str] | None = None) -> DataFrame:
+    """Pairwise differences of modes per draw: mean, narrowest interval, P(A > B) and its label.
+
+    Averaged over difficulty, or within each of ``within``.
+    """
+    by = within or []
+    m = draws.groupBy(*by, "mode", "mode_ord", "sample_id").agg(F.avg("value").alias("value"))
     a, b = m.alias("a"), m.alias("b")
-    d = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.mode_ord") < F.col("b.mode_ord"))).select(F.col("a.mode").alias("mode_a"), F.col("b.mode").alias("mode_b"), (F.col("a.value") - F.col("b.value")).alias("delta"))
-    out = d.groupBy("mode_a", "mode_b").agg(F.avg("delta").alias("delta"), F.avg((F.col("delta") > 0).cast("double")).alias("p_greater"))
+    on = (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.mode_ord") < F.col("b.mode_ord"))
+    for c in by:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    d = a.join(b, on).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.mode").alias("mode_a"), F.col("b.mode").alias("mode_b"), "a.sample_id", (F.col("a.value") - F.col("b.value")).alias("value"))
+    out = summary_of_draws(d, [*by, "mode_a", "mode_b"], n).withColumnRenamed("mean", "delta")
     return out.withColumn("evidence", evidence(F.col("p_greater")))
 
 
+def main_effects(draws: DataFrame, n: int, base_mode: str, first: str = "easy", second: str = "difficult") -> DataFrame:
+    """The effect of difficulty averaged over modes, and of each mode against a base averaged over difficulty."""
+    wide = draws.groupBy("mode", "sample_id").pivot("difficulty", [first, second]).agg(F.first("value"))
+    easy = wide.groupBy("sample_id").agg(F.avg(F.col(first) - F.col(second)).alias("value")).withColumn("effect", F.lit(f"{first} - {second}"))
+    mode = draws.groupBy("mode", "sample_id").agg(F.avg("value").alias("value"))
+    base = mode.filter(F.col("mode") == base_mode).select("sample_id", F.col("value").alias("base"))
+    against = mode.filter(F.col("mode") != base_mode).join(base, "sample_id").select("sample_id", (F.col("value") - F.col("base")).alias("value"), F.concat("mode", F.lit(f" - {base_mode}")).alias("effect"))
+    return summary_of_draws(easy.unionByName(against), ["effect"], n)
+
+
 def interaction(draws: DataFrame, base_mode: str) -> DataFrame:
     """Difference in differences against a base mode: mean over draws."""
     wide = draws.groupBy("mode", "sample_id").pivot("difficulty", ["difficult", "easy"]).agg(F.first("value")).withColumn("gap", F.col("difficult") - F.col("easy"))
@@ -245,56 +373,123 @@ def evidence(p: Column) -> Column:
     return F.when(p >= 0.95, "strong A").when(p >= 0.80, "moderate A").when(p > 0.20, "inconclusive").when(p > 0.05, "moderate B").otherwise("strong B")
 
 
-def mixed_logistic(df: DataFrame, label: str, features: list[str], group: str, chains: int = 4, tune: int = 500, draws: int = 500, seed: int = 42) -> DataFrame:
-    """Bernoulli mixed model with a random intercept: adaptive Metropolis, one chain per task.
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the Gamma function: Stirling's series after a shift by eight."""
+    shift = x * (x + 7)
+    # x (x+1) .. (x+7) as products of pairs that all grow by the same square.
+    product = shift * (shift + 6) * (shift + 10) * (shift + 12)
+    y = x + 8
+    r = 1 / y
+    r2 = r * r
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680))) - np.log(product)
 
-    Rows reach the chains as counts per distinct (group, features) combination.
-    Given the other parameters the groups' intercepts are independent, so a step
-    proposes all of them at once and accepts each by its own counts.
+
+def mixed_model(df: DataFrame, label: str, features: list[str], group: str, family: str = "bernoulli", chains: int = 4, tune: int = 2000, draws: int = 2000, seed: int = 42, clip: float = 1e-4) -> DataFrame:
+    """Mixed model with a random intercept by adaptive Metropolis, one chain per task: ``chain, draw, parameter, value``.
+
+    ``bernoulli``: success with a logistic mean.  ``beta``: labels inside (0, 1),
+    clipped, with precision ~ Gamma(2, rate 0.1).  ``zoib``: labels inside are beta with
+    precision ~ Exponential(2); zeros and ones have shares that are the softmax of
+    three standard normal logits.  Effects are standard normal, the intercepts'
+    deviation is half-normal.
+
+    Rows reach the chains as a few sums per distinct (group, features).  Given the
+    other parameters the groups' intercepts are independent, so a step proposes
+    all of them at once and accepts each by its own sums.
     """
     spark = df.sparkSession
-    packed = df.filter(F.col(label).isNotNull()).groupBy(group, *features).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("k"))
-    data = packed.toPandas()  # a row per query and condition
+    y = F.col(label).cast("double")
+    told = df.filter(y.isNotNull())
+    inside = told.filter((y > 0) & (y < 1)) if family != "bernoulli" else told
+    held = F.least(F.greatest(y, F.lit(clip)), F.lit(1 - clip)) if family == "beta" else y
+    sums = [F.sum(y).alias("k")] if family == "bernoulli" else [F.sum(F.log(held)).alias("k"), F.sum(F.log1p(-held)).alias("k1")]
+    data = inside.groupBy(group, *features).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums).toPandas()  # a row per query and condition
+    shares = told.agg(F.count_if(y <= 0), F.count_if(y >= 1), F.count_if((y > 0) & (y < 1))).first()
     x, n, k = data[features].to_numpy(float), data["n"].to_numpy(float), data["k"].to_numpy(float)
+    k1 = data["k1"].to_numpy(float) if family != "bernoulli" else None
     g, names = pd.factorize(data[group])
     p, q = len(features), len(names)
-
-    def likelihood(eta: np.ndarray) -> np.ndarray:
-        return k * eta - n * np.logaddexp(0, eta)
+    extra = {"bernoulli": [], "beta": ["log_phi"], "zoib": ["log_phi", "logit_zero", "logit_one", "logit_middle"]}[family]
+    counts = np.array([float(c or 0) for c in shares])
+
+    def likelihood(eta: np.ndarray, phi: float) -> np.ndarray:
+        if family == "bernoulli":
+            return k * eta - n * np.logaddexp(0, eta)
+        a = np.maximum(phi / (1 + np.exp(-eta)), 1e-12)
+        b = np.maximum(phi - a, 1e-12)
+        return n * (math.lgamma(phi) - lgamma(a) - lgamma(b)) + (a - 1) * k + (b - 1) * k1
+
+    def prior(name: str, v: float) -> float:
+        if name == "log_sd":
+            return v - 0.5 * math.exp(2 * v)
+        if name == "log_phi":
+            return v - 2 * math.exp(v) if family == "zoib" else 2 * v - 0.1 * math.exp(v)
+        return -0.5 * v * v
 
     def run(batches):
         for pdf in batches:
             for chain in pdf["chain"]:
                 rng = np.random.default_rng(seed + int(chain))
-                fixed, u = np.zeros(p + 1), np.zeros(q)  # the last fixed one is log_sd
-                scale, scale_u = np.full(p + 1, 0.3), np.full(q, 0.3)
-                prior = lambda j, v: -0.5 * v * v if j < p else v - 0.5 * math.exp(2 * v)
+                known = [*features, "log_sd", *extra]
+                fixed, u = np.zeros(len(known)), np.zeros(q)
+                at_phi = p + 1
+                phi = lambda v: math.exp(v[at_phi]) if extra else 1.0
+                scale, scale_u = np.full(len(known), 0.3), np.full(q, 0.3)
                 eta = x @ fixed[:p] + math.exp(fixed[p]) * u[g]
-                now, rows = likelihood(eta), []
+                now, rows = likelihood(eta, phi(fixed)), []
+                mass = lambda v: float(counts @ (v - np.logaddexp.reduce(v)))
                 for step in range(tune + draws):
                     rate = 1 / math.sqrt(1 + step / 20)
-                    for j in range(p + 1):
-                        new = fixed[j] + scale[j] * rng.standard_normal()
-                        moved = eta + ((new - fixed[j]) * x[:, j] if j < p else (math.exp(new) - math.exp(fixed[p])) * u[g])
-                        value = likelihood(moved)
-                        ok = math.log(rng.random()) < value.sum() - now.sum() + prior(j, new) - prior(j, fixed[j])
+                    for j, name in enumerate(known):
+                        new = fixed.copy()
+                        new[j] += scale[j] * rng.standard_normal()
+                        moved, value = eta, now
+                        if j <= at_phi:
+                            moved = eta + ((new[j] - fixed[j]) * x[:, j] if j < p else (math.exp(new[p]) - math.exp(fixed[p])) * u[g] if j == p else 0.0)
+                            value = likelihood(moved, phi(new))
+                            gain = value.sum() - now.sum()
+                        else:
+                            gain = mass(new[at_phi + 1 :]) - mass(fixed[at_phi + 1 :])
+                        ok = math.log(rng.random()) < gain + prior(name, new[j]) - prior(name, fixed[j])
                         if ok:
-                            fixed[j], eta, now = new, moved, value
+                            fixed, eta, now = new, moved, value
                         if step < tune:
                             scale[j] *= math.exp((0.6 if ok else -0.4) * rate)
                     sd = math.exp(fixed[p])
                     new_u = u + scale_u * rng.standard_normal(q)
-                    value = likelihood(eta + sd * (new_u - u)[g])
+                    value = likelihood(eta + sd * (new_u - u)[g], phi(fixed))
                     gain = np.bincount(g, value - now, minlength=q) - 0.5 * (new_u * new_u - u * u)
                     yes = np.log(rng.random(q)) < gain
                     u = np.where(yes, new_u, u)
                     eta = x @ fixed[:p] + sd * u[g]
-                    now = likelihood(eta)
+                    now = likelihood(eta, phi(fixed))
                     if step < tune:
                         scale_u *= np.exp(np.where(yes, 0.6, -0.4) * rate)
                     if step >= tune:
-                        rows += [(int(chain), step - tune, f, float(v)) for f, v in zip([*features, "log_sd"], fixed)]
+                        rows += [(int(chain), step - tune, f, float(v)) for f, v in zip(known, fixed)]
                 yield pd.DataFrame(rows, columns=["chain", "draw", "parameter", "value"])
 
     ids = spark.range(chains).withColumnRenamed("id", "chain").repartition(chains, "chain")
     return ids.mapInPandas(run, "chain long, draw long, parameter string, value double")
+
+
+def inflation_of(draws: DataFrame) -> DataFrame:
+    """``sample_id, p_zero, p_one, p_middle`` of a ``zoib`` model's draws."""
+    z = draws.groupBy("chain", "draw").pivot("parameter", ["logit_zero", "logit_one", "logit_middle"]).agg(F.first("value"))
+    e = [F.exp(F.col(c)) for c in ("logit_zero", "logit_one", "logit_middle")]
+    total = e[0] + e[1] + e[2]
+    return z.select(F.concat_ws("/", "chain", "draw").alias("sample_id"), *((v / total).alias(c) for v, c in zip(e, ("p_zero", "p_one", "p_middle"))))
+
+
+def model_conditions(draws: DataFrame, modes: list[str], base_difficulty: str, other_difficulty: str) -> DataFrame:
+    """Mean per condition and draw of a fitted model on ``design_matrix`` effects (random effect 0)."""
+    effects = ["intercept", "x_difficulty", *(f"x_{kind}{k}" for kind in ("mode", "inter") for k in range(1, len(modes)))]
+    wide = draws.groupBy("chain", "draw").pivot("parameter", effects).agg(F.first("value")).withColumn("sample_id", F.concat_ws("/", "chain", "draw"))
+
+    def cell(d: int, m: int) -> Column:
+        eta = F.col("intercept") + F.col("x_difficulty") * d
+        if m:
+            eta = eta + F.col(f"x_mode{m}") + F.col(f"x_inter{m}") * d
+        return F.struct(F.lit((base_difficulty, other_difficulty)[d]).alias("difficulty"), F.lit(modes[m]).alias("mode"), F.lit(m + 1).cast("long").alias("mode_ord"), (1 / (1 + F.exp(-eta))).alias("value"))
+
+    return wide.select("sample_id", F.inline(F.array(*(cell(d, m) for d in (0, 1) for m in range(len(modes))))))

@@ -247,14 +247,32 @@ def a01_rates_wilson_beta(spark, sf):
     return r.withColumn("lo", lo).withColumn("hi", hi).withColumn("posterior_mean", A.beta_mean(F.col("successes"), F.col("n")))
 
 
-@query()
+def credible(source: str, prior: float) -> str:
+    """SQL of ``cred``: the density of each group's beta on 100,000 cells, summed up to both bounds.
+
+    The cells are even in the angle whose squared sine is the rate, where the density has no poles.
+    """
+    part = "PARTITION BY difficulty, mode"
+    return f""", post AS (SELECT difficulty, mode, successes + {prior} AS pa, n - successes + {prior} AS pb FROM {source}),
+dens AS (SELECT difficulty, mode, i, (2 * pa - 1) * ln(sin(pi() / 2 * (i + 0.5) / 100000)) + (2 * pb - 1) * ln(cos(pi() / 2 * (i + 0.5) / 100000)) AS l FROM post, range(100000) t(i)),
+mass AS (SELECT difficulty, mode, i, exp(l - max(l) OVER ({part})) AS w FROM dens),
+cum AS (SELECT difficulty, mode, i, w / sum(w) OVER ({part}) AS p, sum(w) OVER ({part} ORDER BY i) / sum(w) OVER ({part}) AS c FROM mass),
+cred AS (SELECT difficulty, mode, pow(sin(pi() / 2 * arg_min((i + 1 - (c - 0.025) / p) / 100000, i) FILTER (WHERE c >= 0.025)), 2) AS cri_lo, pow(sin(pi() / 2 * arg_min((i + 1 - (c - 0.975) / p) / 100000, i) FILTER (WHERE c >= 0.975)), 2) AS cri_hi FROM cum GROUP BY difficulty, mode)"""
+
+
+CRED = RATES + credible("r", 0.5) + ", rated AS (SELECT r.*, (successes + 0.5) / (n + 1.0) AS posterior_mean, cri_lo, cri_hi FROM r JOIN cred ON r.difficulty = cred.difficulty AND r.mode = cred.mode)"
+
+
+@query(CRED + " SELECT difficulty, mode, n, successes, round(rate, 6) AS rate, round(posterior_mean, 6) AS posterior_mean, round(cri_lo, 6) AS cri_lo, round(cri_hi, 6) AS cri_hi FROM rated")
 def a03_beta_interval(spark, sf):
-    """Equal-tailed posterior bounds, tested against known values."""
+    """Posterior means and equal-tailed bounds of success rates."""
     return A.beta_interval(A.rates(metric_rows(spark, sf), "success", BY))
 
 
-@query(RATES + f" SELECT difficulty, mode, n, successes, round(rate, 3) AS rate, round({WILSON.format(s='-')}, 3) AS lo, round({WILSON.format(s='+')}, 3) AS hi, printf('[%.3f, %.3f]', {WILSON.format(s='-')}, {WILSON.format(s='+')}) AS interval FROM r")
+@query(CRED + f""" SELECT difficulty, mode, n, round(rate, 3) AS rate, printf('[%.3f, %.3f]', {WILSON.format(s='-')}, {WILSON.format(s='+')}) AS interval, round(posterior_mean, 3) AS posterior_mean,
+printf('[%.3f, %.3f]', cri_lo, cri_hi) AS credible, round(least({WILSON.format(s='-')}, cri_lo), 3) AS low FROM rated""")
 def a04_report(spark, sf):
+    """Rates with both formatted intervals and the lower of their lower bounds."""
     return A.report(A.rates(metric_rows(spark, sf), "success", BY), BY)
 
 
@@ -286,9 +304,23 @@ def a17_bayes_median(spark, sf):
     return A.bayes_bootstrap(metric_rows(spark, sf), "ndcg", BY, draws=50, statistic="median")
 
 
+@query()
+def a06_bootstrap_full(spark, sf):
+    """Bootstrap of the mean with the reference's 10,000 draws over counts of values (A05), tested against its normal limit."""
+    return A.resampled(metric_rows(spark, sf), "mrr", BY, draws=10_000)
+
+
+@query()
+def a17_bayes_median_full(spark, sf):
+    """Bootstrap and Bayesian bootstrap of the median with 10,000 draws (A16, A17), tested likewise."""
+    rows = metric_rows(spark, sf)
+    kinds = [A.resampled(rows, "ndcg", BY, 10_000, "median", bayes).withColumn("bayesian", F.lit(bayes)) for bayes in (False, True)]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query()
 def a08_dirichlet_mrr(spark, sf):
-    """Posterior of the mean reciprocal rank per group, tested against its exact mean."""
+    """Posterior of the mean reciprocal rank per group, tested against its exact mean and deviation."""
     return A.dirichlet_mrr(metric_rows(spark, sf), BY, draws=50_000)
 
 
@@ -305,25 +337,47 @@ def a10_cube(spark, sf):
 
 @query()
 def a12_zoib_mean(spark, sf):
-    """Zero-one-inflated beta means (A11 and the point mean of A12; no draws, no A13), tested against plain means."""
+    """Zero-one-inflated beta means with bounds by 20,000 draws (A11, A12), tested against the Dirichlet's exact moments."""
     return A.zoib_mean(metric_rows(spark, sf), "ndcg", BY)
 
 
+@query()
+def a13_ndcg_summary(spark, sf):
+    """Twelve fields per group."""
+    return A.ndcg_summary(metric_rows(spark, sf), "ndcg", BY)
+
+
+@query()
+def a13_ndcg_pair(spark, sf):
+    """Bootstrap and Bayesian bootstrap of the mean side by side, 20,000 draws."""
+    return A.ndcg_pair(metric_rows(spark, sf), "ndcg", BY)
+
+
 @query(J + ", md AS (SELECT difficulty, precision_gold, recall_gold FROM m) " + _described("md", ["precision_gold", "recall_gold"], 6, "difficulty"))
 def a14_group_tables(spark, sf):
     return M.describe(metric_rows(spark, sf), ["precision_gold", "recall_gold"], ["difficulty"])
 
 
-@query(J + "SELECT difficulty, mode, CAST(sum(greatest(0, least(5, round(precision_gold * 5)))) AS BIGINT) AS successes, count(*) * 5 AS n, round((sum(greatest(0, least(5, round(precision_gold * 5)))) + 1) / (count(*) * 5 + 2), 6) AS posterior_mean FROM m GROUP BY ALL")
+@query()
+def a14_gold_summary(spark, sf):
+    """Precision and recall per group: size, mean with bootstrap bounds, median and quartiles."""
+    rows = metric_rows(spark, sf)
+    kinds = [A.gold_summary(rows, c, BY).withColumn("metric", F.lit(c)) for c in ("precision_gold", "recall_gold")]
+    return kinds[0].unionByName(kinds[1])
+
+
+HITS = J + ", h AS (SELECT difficulty, mode, CAST(sum(greatest(0, least(5, round(precision_gold * 5)))) AS BIGINT) AS successes, count(*) * 5 AS n FROM m WHERE precision_gold IS NOT NULL GROUP BY difficulty, mode)"
+
+
+@query(HITS + credible("h", 1.0) + " SELECT h.difficulty, h.mode, successes, n, round((successes + 1) / (n + 2), 6) AS posterior_mean, round(cri_lo, 6) AS cri_lo, round(cri_hi, 6) AS cri_hi FROM h JOIN cred ON h.difficulty = cred.difficulty AND h.mode = cred.mode")
 def a15_precision_posterior(spark, sf):
     return A.precision_posterior(metric_rows(spark, sf), BY)
 
 
-@query(RATES + f", w AS (SELECT difficulty, mode, least({WILSON.format(s='-')}, (successes + 0.5) / (n + 1.0)) AS low FROM r) SELECT difficulty, mode, round(low, 6) AS low, round(min(low) OVER (PARTITION BY difficulty), 6) AS panel_low FROM w")
+@query(CRED + f", w AS (SELECT difficulty, mode, least({WILSON.format(s='-')}, cri_lo) AS low FROM rated) SELECT difficulty, mode, round(low, 6) AS low, round(min(low) OVER (PARTITION BY difficulty), 6) AS panel_low FROM w")
 def a18_conservative_bound(spark, sf):
-    r = A.rates(metric_rows(spark, sf), "success", BY)
-    low = F.least(A.wilson(F.col("n"), F.col("rate"))[0], A.beta_mean(F.col("successes"), F.col("n")))
-    return r.select(*BY, low.alias("low")).withColumn("panel_low", F.min("low").over(Window.partitionBy("difficulty")))
+    """The lower of both intervals' lower bounds, per row and per panel."""
+    return A.conservative_bound(A.rates(metric_rows(spark, sf), "success", BY), BY, "difficulty")
 
 
 @query(J + "SELECT difficulty, mode, round(avg(precision_gold), 6) AS precision, round(avg(recall_gold), 6) AS recall FROM m GROUP BY ALL")
@@ -336,14 +390,39 @@ def a20_design_matrix(spark, sf):
     return A.design_matrix(metric_rows(spark, sf), MODES, "easy")
 
 
+EFFECTS = ["intercept", "x_difficulty", *(f"x_{kind}{k}" for kind in ("mode", "inter") for k in range(1, len(MODES)))]
+
+
+def modelled(spark, sf, label: str, family: str) -> DataFrame:
+    rows = metric_rows(spark, sf)
+    x = A.design_matrix(rows, MODES, "easy").select("qid", "difficulty", "mode", *EFFECTS).distinct()
+    y = rows.select("qid", "difficulty", "mode", label)
+    return A.mixed_model(x.join(y, ["qid", "difficulty", "mode"]), label, EFFECTS, "qid", family, chains=4, tune=2000, draws=2000)
+
+
 @query()
 def a21_mixed_model(spark, sf):
-    """Posterior draws of the mixed logistic model (A21; A23 with another label)."""
-    rows = metric_rows(spark, sf)
-    effects = ["intercept", "x_difficulty", *(f"x_{kind}{k}" for kind in ("mode", "inter") for k in range(1, len(MODES)))]
-    x = A.design_matrix(rows, MODES, "easy").select("qid", "difficulty", "mode", *effects).distinct()
-    y = rows.select("qid", "difficulty", "mode", "success")
-    return A.mixed_logistic(x.join(y, ["qid", "difficulty", "mode"]), "success", effects, "qid", chains=4, tune=2000, draws=2000)
+    """Posterior draws of the mixed logistic model (A21; A23 with another label), tested on planted effects."""
+    return modelled(spark, sf, "success", "bernoulli")
+
+
+@query()
+def a22_zoib_model(spark, sf):
+    """Posterior draws of the zero-one-inflated beta mixed model (A22), tested on planted effects."""
+    return modelled(spark, sf, "ndcg", "zoib")
+
+
+@query()
+def a24_beta_model(spark, sf):
+    """Posterior draws of the conditional beta mixed model (A24), tested on planted effects."""
+    return modelled(spark, sf, "ndcg", "beta")
+
+
+@query()
+def a29_fitted_effects(spark, sf):
+    """Conditions of the fitted logistic model, their contrasts and main effects (A25, A28, A29 on a posterior)."""
+    cells = A.model_conditions(modelled(spark, sf, "success", "bernoulli"), MODES, *DIFFICULTIES)
+    return A.main_effects(cells, 8000, "BM25").select("effect", "mean", "lo", "hi", "p_greater")
 
 
 #: Posterior draws made from md5, the same on both engines.
@@ -363,15 +442,57 @@ def draws(spark) -> DataFrame:
 
 @query(DRAWS + ", w AS (SELECT *, lead(value, 950) OVER (PARTITION BY difficulty, mode ORDER BY value, sample_id) AS hi FROM draws), x AS (SELECT *, row_number() OVER (PARTITION BY difficulty, mode ORDER BY hi - value, value) AS rn FROM w WHERE hi IS NOT NULL), p AS (SELECT difficulty, mode, avg(value) AS mean FROM draws GROUP BY ALL) SELECT x.difficulty, x.mode, round(p.mean, 6) AS mean, round(x.value, 6) AS lo, round(x.hi, 6) AS hi FROM x JOIN p ON x.difficulty = p.difficulty AND x.mode = p.mode WHERE rn = 1")
 def a25_condition_hdi(spark, sf):
-    """Means and narrowest intervals per condition (A25, A27; not A26), over md5 draws instead of a fitted posterior."""
+    """Means and narrowest intervals per condition (A25, A27), over md5 draws."""
     d = draws(spark)
     return d.groupBy(*BY).agg(F.avg("value").alias("mean")).join(A.hdi(d, BY, 1000), BY)
 
 
-@query(DRAWS + ", g AS (SELECT mode, mode_ord, sample_id, avg(value) AS value FROM draws GROUP BY ALL), c AS (SELECT a.mode AS mode_a, b.mode AS mode_b, avg(a.value - b.value) AS delta, avg(CAST(a.value > b.value AS DOUBLE)) AS p FROM g a JOIN g b ON a.sample_id = b.sample_id AND a.mode_ord < b.mode_ord GROUP BY a.mode, b.mode) SELECT mode_a, mode_b, round(delta, 6) AS delta, round(p, 6) AS p_greater, CASE WHEN p >= 0.95 THEN 'strong A' WHEN p >= 0.8 THEN 'moderate A' WHEN p > 0.2 THEN 'inconclusive' WHEN p > 0.05 THEN 'moderate B' ELSE 'strong B' END AS evidence FROM c")
+def narrowest(source: str, by: str) -> str:
+    """SQL of mean, narrowest 95 % interval and share above 0 of 1000 draws per group."""
+    return f""", led AS (SELECT *, lead(value, 950) OVER (PARTITION BY {by} ORDER BY value, sample_id) AS hi FROM {source}),
+nr AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY hi - value, value) AS rn FROM led WHERE hi IS NOT NULL),
+pm AS (SELECT {by}, avg(value) AS mean, avg(CAST(value > 0 AS DOUBLE)) AS p_greater FROM {source} GROUP BY {by}),
+shown AS (SELECT pm.*, nr.value AS lo, nr.hi FROM pm JOIN nr USING ({by}) WHERE rn = 1) """
+
+
+CONTRAST = """, c AS (SELECT {by}a.mode AS mode_a, b.mode AS mode_b, a.sample_id, a.value - b.value AS value FROM g a JOIN g b ON a.sample_id = b.sample_id AND a.mode_ord < b.mode_ord{on})"""
+LABEL = "CASE WHEN p_greater >= 0.95 THEN 'strong A' WHEN p_greater >= 0.8 THEN 'moderate A' WHEN p_greater > 0.2 THEN 'inconclusive' WHEN p_greater > 0.05 THEN 'moderate B' ELSE 'strong B' END AS evidence"
+
+
+@query(DRAWS + ", g AS (SELECT mode, mode_ord, sample_id, avg(value) AS value FROM draws GROUP BY ALL)" + CONTRAST.format(by="", on="") + narrowest("c", "mode_a, mode_b")
+       + f"SELECT mode_a, mode_b, round(mean, 6) AS delta, round(p_greater, 6) AS p_greater, round(lo, 6) AS lo, round(hi, 6) AS hi, {LABEL} FROM shown")
 def a28_contrasts(spark, sf):
-    """Pairwise contrasts of modes with evidence labels (A28 without intervals or within difficulties, A31; not A29), over md5 draws."""
-    return A.contrasts(draws(spark))
+    """Pairwise contrasts of modes with intervals and evidence labels (A28, A31), over md5 draws."""
+    return A.contrasts(draws(spark), 1000)
+
+
+@query(DRAWS + ", g AS (SELECT * FROM draws)" + CONTRAST.format(by="a.difficulty, ", on=" AND a.difficulty = b.difficulty") + narrowest("c", "difficulty, mode_a, mode_b")
+       + f"SELECT difficulty, mode_a, mode_b, round(mean, 6) AS delta, round(p_greater, 6) AS p_greater, round(lo, 6) AS lo, round(hi, 6) AS hi, {LABEL} FROM shown")
+def a28_contrasts_within(spark, sf):
+    """The same within each difficulty (A28), over md5 draws."""
+    return A.contrasts(draws(spark), 1000, ["difficulty"])
+
+
+@query(DRAWS + """, g AS (SELECT mode, sample_id, avg(value) AS value FROM draws GROUP BY ALL),
+c AS (SELECT 'easy - difficult' AS effect, sample_id, avg(CASE WHEN difficulty = 'easy' THEN value ELSE -value END) * 2 AS value FROM draws GROUP BY sample_id
+UNION ALL SELECT a.mode || ' - BM25', a.sample_id, a.value - b.value FROM g a JOIN g b ON a.sample_id = b.sample_id AND b.mode = 'BM25' WHERE a.mode <> 'BM25')""" + narrowest("c", "effect")
+       + "SELECT effect, round(mean, 6) AS mean, round(p_greater, 6) AS p_greater, round(lo, 6) AS lo, round(hi, 6) AS hi FROM shown")
+def a29_main_effects(spark, sf):
+    """Main effects of difficulty and of each mode against BM25 (A29), over md5 draws."""
+    return A.main_effects(draws(spark), 1000, "BM25")
+
+
+INFLATION = "e AS (SELECT s AS sample_id, {0} AS z1, {1} AS z2, {2} AS z3 FROM (SELECT unnest(range(1000)) AS s))".format(*(f"exp((CAST(CAST('0x' || substr(md5('z{k}|' || s), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0)" for k in (1, 2, 3)))
+
+
+@query(DRAWS + ", " + INFLATION + ", c AS (SELECT d.difficulty, d.mode, d.sample_id, z2 / (z1 + z2 + z3) + z3 / (z1 + z2 + z3) * d.value AS value FROM draws d JOIN e ON d.sample_id = e.sample_id)" + narrowest("c", "difficulty, mode")
+       + "SELECT difficulty, mode, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM shown")
+def a26_expected_values(spark, sf):
+    """Expected values with inflation per draw: mean and narrowest interval (A26, A27), over md5 draws."""
+    z = [F.exp(A.md5_uniform(F.lit(f"z{k}"), F.col("id"))) for k in (1, 2, 3)]
+    total = z[0] + z[1] + z[2]
+    inflation = spark.range(1000).select(F.col("id").alias("sample_id"), (z[1] / total).alias("p_one"), (z[2] / total).alias("p_middle"))
+    return A.summary_of_draws(A.expected_values(draws(spark), inflation), BY, 1000).select(*BY, "mean", "lo", "hi")
 
 
 @query(DRAWS + ", g AS (SELECT mode, sample_id, max(value) FILTER (WHERE difficulty = 'difficult') - max(value) FILTER (WHERE difficulty = 'easy') AS gap FROM draws GROUP BY ALL) SELECT a.mode, round(avg(a.gap - b.gap), 6) AS did FROM g a JOIN g b ON a.sample_id = b.sample_id AND b.mode = 'BM25' WHERE a.mode <> 'BM25' GROUP BY a.mode")
