@@ -19,9 +19,9 @@ only what lies there is sorted.  A document's copies then follow from its own ro
 source's row, so the texts are not shuffled.
 
 Defined cases: null and empty texts have size 0 and are never taken; null
-sources are one source; rows without id draw by the hash of their text, rows
-alike in id, source and size share one decision; an empty table gives an empty
-result; other columns are kept or ignored.
+sources are one source; rows without id draw by the hash of their text; of rows
+alike in id, text and source each draws for itself, by its place in the table;
+an empty table gives an empty result; other columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, new_path, word_count, written
+from .common import new_path, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -83,9 +83,10 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_c
     return table.withColumn("target", F.when(capped, cap.cast("double")).otherwise(share))
 
 
-def uniform(id_col: Column, text_hash: Column, seed: str = SEED) -> Column:
-    """A number above 0 and under 1 from the md5 of seed and id (or text hash)."""
+def uniform(id_col: Column, text_hash: Column, seed: str = SEED, place: Column | None = None) -> Column:
+    """A number above 0 and under 1 from the md5 of seed, id (or text hash) and, where it is not null, a place."""
     key = F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.concat(F.lit("t"), text_hash.cast("string"))))
+    key = key if place is None else F.concat(key, F.coalesce(F.concat(F.lit(":"), place.cast("string")), F.lit("")))
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -125,17 +126,42 @@ def _with_rates(classes: DataFrame, targets: DataFrame) -> DataFrame:
     return j.withColumn("fit", F.expr(fold)).select("source", "words", "weight", "target", "base", "missing", F.col("fit.c").alias("c"))
 
 
-def mix_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> tuple[DataFrame, DataFrame, int]:
-    """The compact table of documents, the table of sources with their cut-offs, and its length.
+#: What a row draws by: its id, the hash of its text, its source.
+_DRAWS_BY = ["hs_mix_id", "hs_mix_text", "hs_mix_source"]
+
+
+def _with_draws(rows: DataFrame, alike: DataFrame | None, seed: str) -> DataFrame:
+    """Add ``u`` to rows with ``_DRAWS_BY`` and ``hs_mix_place``; ``alike``: what several rows draw by."""
+    place = None
+    if alike is not None:
+        same = [F.coalesce(rows[c].cast("string"), F.lit("")) == F.coalesce(alike[c].cast("string"), F.lit("")) for c in _DRAWS_BY]
+        nulls = [rows[c].isNull() == alike[c].isNull() for c in _DRAWS_BY]
+        on = same[0]
+        for c in same[1:] + nulls:
+            on = on & c
+        marked = alike.withColumn("hs_mix_alike", F.lit(True))
+        rows = rows.join(marked, on, "left").select(*(rows[c] for c in rows.columns), "hs_mix_alike")
+        place = F.when(F.col("hs_mix_alike"), F.col("hs_mix_place"))
+    made = rows.withColumn("u", uniform(F.col("hs_mix_id"), F.col("hs_mix_text"), seed, place))
+    return made.drop("hs_mix_alike")
+
+
+def _drawn_by(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(f"`{text_col}`")
+    return [F.col(f"`{id_col}`").cast("long").alias("hs_mix_id"), F.xxhash64(text).alias("hs_mix_text"), F.col(f"`{source_col}`").cast("string").alias("hs_mix_source"), F.monotonically_increasing_id().alias("hs_mix_place"), word_count(text).alias("size")]
+
+
+def mix_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
+    """The compact table of documents, the table of sources with their cut-offs, its length, and what several rows draw by.
 
     The compact table has ``doc_id, source, size, h, u``; a document is taken
     ``base + 1`` times if its ``(v, tie)`` is not above its source's cut-off.
     """
-    compact = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.xxhash64(text_col), seed).alias("u"))
-        .withColumn("h", size_class(F.col("size"))),
-        "mix-compact",
-    )
+    narrow = written(_with_draws(docs.select(*_drawn_by(docs, id_col, text_col, source_col)), None, seed), "mix-rows")
+    alike = written(narrow.filter("size > 0").groupBy(*_DRAWS_BY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "mix-alike")
+    alike = None if alike.isEmpty() else alike
+    drawn = narrow if alike is None else written(_with_draws(narrow.drop("u"), alike, seed), "mix-drawn")
+    compact = drawn.select(F.col("hs_mix_id").alias("doc_id"), F.col("hs_mix_source").alias("source"), "size", "u", size_class(F.col("size")).alias("h"))
     classes = written(compact.groupBy("source", "h").agg(F.sum("size").alias("class_words")), "mix-classes")
     targets = source_targets(classes.groupBy("source").agg(F.sum("class_words").alias("words")), weights, max_copies)
     sources = written(_with_rates(classes, targets), "mix-sources")
@@ -168,7 +194,7 @@ def mix_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     # A source without an edge misses at least all its documents' words.
     every = sources.join(_small(cut, n), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     every = every.withColumn("cut_v", F.coalesce("cut_v", F.when(F.col("missing") > 0, F.lit(2.0)).otherwise(F.lit(-1.0)))).withColumn("cut_u", F.coalesce("cut_u", F.lit(-1.0)))
-    return compact, written(every, "mix-cuts"), n
+    return compact, written(every, "mix-cuts"), n, alike
 
 
 def keyed(c: Column) -> Column:
@@ -184,7 +210,7 @@ def copies(base: Column, c: Column, cut_v: Column, cut_u: Column) -> Column:
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``."""
-    compact, sources, n = mix_plan(docs, id_col, text_col, source_col, **how)
+    compact, sources, n, _ = mix_plan(docs, id_col, text_col, source_col, **how)
     j = compact.join(_small(sources.withColumnRenamed("source", "s"), n), F.col("source").eqNullSafe(F.col("s")))
     k = copies(F.col("base"), F.col("c"), F.col("cut_v"), F.col("cut_u"))
     return j.withColumn("copies", k).select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -193,13 +219,12 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
     seed = how.get("seed", SEED)
-    _, sources, n = mix_plan(docs, id_col, text_col, source_col, **how)
+    _, sources, n, alike = mix_plan(docs, id_col, text_col, source_col, **how)
     mine = ["hs_mix_s", "hs_mix_base", "hs_mix_c", "hs_mix_v", "hs_mix_u"]
     cuts = sources.select(*(F.col(a).alias(b) for a, b in zip(["source", "base", "c", "cut_v", "cut_u"], mine)))
-    row = free_name(docs, "hs_mix_row")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col(source_col).cast("string").alias("hs_mix_source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.xxhash64(text_col), seed).alias("u"))
-    packed = packed.withColumn("h", size_class(F.col("size")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("hs_mix_row"), *_drawn_by(docs, id_col, text_col, source_col))
+    packed = _with_draws(packed, alike, seed).withColumn("h", size_class(F.col("size")))
     j = packed.join(_small(cuts, n), F.col("hs_mix_source").eqNullSafe(F.col("hs_mix_s")))
     k = copies(*(F.col(x) for x in mine[1:]))
     often = j.withColumn("hs_mix_copies", k).filter("hs_mix_copies > 0").withColumn("hs_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hs_mix_copies"))))
-    return often.select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    return often.select(*(F.col("hs_mix_row")[c].alias(c) for c in docs.columns))

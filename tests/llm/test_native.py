@@ -106,6 +106,18 @@ def test_mix_awkward_rows(spark):
     assert sizes == {5}  # the input's own column of that name
 
 
+def test_rows_alike_draw_for_themselves(spark):
+    # 200 equal rows without id, and 200 of one id, must still come near their targets.
+    rows = [(None, "a b c d", "a")] * 200 + [(7, "e f g", "b")] * 200 + [(100 + i, "w " * 9, "c") for i in range(200)]
+    got = mixing.mix_sizes(docs(spark, rows)).collect()
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert len(mine) == 200 and abs(sum(r.taken for r in mine) - mine[0].target) <= 9, s
+        assert all(r.taken <= 3 * r["size"] for r in mine)
+    out = mixing.mix(docs(spark, rows)).groupBy("source").count().collect()
+    assert {r.source: r["count"] * {"a": 4, "b": 3, "c": 9}[r.source] for r in out} == {s: sum(r.taken for r in got if r.source == s) for s in "abc"}
+
+
 def test_larger_classes_are_likelier(spark):
     rows = [(i, "w " * 3, "a") for i in range(400)] + [(i, "w " * 40, "a") for i in range(400, 800)] + [(9000 + i, "w " * 100, "b") for i in range(400)]
     got = mixing.mix_sizes(docs(spark, rows), weights=(1, 4)).filter("source = 'a'").collect()
@@ -131,7 +143,9 @@ def judged(url):
     return host, path, None, "block" if hits and all(r.verdict == "block" for r in hits) else "allow"
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("tokens", [64, 0])
+def test_urls(spark, monkeypatch, tokens):
+    monkeypatch.setattr(url_rules, "MAP_TOKENS", tokens)
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(URLS)] + [(0, URLS[0], "x", "y"), (None, URLS[0], "x", "y")], "page_id long, url string, host string, token string")
     got = url_rules.judge_urls(pages).collect()
     assert len(got) == len(URLS) + 2
@@ -146,3 +160,14 @@ def test_rule_without_path(spark):
     pages = spark.createDataFrame([(1, "http://a.net"), (2, "http://net/x"), (3, "http://netflix.com/")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, (rule,)).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_rules_from_a_list(spark, tmp_path):
+    (tmp_path / "rules.json").write_text("""{"verdict": "block", "host": "Bad.com", "path": "/x"}\n{"verdict": "block", "pattern": "/spam[0-9]+", "tokens": []}\n""")
+    rules = url_rules.read_rules(spark, str(tmp_path))
+    urls = ["http://a.bad.com/xy", "http://bad.com/y", "http://ok.com/spam7", "http://ok.com/spam"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in url_rules.judge_urls(pages, rules).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+    (tmp_path / "rules.json").write_text('{"verdict": "perhaps", "host": "a"}')
+    with pytest.raises(ValueError):
+        url_rules.read_rules(spark, str(tmp_path))
