@@ -21,12 +21,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rules up to this number are broadcast; more are joined by their token.
+#: Rules of up to this number of tokens are a map in the plan, so no row is shuffled.
+MAP_TOKENS = 64
+#: Rules of more tokens are joined; up to this number of rules by a broadcast.
 BROADCAST_RULES = 100_000
 
 
@@ -81,6 +83,17 @@ PATTERNS = (
 )
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """Rules from JSON lines: ``verdict`` with ``host`` and ``path``, or with ``pattern`` and ``tokens``; a rule list is small."""
+    shape = "verdict string, host string, path string, pattern string, tokens array<string>"
+    made = []
+    for r in spark.read.schema(shape).json(path).orderBy("host", "path", "pattern", "verdict").collect():
+        if r.verdict not in ("allow", "block") or (r.host is None) == (r.pattern is None):
+            raise ValueError(f"not a rule: {r}")
+        made.append(host_path_rule(r.verdict, r.host.lower(), r.path or "") if r.host is not None else pattern_rule(r.verdict, r.pattern, *(r.tokens or [])))
+    return tuple(made)
+
+
 def split_url(url: Column | str) -> tuple[Column, Column]:
     """``host`` (A-Z lower-cased) and ``path`` columns of a URL."""
     shape = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -109,14 +122,22 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, id
     # Ordinals: listed rules above patterns, longer above shorter, so the largest decides.
     order = sorted(rules, key=lambda r: (r.exact, len(r.name) if r.exact else r.verdict == "allow", r.name))
     rows = [(k, min(r.tokens, key=lambda t: (seen.get(t, 0), t)) if r.tokens else "", r.pattern) for k, r in enumerate(order)]
-    index = spark.createDataFrame(rows, "ordinal int, token string, pattern string")
-    index = F.broadcast(index) if len(rows) <= BROADCAST_RULES else index
-
     probes = F.concat(F.array(F.lit("")), tokens)
-    row = "hs_row"
-    fetched = urls.withColumn(row, F.monotonically_increasing_id()).withColumn("token", F.explode(probes)).join(index, "token", "left")
-    fits = F.when(F.col("pattern").isNotNull() & F.expr("concat(host, path) rlike pattern"), F.col("ordinal"))
-    best = fetched.groupBy(row, "page_id", "host", "path").agg(F.max(fits).alias("ordinal"))
+    filed: dict[str, list] = {}
+    for k, token, pattern in rows:
+        filed.setdefault(token, []).append(F.struct(F.lit(k).alias("ordinal"), F.lit(pattern).alias("pattern")))
+    if rows and len(filed) <= MAP_TOKENS:
+        index = F.create_map(*(x for token, some in filed.items() for x in (F.lit(token), F.array(*some))))
+        fetched = F.flatten(F.filter(F.transform(probes, lambda t: F.try_element_at(index, t)), lambda some: some.isNotNull()))
+        fits = F.expr("array_max(transform(filter(fetched, c -> concat(host, path) rlike c.pattern), c -> c.ordinal))")
+        best = urls.withColumn("fetched", fetched).withColumn("ordinal", fits).drop("fetched")
+    else:
+        index = spark.createDataFrame(rows, "ordinal int, token string, pattern string")
+        index = F.broadcast(index) if len(rows) <= BROADCAST_RULES else index
+        row = "hs_row"
+        fetched = urls.withColumn(row, F.monotonically_increasing_id()).withColumn("token", F.explode(probes)).join(index, "token", "left")
+        fits = F.when(F.col("pattern").isNotNull() & F.expr("concat(host, path) rlike pattern"), F.col("ordinal"))
+        best = fetched.groupBy(row, "page_id", "host", "path").agg(F.max(fits).alias("ordinal"))
     if not rows:
         return best.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("pattern"))
     said = spark.createDataFrame([(k, r.name if r.exact else None, r.verdict, None if r.exact else r.name) for k, r in enumerate(order)], "ordinal int, rule string, verdict string, pattern string")
