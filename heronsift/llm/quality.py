@@ -12,8 +12,8 @@ and whole texts.
 
 Defined cases: null and empty texts have difference zero; without labelled
 rows of both classes the score is the share of good labels, or 0; of labels
-that repeat for a row the largest counts; repeated rows and null ids are scored
-row by row (null ids count as held out); an empty table gives an empty result;
+that repeat for a row the largest counts, of rows that repeat for a labelled id
+the least text trains; all rows are scored row by row (null ids count as held out); an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic
@@ -90,19 +90,23 @@ def quality(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score`` and what the score comes from."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    run, schema, w = fitted(docs, labels, label, mod, held, sample_docs, id_col, text_col)
+    evidence, w = fitted(docs, labels, label, mod, held, sample_docs, id_col, text_col)
     held_out = F.coalesce(crc32_bucket(F.col("doc_id"), mod) == held, F.lit(True))
-    return narrow.mapInArrow(run, "doc_id long, " + schema).select("doc_id", held_out.alias("held_out"), logistic(w).alias("score"), *EVIDENCE)
+    told = narrow.select("doc_id", evidence(F.col("text")).alias("e"))
+    return told.select("doc_id", held_out.alias("held_out"), logistic(w, F.col("e")).alias("score"), *(F.col("e")[c].alias(c) for c in EVIDENCE))
 
 
-def logistic(w: np.ndarray):
-    """The calibrated score as a column over ``EVIDENCE``."""
-    z = sum((F.col(c) * float(x) for c, x in zip(EVIDENCE, w[1:])), F.lit(float(w[0])))
+def logistic(w: np.ndarray, e: Column) -> Column:
+    """The calibrated score of a struct of ``EVIDENCE``."""
+    z = sum((e[c] * float(x) for c, x in zip(EVIDENCE, w[1:])), F.lit(float(w[0])))
     return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample_docs: int, id_col: str, text_col: str):
-    """What appends ``EVIDENCE`` to batches whose last column is the text, its schema, and the weights."""
+    """A function of a text column that gives a struct of ``EVIDENCE``, and the weights.
+
+    Only texts go to Python; the rows around them stay where they are.
+    """
     zeros, ones = label_shares(labels, label, mod, held)
     chosen = written(sampled_labels(labels, label, mod, held, sample_docs), "label-sample")
     rows = training_rows(docs, chosen, SAMPLE_CHARS, id_col, text_col).toPandas().sort_values("doc_id")  # the bounded sample
@@ -124,25 +128,20 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
         share = ones / (zeros + ones) if zeros + ones else 0.0
         w, dictionaries = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), *[0.0] * len(EVIDENCE)]), (b"", b"")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: double" for c in EVIDENCE) + ">")
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = Sizes(*dictionaries)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s = b.slice(lo, 256)
-                e = sizes.of(s.column(s.num_columns - 1).to_pylist())
-                kept = list(range(s.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*(s.column(k) for k in kept), *(pa.array(e[:, k]) for k in range(len(EVIDENCE)))], [*(s.schema.names[k] for k in kept), *EVIDENCE])
+        for texts in batches:
+            parts = [sizes.of(texts.slice(lo, 256).to_pylist()) for lo in range(0, len(texts), 256)]
+            e = np.concatenate(parts) if parts else np.zeros((0, len(EVIDENCE)))
+            yield pa.StructArray.from_arrays([pa.array(e[:, k]) for k in range(len(EVIDENCE))], EVIDENCE)
 
-    return run, ", ".join(f"{c} double" for c in EVIDENCE), w
+    return evidence, w
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, label: str = "quality", mod: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with all their columns.
-
-    The scores are worked out beside the rows they belong to, so nothing is shuffled.
-    """
-    run, schema, w = fitted(docs, labels, label, mod, held, sample_docs, id_col, text_col)
+    """The rows of ``docs`` that score at least ``least``, with all their columns; nothing is shuffled."""
+    evidence, w = fitted(docs, labels, label, mod, held, sample_docs, id_col, text_col)
     plain = [f"c{k}" for k in range(len(docs.columns))]  # any names may occur in docs
-    row = docs.toDF(*plain).select(F.struct(*plain).alias("row"), F.col(plain[docs.columns.index(text_col)]).alias("text"))
-    scored = row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, {schema}").filter(logistic(w) >= least)
-    return scored.select("row.*").toDF(*docs.columns)
+    scored = docs.toDF(*plain).withColumn("e", evidence(F.col(plain[docs.columns.index(text_col)])))
+    return scored.filter(logistic(w, F.col("e")) >= least).select(*plain).toDF(*docs.columns)

@@ -20,8 +20,8 @@ and whole texts.
 Defined cases: null, empty and white-space texts have no evidence and get the
 score of evidence zero; without labelled rows of both classes the score is the
 share of toxic labels, or 0; of labels that repeat for a row the largest
-counts; repeated rows and null ids are scored row by row (null ids count as
-held out); an empty table gives an empty result; other columns are ignored.
+counts, of rows that repeat for a labelled id the least text trains; all rows
+are scored row by row (null ids count as held out); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,9 +190,13 @@ def label_shares(labels: DataFrame, label: str, mod: int, held: int, id_col: str
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, label, text`` of the chosen rows that are not over-long, written once."""
+    """``doc_id, label, text`` of the chosen ids that are not over-long, written once.
+
+    Of rows that share an id the least text counts, so there is a row per id at most.
+    """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.char_length("text") <= max_chars)
-    return written(picked.join(F.broadcast(chosen), "doc_id"), "labelled")  # two samples of ids
+    one = picked.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # two samples of ids
+    return written(one, "labelled")
 
 
 def toxicity(
@@ -246,7 +250,7 @@ def toxicity(
     if n1 and n1 < len(fit):
         folds = spark.sparkContext.broadcast({f: without(f) for f in range(FOLDS)})
         held_in = rows.select("doc_id", "text", "fold").mapInArrow(scorer(folds), out).toPandas()
-        labelled = held_in.merge(fit.drop_duplicates("doc_id"), on="doc_id")
+        labelled = held_in.merge(fit, on="doc_id")
         w = fit_logistic(labelled[EVIDENCE].to_numpy(), labelled["label"].to_numpy(float))
         w[0] += np.log(max(ones, 1) / max(zeros, 1)) - np.log(n1 / (len(fit) - n1))  # the sample's classes are not in their natural shares
         folds.unpersist()

@@ -91,6 +91,58 @@ def test_one_class_or_none(spark, labels):
         assert f(docs.limit(0), lab).count() == 0
 
 
+def test_many_rows_of_a_labelled_id(spark):
+    rows, labels = corpus(120)
+    many = spark.createDataFrame(rows + [rows[4]] * 3000 + [(5, "on the", 0, 0.0, "e")] * 50 + [(6, "the ing " * 60_000, 0, 0.0, "e")], DOCS).repartition(6)
+    lab = spark.createDataFrame(labels, LABELS)
+    chosen = toxicity.sampled_labels(lab, "toxic", 3, 1, 3000)
+    picked = toxicity.training_rows(many, chosen, toxicity.SAMPLE_CHARS)
+    assert picked.count() == picked.select("doc_id").distinct().count() == chosen.join(many.select("doc_id"), "doc_id", "left_semi").count()
+    for f in (toxicity.toxicity, quality.quality):
+        first, again = (sorted((r.doc_id, r.score) for r in f(d, lab).collect()) for d in (many, many.repartition(3)))
+        assert len(first) == many.count() and [x[0] for x in first] == [x[0] for x in again]
+        assert np.allclose([x[1] for x in first], [x[1] for x in again])
+
+
+def test_two_models_equal_a_plain_one():
+    # The tables' log ratio of a word is the difference of two plain interpolated models.
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(40)})
+    n = {w: (rng.randint(0, 4), rng.randint(0, 9)) for w in words}
+    d, order = toxicity.DISCOUNT, toxicity.ORDER
+    keep = [w for w in words if sum(n[w])]
+    padded = {w: "\x02" * (order - 1) + w + "\x03" for w in keep}
+    tops = {p[i - order + 1 : i + 1] for p in padded.values() for i in range(order - 1, len(p))}
+    chars = len({p[i] for p in padded.values() for i in range(order - 1, len(p))}) + 1
+
+    def total(gram, k=None):
+        return sum((n[w][k] if k is not None else sum(n[w])) * sum(p[i + 1 - len(gram) : i + 1] == gram for i in range(order - 1, len(p))) for w, p in padded.items())
+
+    def shared(gram):
+        """Continuation counts over both classes; what starts a word counts its occurrences."""
+        if not gram:
+            return 1 / chars
+        m = len(gram)
+        amount = lambda g: total(g) if m > 1 and g[0] == "\x02" else len({t[-m - 1 :] for t in tops if t.endswith(g)})
+        same = {t[-m:] for t in tops if t[-m:-1] == gram[:-1]}
+        c = {g: amount(g) for g in same}
+        return (max(c[gram] - d, 0) + d * len(same) * shared(gram[1:])) / sum(c.values())
+
+    def model(gram, k):
+        same = {t for t in tops if t[:-1] == gram[:-1]}
+        c = {t: total(t, k) for t in same}
+        if not sum(c.values()):
+            return shared(gram[1:])
+        return (max(c[gram] - d, 0) + d * sum(v > 0 for v in c.values()) * shared(gram[1:])) / sum(c.values())
+
+    tables = toxicity.fit_tables(keep, np.array([n[w][0] for w in keep], float), np.array([n[w][1] for w in keep], float))
+    got = toxicity.word_ratios(tables, keep)
+    for w, value in zip(keep, got):
+        p = padded[w]
+        want = sum(np.log(model(p[i - order + 1 : i + 1], 0)) - np.log(model(p[i - order + 1 : i + 1], 1)) for i in range(order - 1, len(p)))
+        assert value == pytest.approx(want, abs=1e-4)
+
+
 def test_blocks_cover_the_text():
     for t in ("", "é" * 5000, "abc", None):
         assert b"".join(quality.blocks_of(t)) == (t or "").encode()
