@@ -11,10 +11,14 @@ others almost as near (closer than ``REPLICA`` times the nearest distance, and
 not standing behind a centroid already chosen).  A query walks a neighbourhood
 graph over the centroids, kept in memory, and probes the lists whose distance
 is within a ratio of the best one's, and as many more as hold candidates
-enough; a query still left with fewer than ``k`` rows asks all lists.  How many lists and which ratio is read
-off a bounded sample of queries, whose true neighbours among all rows are found
-by brute force.  Lists are searched by blocks of vectors, so a list that holds
-a third of all rows is many tasks' work.
+enough; a query still left with too few asks all lists.  How many lists and
+which ratio is read off a bounded sample of queries, whose true neighbours among
+all rows are found by brute force.  Lists are searched by blocks of vectors and
+blocks of queries, so a list that holds a third of all rows is many tasks' work.
+
+Equal vectors are one: they have equal scores, and of their ids only the ``k + 1``
+smallest can be among any query's ``k`` nearest.  So a vector that very many rows
+or queries share is filed and asked once, and no result is lost.
 
 Scores are inner products of the original vectors in double precision.
 
@@ -38,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import sample_by_hash, written
 
-#: Rows from which centroids are fitted, and the most centroids.
-SAMPLE_ROWS, MAX_LISTS = 60_000, 4096
+#: Vectors from which centroids are fitted (and their bytes), and the most centroids.
+SAMPLE_ROWS, SAMPLE_BYTES, MAX_LISTS = 60_000, 32 << 20, 4096
 #: Rows a list should hold until MAX_LISTS is reached.
 LIST_ROWS = 200
 #: Lists a row may be filed under, and how much farther than the nearest.
@@ -53,8 +57,8 @@ TRIALS, RECALL = 256, 0.97
 ENOUGH = 4
 #: Neighbours of a centroid in the graph, and candidates a walk holds.
 DEGREE, BEAM = 24, 96
-#: Rows of one block of a list.
-BLOCK_ROWS = 4096
+#: Vectors of one block of a list, and queries of one block of those that probe it.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 
 
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -236,118 +240,134 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "
     head = clean.agg(F.min_by(F.size("v"), "vec_id").alias("dims"), F.count(F.lit(1)).alias("n")).first()
     if not head.n:
         return spark.createDataFrame([], out)
-    clean = written(clean.filter(F.size("v") == head.dims), "vectors")
+    clean = written(clean.filter(F.size("v") == head.dims).withColumn("h", F.xxhash64("v")).distinct(), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    most, n = clean.agg(F.max(square), F.count(F.lit(1))).first()
+    most = clean.agg(F.max(square)).first()[0]
+
+    # One row per vector, with its smallest ids; rows of equal vectors are cut before they are shuffled.
+    kk = k + 1
+    among = F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))
+    least = clean.withColumn("among", among).filter(F.col("among") <= kk)
+    grouped = least.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    uniq = written(grouped.withColumn("key", F.monotonically_increasing_id()).withColumn("first", F.col("ids")[0]), "distinct-vectors")
+    n = uniq.count()
+    # Queries of one vector ask once; an id of several vectors asks for itself, as those that only it holds are none of its candidates.
+    wanted = clean.filter(F.col("vec_id") % query_mod == 0)
+    several = wanted.groupBy("vec_id").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("vec_id", F.lit(True).alias("lone"))
+    asking = wanted.join(several, "vec_id", "left").join(uniq.select("h", "v", "key"), ["h", "v"])
+    asking = written(asking.select(F.col("vec_id").alias("query_id"), "key", F.coalesce("lone", F.lit(False)).alias("lone"), F.when(F.col("lone"), F.col("vec_id")).otherwise(0).alias("own")), "asking")
+    asks_ = written(asking.select("key", "lone", "own").distinct().withColumn("query", F.monotonically_increasing_id()), "asks")
+    members = asking.join(asks_, ["key", "lone", "own"]).select("query_id", "query")
+    queries = asks_.join(uniq.select("key", "v"), "key").select("query", "lone", "own", "v")
+    vectors_ = uniq.select("key", (F.size("ids") == 1).alias("one"), "first", "v")
 
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))])
 
-    sample = np.array([r.v for r in sample_by_hash(clean, "vec_id", SAMPLE_ROWS if n > SAMPLE_ROWS else n, "ann").select("v").collect()], np.float64)  # bounded by SAMPLE_ROWS
+    def matrix(col: pa.Array) -> np.ndarray:
+        return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * head.dims), n))
+    sample = matrix(sample_by_hash(vectors_, "key", rows, "ann").select("v").toArrow().column(0).combine_chunks())  # bounded in rows and bytes
     lists = int(max(1, min(MAX_LISTS, n // LIST_ROWS, len(sample) // 4)))
     centroids = spark.sparkContext.broadcast(balanced_centroids(lifted(sample), lists))
     del sample
 
-    def matrix(col: pa.Array) -> np.ndarray:
-        return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
-
     def filed(batches: Iterator[pa.RecordBatch], asks: bool) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(centroids.value)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 s = b.slice(lo, 1024)
-                x = matrix(s.column(1))
+                x = matrix(s.column(3))
                 rows, lists_ = probes(graph, np.column_stack([x, np.zeros(len(x))]), held, ENOUGH * k, most_probes, ratio) if asks else file_under(graph, lifted(x))
                 take = pa.array(rows)
                 packed = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(lists_.astype(np.int64)), s.column(0).take(take), packed.take(take), pa.array(np.arange(len(rows)) < len(x))], ["list", "vec_id", "v", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists_.astype(np.int64)), *(s.column(j).take(take) for j in range(3)), packed.take(take), pa.array(np.arange(len(rows)) < len(x))], ["list", *s.schema.names[:3], "v", "home"])
 
-    shape = "list long, vec_id long, v binary, home boolean"
-    posts = written(clean.mapInArrow(lambda it: filed(it, False), shape), "postings")
-    # Every row is at home in one list, so rows at home in different lists are different candidates.
+    shape = "list long, key long, one boolean, first long, v binary, home boolean"
+    posts = written(vectors_.mapInArrow(lambda it: filed(it, False), shape), "postings")
+    # Every vector is at home in one list, so those at home in different lists are different candidates.
     held = np.zeros(len(centroids.value), np.int64)
-    for r in posts.filter("home").groupBy("list").agg(F.countDistinct("vec_id", F.xxhash64("v")).alias("n")).collect():  # a row per list
+    for r in posts.filter("home").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per list
         held[r.list] = r.n
 
-    # Sample queries by brute force over all rows: a partition sends at most k rows for each.
-    queries = clean.filter(F.col("vec_id") % query_mod == 0)
-    trial = {r.vec_id: r.v for r in sample_by_hash(queries, "vec_id", TRIALS, "trial").collect()}  # bounded by TRIALS
+    # Sample queries by brute force over all rows: a partition sends at most k + 1 rows for each.
+    trial = {r.query: r.v for r in sample_by_hash(queries, "query", TRIALS, "trial").collect()}  # bounded by TRIALS
     trial_ids, trial_v = np.array(list(trial), np.int64), np.array(list(trial.values()), np.float64)
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, np.int64), np.zeros(0))] * len(trial_ids)
         for b in batches:
-            x, ids = matrix(b.column(1)), b.column(0).to_numpy()
+            x, ids = matrix(b.column(3)), b.column(0).to_numpy()
             score = trial_v @ x.T
-            for i, (own, s) in enumerate(zip(trial_ids, score)):
-                some = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                some = some[ids[some] != own]
+            for i, s in enumerate(score):
+                some = np.argpartition(-s, kk - 1)[:kk] if len(s) > kk else np.arange(len(s))
                 all_ids, all_s = np.append(held[i][0], ids[some]), np.append(held[i][1], s[some])
-                top = np.argsort(-all_s, kind="stable")[:k]
+                top = np.argsort(-all_s, kind="stable")[:kk]
                 held[i] = all_ids[top], all_s[top]
         for own, (ids, s) in zip(trial_ids, held):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(s)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(s)], ["query", "key", "score"])
 
     most_probes, ratio = PROBES, RATIO
     if len(trial):
-        top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        true = clean.mapInArrow(truth, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "vec_id")
-        where = true.join(posts.select("vec_id", "list"), "vec_id").groupBy("query_id", "vec_id").agg(F.collect_set("list").alias("lists")).collect()  # TRIALS times k rows
-        near = {q: [r.vec_id for r in where if r.query_id == q] for q in trial}
-        most_probes, ratio = reach(CentroidGraph(centroids.value), np.column_stack([trial_v, np.zeros(len(trial_v))]), list(near.values()), {r.vec_id: r.lists for r in where})
-    asked = written(queries.mapInArrow(lambda it: filed(it, True), shape), "probes")
-
-    # Long lists are cut into blocks; a list's queries go to each of its blocks.
+        top = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+        true = vectors_.mapInArrow(truth, "query long, key long, score double").withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= kk).select("query", "key")
+        where = true.join(posts.select("key", "list"), "key").groupBy("query", "key").agg(F.collect_set("list").alias("lists")).collect()  # TRIALS times k + 1 rows
+        near: dict[int, list[int]] = {q: [] for q in trial}
+        for r in where:
+            near[r.query].append(r.key)
+        most_probes, ratio = reach(CentroidGraph(centroids.value), np.column_stack([trial_v, np.zeros(len(trial_v))]), list(near.values()), {r.key: r.lists for r in where})
+    asked = written(queries.mapInArrow(lambda it: filed(it, True), "list long, query long, lone boolean, own long, v binary, home boolean"), "probes")
+
+    # Long lists are cut into blocks, and so are the queries of a list; every two blocks meet in a task.
     # One row per list: their number is bounded by MAX_LISTS and its splits.
     sizes = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    post = posts.join(F.broadcast(sizes), "list").select("list", block.alias("block"), "vec_id", "v")
-
-    def blocks_of(sized: DataFrame) -> DataFrame:
-        return sized.select(F.col("list").alias("list"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The ``k + 1`` best vectors of a block for each query of a block; a vector is once in a list."""
         frames = []
         if len(left) and len(right):
-            left = left.drop_duplicates(["vec_id", "v"])
             x = np.frombuffer(b"".join(left["v"]), np.float64).reshape(len(left), -1)
-            ids = left["vec_id"].to_numpy()
+            ids, firsts, one = left["key"].to_numpy(), left["first"].to_numpy(), left["one"].to_numpy(bool)
             for lo in range(0, len(right), 512):
                 part = right.iloc[lo : lo + 512]
                 q = np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1)
-                score = q @ x.T
-                score[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                for qid, qv, s in zip(part["vec_id"].tolist(), q, score):
-                    if len(s) > k:
-                        edge = np.partition(s, len(s) - k)[len(s) - k]
+                for qid, lone, own, qv, s in zip(part["query"].tolist(), part["lone"], part["own"], q, q @ x.T):
+                    if lone:
+                        s = np.where(one & (firsts == own), -np.inf, s)
+                    if len(s) > kk:
+                        edge = np.partition(s, len(s) - kk)[len(s) - kk]
                         some = np.flatnonzero(s >= edge - 1e-9 * abs(edge) - 1e-300)
                     else:
                         some = np.arange(len(s))
-                    cut = len(some) < len(s)
-                    while True:
-                        some = some[s[some] > -np.inf]
-                        # The exact score is summed component by component, alike in every block.
-                        exact = (x[some] * qv).cumsum(axis=1)[:, -1]
-                        top = np.lexsort((ids[some], -exact))
-                        mine, exact = ids[some][top], exact[top]
-                        once = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (exact[1:] != exact[:-1])])[: len(mine)])[:k]
-                        if len(once) == k or not cut:
-                            break
-                        some, cut = np.arange(len(s)), False  # an id's equal scores filled the cut
-                    frames.append(pd.DataFrame({"query_id": qid, "vec_id": mine[once], "score": exact[once]}))
-        return pd.concat(frames) if frames else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+                    some = some[s[some] > -np.inf]
+                    # The exact score is summed component by component, alike in every block.
+                    exact = (x[some] * qv).cumsum(axis=1)[:, -1]
+                    top = np.lexsort((firsts[some], -exact))[:kk]
+                    frames.append(pd.DataFrame({"query": qid, "key": ids[some][top], "first": firsts[some][top], "score": exact[top]}))
+        return pd.concat(frames) if frames else pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("query", "int64"), ("key", "int64"), ("first", "int64"), ("score", "float64"))})
 
     def answers(ask: DataFrame) -> DataFrame:
-        found = post.groupBy("list", "block").cogroup(ask.groupBy("list", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
-        once = found.dropDuplicates(["query_id", "vec_id", "score"])
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    first = written(answers(blocks_of(asked.join(F.broadcast(sizes), "list"))), "answers")
-    # Queries whose lists held too few rows of other ids, as where an id repeats, ask all lists.
-    full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    short = asked.join(full, "vec_id", "left_anti").select("vec_id", "v").distinct()
-    if short.isEmpty():
-        return first
-    second = answers(blocks_of(short.crossJoin(F.broadcast(sizes))))
-    return first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(second)
+        """``query, key, first, score, rank``: the ``k + 1`` best vectors of each query vector."""
+        shares = ask.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares")).join(F.broadcast(sizes), "list")  # a row per list
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        post = posts.join(F.broadcast(shares), "list").select("list", own("key", "blocks").alias("block"), each("shares").alias("share"), "key", "one", "first", "v")
+        asks = ask.join(F.broadcast(shares), "list").select("list", each("blocks").alias("block"), own("query", "shares").alias("share"), "query", "lone", "own", "v")
+        by = ["list", "block", "share"]
+        found = post.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(best, "query long, key long, first long, score double")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))
+        return found.dropDuplicates(["query", "key"]).withColumn("rank", rank).filter(F.col("rank") <= kk)
+
+    near = written(answers(asked), "answers")
+    # Queries whose lists held too few vectors ask all lists.
+    full = near.filter(F.col("rank") == kk).select("query")
+    short = asked.join(full, "query", "left_anti").select("query", "lone", "own", "v").distinct()
+    if not short.isEmpty():
+        second = answers(short.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(held) - 1).cast("long")))))
+        near = near.join(full, "query", "left_semi").select(second.columns).unionByName(second)
+    # Back to ids: every row that asks with a vector leaves out its own.
+    told = near.select("query", "key", "score").join(uniq.select("key", "ids"), "key").join(members, "query")
+    pairs = told.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

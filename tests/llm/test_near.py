@@ -153,7 +153,9 @@ def test_passages(spark):
     flagged = {r.doc_id for r in got} | {r.other_id for r in got}
     assert flagged == {i for i in range(30) if i % 3 == 0} and {r.class_id for r in got} == {0}
     for r in got:
-        assert 60 <= r.length <= 95 and abs(r.start - 40) <= 15 and r.similarity >= 0.8
+        assert 40 <= r.length <= 95 and 25 <= r.start and r.start + r.length <= 140 and r.similarity >= 0.8
+    _, covered = joined(got)
+    assert all(len(covered[i]) >= 60 for i in range(0, 30, 3))
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
@@ -182,6 +184,62 @@ def test_two_passages_about_unlike_words(spark):
     assert want <= covered and all(abs(r.doc_id - r.other_id) == 1 and r.similarity >= 0.8 for r in got)
 
 
+def joined(got):
+    """Class by document, and the words of each that passages cover."""
+    cls, covered = {}, {}
+    for r in got:
+        cls[r.doc_id] = cls[r.other_id] = r.class_id
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+        covered.setdefault(r.other_id, set()).update(range(r.other_start, r.other_start + r.other_length))
+    return cls, covered
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_passage_whose_pieces_stand_elsewhere(spark, parts):
+    # Earlier documents hold 15- and 30-word pieces of what 50 and 51 share.
+    shared = words(80)
+    rows = [(k, " ".join(words(40) + shared[15 * k : 15 * k + 15] + words(40))) for k in range(5)]
+    rows += [(10 + k, " ".join(words(40) + shared[30 * k : 30 * k + 30] + words(40))) for k in range(2)]
+    rows += [(50, " ".join(words(20) + shared + words(20))), (51, " ".join(words(33) + shared + words(7)))]
+    got = substring_dedup.repeated_passages(docs(spark, rows).repartition(parts)).collect()
+    cls, covered = joined(got)
+    assert set(cls) == {50, 51} and cls[50] == cls[51]
+    assert set(range(20, 100)) <= covered[50] and set(range(33, 113)) <= covered[51]
+
+
+def test_a_passage_twice_in_a_document(spark):
+    shared = words(60)
+    rows = [(1, " ".join(words(10) + shared + words(10))), (2, " ".join(shared + words(70) + shared + words(5))), (7, " ".join(words(300)))]
+    rows += [(3, " ".join(shared + words(50) + shared)), (4, " ".join(words(30)))]
+    cls, covered = joined(substring_dedup.repeated_passages(docs(spark, rows)).collect())
+    assert set(cls) == {1, 2, 3}
+    assert set(range(60)) <= covered[2] and set(range(130, 190)) <= covered[2] and set(range(110, 170)) <= covered[3]
+    # The first holder's own second place, too.
+    rows = [(1, " ".join(shared + words(70) + shared)), (2, " ".join(words(20) + shared))]
+    _, covered = joined(substring_dedup.repeated_passages(docs(spark, rows)).collect())
+    assert set(range(60)) <= covered[1] and set(range(130, 190)) <= covered[1]
+
+
+def test_classes_of_exact_passages_equal_brute_force(spark):
+    # Random documents out of a few pieces: any 60 words in a row that two share join them.
+    pool = [words(RNG.choice([10, 25, 35, 60, 90])) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        text = words(15)
+        for _ in range(RNG.randrange(1, 4)):
+            p = RNG.choice(pool)
+            a = RNG.randrange(0, max(1, len(p) - 60) + 1)
+            text += p[a : a + RNG.choice([20, 60, 90])] + words(RNG.choice([3, 30]))
+        rows.append((i, " ".join(text)))
+    runs = [{tuple(t.split()[k : k + 60]) for k in range(len(t.split()) - 59)} for _, t in rows]
+    must = [(a, b) for a in range(60) for b in range(a) if runs[a] & runs[b]]
+    short = [{tuple(t.split()[k : k + 20]) for k in range(len(t.split()) - 19)} for _, t in rows]
+    may = classes(60, [(a, b) for a in range(60) for b in range(a) if short[a] & short[b]])
+    cls, _ = joined(substring_dedup.repeated_passages(docs(spark, rows)).collect())
+    assert len(must) > 10 and all(cls[a] == cls[b] for a, b in must)
+    assert all(may[a] == may[b] for a in cls for b in cls if cls[a] == cls[b])
+
+
 @pytest.mark.parametrize("unit", [True, False])
 def test_neighbours(spark, unit):
     rng = np.random.default_rng(5)
@@ -231,7 +289,7 @@ def test_every_query_gets_k_rows(spark, monkeypatch):
         rows += [(20 * j + m, far + 1e-7 * rng.normal(size=8)) for m in range(7)]
     twin = 9 * rng.normal(size=8)
     rows += [(500, twin + 0.01 * rng.normal(size=8)) for _ in range(200)]
-    rows += [(501, twin)] * 60
+    rows += [(501, twin)] * 60 + [(3000 + i, 9 * np.ones(8)) for i in range(300)]
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
     got = ann.search(df).toPandas().groupby("query_id").size()
     assert set(got.index) == {i for i, _ in rows if i % 20 == 0} and (got == 20).all()
