@@ -37,7 +37,8 @@ def test_sql(spark, con, name):
     assert found == wanted
 
 
-def test_llm_part_may_be_absent(tmp_path):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_llm_part_may_be_absent(tmp_path, pipeline):
     import shutil
     import subprocess
     import sys
@@ -46,5 +47,7 @@ def test_llm_part_may_be_absent(tmp_path):
 
     shutil.copytree(f"{ROOT}/heronsift", tmp_path / "heronsift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    if pipeline and os.path.exists(f"{ROOT}/corpus_pipeline.py"):
+        shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
