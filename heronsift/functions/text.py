@@ -203,6 +203,21 @@ def repo_prefix(name: Column) -> Column:
     return F.when(name.contains("__"), F.element_at(F.split(name, "__", 2), 1))
 
 
+def repo_lookup(files: DataFrame, repos: DataFrame, name: str) -> DataFrame:
+    """Files whose prefix is a known ``repo`` (owner/name), with its columns; others are skipped.
+
+    A list of repositories is small, but the side to broadcast is left to the optimizer.
+    """
+    known = repos.withColumn("hs_prefix", F.replace("repo", F.lit("/"), F.lit("_")))
+    return files.withColumn("hs_prefix", repo_prefix(F.col(name))).join(known, "hs_prefix").drop("hs_prefix")
+
+
+def source_lookup(df: DataFrame, sources: DataFrame, name: str) -> DataFrame:
+    """Each row with the first source (by url) of its name; nulls where there is none."""
+    first = sources.groupBy(name).agg(F.min_by(F.struct(*(c for c in sources.columns if c != name)), "source_url").alias("x")).select(name, "x.*")
+    return df.join(first, name, "left")
+
+
 def nearest_page(sections_: DataFrame, pages: DataFrame, by: str) -> DataFrame:
     """As-of lookup: the exact or last earlier page, else the first later one."""
     j = sections_.join(pages, by, "left")

@@ -6,6 +6,7 @@ mode, suppliers are documents.  All queries run over whole tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -525,8 +526,18 @@ def query_table(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+@functools.lru_cache(maxsize=2)
+def _index(application: str, spark, sf) -> dict[str, DataFrame]:
+    return {name: df.persist() for name, df in R.bm25_index(chunk_table(spark, sf)).items()}
+
+
+def index_of(spark, sf) -> dict[str, DataFrame]:
+    """The corpus's index, made once per application and kept."""
+    return _index(spark.sparkContext.applicationId, spark, sf)
+
+
 def lexical(spark, sf) -> DataFrame:
-    return R.bm25(R.bm25_index(chunk_table(spark, sf)), query_table(spark, sf))
+    return R.bm25(index_of(spark, sf), query_table(spark, sf), digits=6)
 
 
 @query(BM25 + "SELECT query_id, chunk_id, score, rank FROM bm")
@@ -552,7 +563,7 @@ vt AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id OR
 def nearest(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return R.vector_top(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), q)
+    return R.vector_top(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), q, digits=6)
 
 
 @query(VECTOR + "SELECT query_id, chunk_id, score, rank FROM vt")
@@ -577,7 +588,7 @@ def r07_reciprocal_fusion(spark, sf):
     """Fusion of a list with its reverse."""
     a = lexical(spark, sf)
     b = a.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", F.desc("chunk_id"))))
-    return R.reciprocal_fusion([a, b])
+    return R.reciprocal_fusion([a, b], digits=9)
 
 
 @query(BM25 + """, a AS (SELECT query_id, chunk_id, rank, 0 AS list_no FROM bm WHERE rank <= 3 UNION ALL SELECT query_id, chunk_id, rank - 1, 1 FROM bm WHERE rank BETWEEN 2 AND 4),
@@ -608,6 +619,126 @@ def r06_label_precision(spark, sf):
     return j.groupBy("query_id").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("precision"))
 
 
+HASHED = """, hv AS (SELECT src, id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY src, id)) AS x FROM (
+SELECT src, id, CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS INT) AS dim, CAST(count(*) AS DOUBLE) AS x FROM (
+SELECT 'd' AS src, doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) FROM benchmark) GROUP BY ALL)),
+hs AS (SELECT q.id AS query_id, d.id AS chunk_id, round(sum(q.x * d.x), 6) AS score FROM hv q JOIN hv d ON q.dim = d.dim AND q.src = 'q' AND d.src = 'd' GROUP BY ALL),
+dv AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM hs) WHERE rank <= 20)
+"""
+FUSED = BM25 + HASHED + """, bo AS (SELECT bm.query_id, bm.chunk_id, bm.score + CASE WHEN len(list_filter(string_split_regex(lower(k.text), '\\s+'), lambda w: w <> '' AND contains(lower(d.source), w))) > 0 THEN 5.0 ELSE 0.0 END AS score
+FROM bm JOIN benchmark k ON k.item_id = bm.query_id JOIN documents d ON d.doc_id = bm.chunk_id),
+bl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bo),
+fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (120 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM dv UNION ALL SELECT query_id, chunk_id, rank FROM bl) GROUP BY ALL),
+f10 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM fu) WHERE rank <= 10)
+"""
+COVER = """, cv AS (SELECT h.query_id, h.chunk_id, h.score AS fused, len(list_intersect(list_distinct(regexp_extract_all(lower(k.text), '[a-z0-9]{2,}')), regexp_extract_all(lower(d.text), '[a-z0-9]{2,}'))) / nullif(len(list_distinct(regexp_extract_all(lower(k.text), '[a-z0-9]{2,}'))), 0) AS cover
+FROM f10 h JOIN benchmark k ON k.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cover DESC, fused DESC, chunk_id) AS INT) AS rank FROM cv WHERE cover > LIMIT)
+"""
+
+
+def by_mode(spark, sf, mode: str) -> DataFrame:
+    chunks, queries = chunk_table(spark, sf), query_table(spark, sf)
+    vectors = R.dense_embedding(chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
+    asked = R.dense_embedding(queries, "query_id", "query").withColumnRenamed("id", "query_id")
+    return R.retrieve(index_of(spark, sf), vectors, queries, asked, chunks, mode, digits=6)
+
+
+@query(BM25 + "SELECT query_id, chunk_id, score, rank, 'bm25' AS retriever FROM bm WHERE rank <= 5")
+def r09_mode_bm25(spark, sf):
+    """The lexical mode."""
+    return by_mode(spark, sf, " BM25 ")
+
+
+@query(BM25 + HASHED + "SELECT query_id, chunk_id, score, rank, 'vector' AS retriever FROM dv WHERE rank <= 5")
+def r10_mode_vector(spark, sf):
+    """The vector mode."""
+    return by_mode(spark, sf, "vector")
+
+
+@query(BM25 + HASHED + """, u AS (SELECT query_id, chunk_id, score, rank, 'bm25' AS retriever, 0 AS list_no FROM bm WHERE rank <= 3 UNION ALL SELECT query_id, chunk_id, score, rank, 'vector', 1 FROM dv WHERE rank <= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list_no, rank) AS one FROM u)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_no, rank) AS INT) AS rank, retriever FROM o WHERE one = 1""")
+def r11_mode_balanced(spark, sf):
+    """Three lexical and two vector hits, the first list's hit wins, no back-fill."""
+    return by_mode(spark, sf, "bm25_vector")
+
+
+@query(FUSED + "SELECT query_id, chunk_id, score, rank, 'fusion' AS retriever FROM f10 WHERE rank <= 5", digits=9)
+def r13_mode_fusion(spark, sf):
+    """Boosted lexical and vector lists fused."""
+    return by_mode(spark, sf, "bm25_vector_fusion")
+
+
+@query(FUSED + COVER.replace("LIMIT", "-1") + "SELECT query_id, chunk_id, round(cover, 6) AS score, rank, 'fusion' AS retriever FROM rr WHERE rank <= 5")
+def r14_full_pipeline(spark, sf):
+    """Lists fused and reranked, also for an unknown mode."""
+    return by_mode(spark, sf, "anything")
+
+
+@query(FUSED + COVER.replace("LIMIT", "0.3") + "SELECT query_id, chunk_id, round(cover, 6) AS score, rank FROM rr WHERE rank <= 5")
+def r16_rerank_threshold(spark, sf):
+    """Reranking that drops hits at or under a threshold."""
+    lists = [R.vector_top(*(R.dense_embedding(df, i, t).withColumnRenamed("id", i) for df, i, t in ((chunk_table(spark, sf), "chunk_id", "text"), (query_table(spark, sf), "query_id", "query"))), digits=6), R.boosted(lexical(spark, sf), query_table(spark, sf), chunk_table(spark, sf))]
+    fused = R.reciprocal_fusion(lists, digits=9)
+    return R.coverage_rerank(fused, query_table(spark, sf), chunk_table(spark, sf), threshold=0.3)
+
+
+@query(r"""WITH h AS (SELECT doc_id, text, source, list_extract(['PDF_manual', 'Video_Transcript', 'GitHub', 'other', 'pdf_video', ''], CAST(doc_id % 6 + 1 AS INT)) AS st, doc_id % 4 AS v FROM documents),
+k AS (SELECT *, CASE WHEN lower(st) LIKE '%pdf%' THEN 'pdf' WHEN lower(st) LIKE '%video%' THEN 'video' WHEN lower(st) LIKE '%github%' THEN 'markdown' ELSE 'text' END AS kind FROM h)
+SELECT doc_id AS chunk_id, kind AS source_type, CASE kind WHEN 'markdown' THEN 'md/' || doc_id WHEN 'video' THEN NULL ELSE 'src/' || doc_id END AS source_url,
+CASE WHEN kind = 'pdf' THEN 'man' || doc_id END AS pdf_id, CASE WHEN kind = 'pdf' THEN CASE v WHEN 0 THEN 12 WHEN 1 THEN 1 WHEN 2 THEN 34 ELSE 1 END END AS page_number, CASE WHEN kind = 'pdf' THEN CASE v WHEN 0 THEN 90 ELSE 1 END END AS total_pages,
+CASE kind WHEN 'video' THEN 'film' WHEN 'markdown' THEN CASE v WHEN 0 THEN 'f.md' ELSE 'm' END ELSE source END AS title,
+CASE kind WHEN 'video' THEN CASE v WHEN 0 THEN 'intro' WHEN 1 THEN '1:02:03' WHEN 2 THEN '4:05' ELSE 'video description' END WHEN 'markdown' THEN source END AS section,
+CASE WHEN kind = 'video' THEN 'watch' END AS video_link, CASE WHEN kind = 'video' THEN CASE v WHEN 1 THEN '1:02:03' WHEN 2 THEN '4:05' END END AS timestamp,
+CAST(CASE WHEN kind = 'video' THEN CASE v WHEN 1 THEN 3723 WHEN 2 THEN 245 END END AS DOUBLE) AS second_offset, left(text, 1000) AS content FROM k""")
+def r18_normalised_hits(spark, sf):
+    """Hits of all source types with set, unset and malformed fields."""
+    case = lambda *cs: F.element_at(F.array(*(F.lit(c).cast("string") for c in cs)), F.pmod("doc_id", F.lit(len(cs))).cast("int") + 1)
+    key = F.col("doc_id").cast("string")
+    own = {
+        "source_type": case("PDF_manual", "Video_Transcript", "GitHub", "other", "pdf_video", ""), "source_url": F.concat(F.lit("src/"), key), "pdf_name": F.concat(F.lit("man"), key, F.lit(".pdf")), "section_title": F.col("source"),
+        "page_start": case("12", "x", "", None), "page": case("7", None, "34", None), "total_pages": case("90", "", None, "many"), "video_title": F.lit("film"), "chapter_title": case("intro", "", None, None),
+        "start_time": case(None, "1:02:03", "4:05", None), "url": F.lit("watch"), "markdown_file": case("f.md", "", None, None), "md_name": F.lit("m"), "md_url": F.concat(F.lit("md/"), key),
+    }
+    hits = table(spark, sf, "documents").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), "text", *(own[c].alias(c) for c in R.HIT_KEYS))
+    return R.normalised_hits(hits).drop("query_id", "rank", "score")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'pdf' WHEN p_size % 3 = 0 THEN 'document' ELSE p_type END AS source_type, CASE p_size % 3 WHEN 0 THEN '5' WHEN 1 THEN '6' END AS page FROM part")
+def r19_node_metadata(spark, sf):
+    """The plainer resolver of metadata."""
+    n = F.col("p_size")
+    m = F.struct(F.when(n % 2 == 0, "a.pdf").otherwise("").alias("pdf_name"), F.when(n % 3 != 0, F.col("p_type")).alias("source_type"), F.when(n % 3 == 0, "5").alias("page_start"), F.when(n % 3 == 1, "6").otherwise("").alias("page"), F.lit(None).cast("string").alias("page_number"), F.lit("u").alias("source_url"))
+    return table(spark, sf, "part").select("p_partkey", R.node_metadata(m).alias("x")).select("p_partkey", "x.source_type", "x.page")
+
+
+@query("""SELECT c_custkey, 'Rank ' || c_custkey || ' | ' || CASE WHEN c_custkey % 2 = 0 THEN 'pdf' ELSE 'text' END || ' | ' || CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN length(c_name || c_name || c_name) > 40 THEN left(c_name || c_name || c_name, 40) || '...' ELSE c_name || c_name || c_name END
+|| ' | ' || CASE WHEN c_custkey % 3 = 0 THEN 'sec' WHEN c_custkey % 3 = 1 THEN '1:02' ELSE c_name || c_name || c_name END AS label FROM customer""")
+def u05_labels(spark, sf):
+    """Labels of a list of hits."""
+    n = F.col("c_custkey")
+    hits = table(spark, sf, "customer").select("c_custkey", n.alias("rank"), F.when(n % 2 == 0, "pdf").otherwise("text").alias("source_type"), F.when(n % 2 == 0, F.col("c_name")).alias("pdf_id"), F.concat("c_name", "c_name", "c_name").alias("title"), F.when(n % 3 == 0, "sec").alias("section"), F.when(n % 3 == 1, "1:02").alias("timestamp"))
+    return hits.select("c_custkey", R.hit_label().alias("label"))
+
+
+@query("""WITH f AS (SELECT s_suppkey, s_name || CASE s_suppkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '.txt' END AS name FROM supplier) SELECT s_suppkey, name, name = (SELECT max(name) FROM f WHERE s_suppkey % 3 < 2) AS chosen FROM f WHERE s_suppkey % 3 < 2""")
+def s09_pdf_files(spark, sf):
+    """Page sources by their ending, and one by its name in any case."""
+    f = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.element_at(F.array(F.lit(".PDF"), F.lit(".pdf"), F.lit(".txt")), F.pmod("s_suppkey", F.lit(3)).cast("int") + 1)).alias("name"))
+    target = S.pdf_files(f).agg(F.max("name")).first()[0]
+    one = S.pdf_files(f, target.upper()).select("s_suppkey", F.lit(True).alias("chosen"))
+    return S.pdf_files(f).join(one, "s_suppkey", "left").select("s_suppkey", "name", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query("SELECT p_partkey AS video_id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS description, p_brand AS author, CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS INT) AS chapters FROM part")
+def s06_video_info(spark, sf):
+    """Fields of fetched videos; null descriptions and chapters are empty."""
+    one = F.array(F.struct(F.lit(0.0).alias("start_time"), F.lit("c").alias("title"), F.lit(1.0).alias("end_time")))
+    raw = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("u").alias("url"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("description"), F.col("p_brand").alias("uploader"), F.lit("20250101").alias("upload_date"), F.lit(3).alias("duration"), F.when(F.col("p_size") % 3 == 0, one).alias("chapters"))
+    return S.video_info(raw).select("video_id", "title", "description", "author", F.size("chapters").alias("chapters"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
 def r05_new_rows(spark, sf):
     """Rows that a store lacks."""
@@ -682,17 +813,57 @@ def t03_sections(spark, sf):
     return T.sections(table(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text", F.lit(1))
 
 
-@query("SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
-def t26_lookup_join(spark, sf):
-    """Inner lookup; unknown keys are skipped."""
-    return table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+@query("""SELECT s.s_suppkey, n.n_name AS base FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'plain' ELSE 'own_' || s_nationkey || '__a__b.md' END AS name FROM supplier) s
+JOIN nation n ON s.name LIKE 'own\\_%' ESCAPE '\\' AND split_part(s.name, '__', 1) = 'own_' || n.n_nationkey WHERE n.n_nationkey < 20""")
+def t26_repo_lookup(spark, sf):
+    """Files by the prefix of their name; unknown prefixes and names without one are skipped."""
+    name = F.when(F.pmod("s_suppkey", F.lit(3)) == 0, "plain").otherwise(F.concat(F.lit("own_"), F.col("s_nationkey").cast("string"), F.lit("__a__b.md")))
+    repos = table(spark, sf, "nation").filter("n_nationkey < 20").select(F.concat(F.lit("own/"), F.col("n_nationkey").cast("string")).alias("repo"), F.col("n_name").alias("base"))
+    return T.repo_lookup(table(spark, sf, "supplier").select("s_suppkey", name.alias("name")), repos, "name").select("s_suppkey", "base")
+
+
+@query("""SELECT s.s_suppkey, n.url AS source_url, n.n_name AS source_name FROM supplier s LEFT JOIN (SELECT n_regionkey, min(n_name) AS n_name, 'u/' || min(n_name) AS url FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey) n ON s.s_nationkey % 5 = n.n_regionkey""")
+def t31_source_lookup(spark, sf):
+    """The first source of a name; null where there is none."""
+    known = table(spark, sf, "nation").filter("n_regionkey < 3").select(F.col("n_regionkey").alias("name"), F.concat(F.lit("u/"), "n_name").alias("source_url"), F.col("n_name").alias("source_name"))
+    mine = table(spark, sf, "supplier").select("s_suppkey", F.pmod("s_nationkey", F.lit(5)).alias("name"))
+    return T.source_lookup(mine, known, "name").select("s_suppkey", "source_url", "source_name")
+
+
+@query("""SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN turn + 0.5 END, lead(CAST(turn AS DOUBLE)) OVER (PARTITION BY conv_id ORDER BY turn), 99.0) AS end_time FROM conversations""")
+def t20_chapter_ends(spark, sf):
+    """A chapter's own end, else the next one's start, else the whole duration."""
+    start = F.col("turn").cast("double")
+    own = F.when(F.pmod("turn", F.lit(3)) == 0, start + 0.5)
+    following = F.lead(start).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", C.chapter_ends(own, following, F.lit(99.0)).alias("end_time"))
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id AS DOUBLE) WHEN conv_id % 3 = 1 THEN max(turn) + 1.5 ELSE 0.0 END AS total,
+CASE WHEN conv_id % 2 = 0 THEN 'named' END AS title, CASE WHEN conv_id % 2 = 0 THEN 7.0 WHEN conv_id % 3 = 0 THEN CAST(conv_id AS DOUBLE) WHEN conv_id % 3 = 1 THEN max(turn) + 1.5 ELSE 0.0 END AS end_time FROM conversations GROUP BY conv_id""")
+def t21_durations(spark, sf):
+    """Whole durations, and one untitled chapter where there is none."""
+    seg = F.sort_array(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), F.lit(1.5).alias("duration"))))
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(seg.alias("segments"))
+    g = g.withColumn("segments", F.when(F.pmod("conv_id", F.lit(3)) == 1, F.col("segments")).otherwise(F.slice("segments", 1, 0)))
+    total = C.total_duration(F.when(F.pmod("conv_id", F.lit(3)) == 0, F.col("conv_id").cast("double")), F.col("segments"))
+    named = F.array(F.struct(F.lit(0.0).alias("start_time"), F.lit("named").alias("title"), F.lit(7.0).alias("end_time"), F.lit("t").alias("text")))
+    chapters = F.when(F.pmod("conv_id", F.lit(2)) == 0, named).otherwise(F.slice(named, 1, 0))
+    made = g.withColumn("total", total).withColumn("chapters", C.with_pseudo_chapter(chapters, F.col("total"), F.lit("all")))
+    return made.select("conv_id", "total", F.col("chapters")[0]["title"].alias("title"), F.col("chapters")[0]["end_time"].alias("end_time"))
+
+
+@query(r"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || E'\n\nAssociated image descriptions:\n' || p_type ELSE p_name || E'\n\nAssociated image descriptions:\n' || p_type || E'\n' || p_brand END AS text FROM part""")
+def t29_descriptions(spark, sf):
+    """Image descriptions after a section's text."""
+    some = F.slice(F.array("p_type", "p_brand"), F.lit(1), F.pmod("p_size", F.lit(3)).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", T.with_descriptions(F.col("p_name"), some).alias("text"))
 
 
-@query("SELECT s.s_suppkey, s.s_name, n.n_name FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey < 3")
-def t31_left_lookup(spark, sf):
-    """Left lookup; null where there is no source."""
-    n = table(spark, sf, "nation").filter("n_regionkey < 3")
-    return table(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
+@query("SELECT doc_id, n AS token_length FROM (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS n FROM documents) WHERE n > 512")
+def t30_over_long(spark, sf):
+    """Sections of over 512 tokens."""
+    return C.over_long(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "token_length")
 
 
 ASOF = """
@@ -734,9 +905,13 @@ def c03_keep_or_split(spark, sf):
     return C.keep_or_split(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "part", "sub_section_id", "token_length", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(r"""WITH g AS (SELECT conv_id, list(text ORDER BY turn, text) AS texts, list(CAST(turn AS DOUBLE) ORDER BY turn, text) AS turns FROM conversations WHERE trim(text, E' \t\n\r\x0b\x0c') <> '' GROUP BY conv_id),
+s AS (SELECT conv_id, list_transform(list_zip(texts, turns), lambda p: {'done': CAST([] AS STRUCT(t VARCHAR, s DOUBLE, e DOUBLE)[]), 't': p[1], 'n': CAST(len(regexp_extract_all(lower(p[1]), '[a-z0-9]+')) AS BIGINT), 's': p[2], 'e': p[2] + 1.0}) AS xs FROM g),
+r AS (SELECT conv_id, list_reduce(xs, lambda a, x: CASE WHEN a.n + x.n > 66 THEN {'done': list_append(a.done, {'t': a.t, 's': a.s, 'e': a.e}), 't': x.t, 'n': x.n, 's': x.s, 'e': x.e} ELSE {'done': a.done, 't': a.t || ' ' || x.t, 'n': a.n + x.n, 's': a.s, 'e': x.e} END) AS a FROM s),
+u AS (SELECT conv_id, list_append(a.done, {'t': a.t, 's': a.s, 'e': a.e}) AS parts FROM r)
+SELECT conv_id, CAST(k - 1 AS INT) AS part, parts[k].s AS start, parts[k].e AS "end", md5(parts[k].t) AS text_md5 FROM (SELECT conv_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM u)""")
 def c07_pack_segments(spark, sf):
-    """Turns of a conversation as timed segments, packed greedily (C07, C08), tested against a plain loop."""
+    """Turns of a conversation as timed segments, packed greedily."""
     seg = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text"), x["turn"].cast("double").alias("start"), F.lit(1.0).alias("duration")))
     g = table(spark, sf, "conversations").groupBy("conv_id").agg(seg.alias("segments"))
     return g.select("conv_id", F.posexplode(C.pack_segments(F.col("segments"), 60)).alias("part", "g")).select("conv_id", "part", F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.md5("g.text").alias("text_md5"))
@@ -762,8 +937,8 @@ FROM benchmark k LEFT JOIN c ON c.query_id = k.item_id""")
 def g02_prompts(spark, sf):
     """Context blocks and prompts of retrieved hits."""
     hits = lexical(spark, sf).filter("rank <= 5").join(chunk_table(spark, sf), "chunk_id")
-    s = F.lit(None).cast("string")
-    wide = hits.select("query_id", "chunk_id", "rank", "text", F.lit("markdown").alias("source_type"), F.col("title").alias("markdown_file"), *(s.alias(c) for c in ("page_start", "pdf_name", "chapter_title", "start_time", "source")))
+    known = {"source_type": F.lit("markdown"), "markdown_file": F.col("title")}
+    wide = hits.select("query_id", "chunk_id", "rank", "score", "text", *(known.get(c, F.lit(None).cast("string")).alias(c) for c in R.HIT_KEYS))
     return R.prompts(query_table(spark, sf), R.context_block(R.normalised_hits(wide)))
 
 
@@ -856,25 +1031,3 @@ def t28_dispatch_images(spark, sf):
     s = c.select("conv_id", F.col("turn").cast("int").alias("section_no"), F.col("turn").alias("page"))
     p = c.groupBy("conv_id", (F.col("turn") * 2).alias("image_page")).agg(F.sort_array(F.collect_list(F.col("role"))).alias("images"))
     return T.dispatch_images(s, p, "conv_id").withColumn("images", F.array_join("images", ","))
-
-
-@query(VECTOR + """, lx AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS INT) AS rank FROM vt WHERE rank <= 10)
-SELECT query_id, chunk_id, retriever, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_no, rank) AS INT) AS rank FROM (
- SELECT query_id, chunk_id, 'bm25' AS retriever, 0 AS list_no, rank FROM lx WHERE rank <= 3 UNION ALL
- SELECT v.query_id, v.chunk_id, 'vector', 1, v.rank FROM vt v WHERE v.rank <= 2 AND NOT EXISTS (SELECT 1 FROM lx WHERE lx.rank <= 3 AND lx.query_id = v.query_id AND lx.chunk_id = v.chunk_id))""")
-def r11_balanced_mix(spark, sf):
-    """Half of one list, the rest of another, no back-fill."""
-    v = nearest(spark, sf)
-    lx = v.filter("rank <= 10").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
-    u = R.first_of([lx.filter("rank <= 3").withColumn("retriever", F.lit("bm25")), v.filter("rank <= 2").withColumn("retriever", F.lit("vector"))])
-    return u.select("query_id", "chunk_id", "retriever", F.row_number().over(Window.partitionBy("query_id").orderBy("list_no", "rank")).alias("rank"))
-
-
-@query()
-def r14_full_pipeline(spark, sf):
-    """All modes' default: lexical and vector lists fused and reranked (R14), tested on a small corpus."""
-    chunks, queries = chunk_table(spark, sf), query_table(spark, sf)
-    dense = lambda df, i, t, name: R.hashed_embedding(df, i, t).groupBy(F.col("id").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m")).select(name, F.transform(F.sequence(F.lit(0), F.lit(R.DIMS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("v"))
-    vectors = dense(chunks.dropDuplicates(["chunk_id"]), "chunk_id", "text", "chunk_id")
-    asked = dense(queries, "query_id", "query", "query_id")
-    return R.retrieve(R.bm25_index(chunks), vectors, queries, asked, chunks)

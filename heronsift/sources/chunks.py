@@ -61,6 +61,69 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.partitionBy("source").mode("overwrite").json(path)
 
 
+def write_sections(chunks: DataFrame, path: str) -> None:
+    """One ``{"sections": [{text, metadata}]}`` record per source, each in a folder of its own.
+
+    A source's sections are one document of the reference's form, so one record.
+    """
+    drop = {"chunk_id", "source", "idx", "text", "meta", "key", "part"}
+    own = [c for c in chunks.columns if c not in drop]
+    meta = F.struct(*([F.col(f"meta.{f.name}").alias(f.name) for f in META.fields if f.name not in own] if "meta" in chunks.columns else []), *own)
+    place = [c for c in ("idx", "part") if c in chunks.columns]
+    rows = chunks.select("source", F.struct(*place, "text", meta.alias("metadata")).alias("x"))
+    whole = rows.groupBy("source").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["text"].alias("text"), x["metadata"].alias("metadata"))).alias("sections"))
+    whole.write.mode("overwrite").partitionBy("source").json(path)
+
+
+def write_section_list(sections: DataFrame, path: str) -> None:
+    """One JSON line per section: ``text`` and ``metadata`` without null and empty values."""
+    sections.select("source", "text", "metadata").write.mode("overwrite").partitionBy("source").option("ignoreNullFields", True).json(path)
+
+
+def write_markdown(pages: DataFrame, path: str) -> None:
+    """One Markdown text per file, each in a folder of its own."""
+    pages.select("file", "markdown").write.mode("overwrite").partitionBy("file").text(path)
+
+
+def one_target(chunks: DataFrame, name: str) -> DataFrame:
+    """The rows of the first source (by name) that holds ``name``, case ignored."""
+    first = chunks.filter(F.lower("source").contains(name.lower())).agg(F.min("source")).first()[0]
+    return chunks.filter(F.col("source") == first) if first is not None else chunks.limit(0)
+
+
+def pdf_files(files: DataFrame, target: str | None = None) -> DataFrame:
+    """Rows of ``name`` that end in .pdf, case ignored; with a target only that name, case ignored."""
+    kept = files.filter(F.lower("name").endswith(".pdf"))
+    return kept if target is None else kept.filter(F.lower("name") == target.lower())
+
+
+def read_downloads(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of downloads: a row per file with its place, success and size."""
+    return spark.read.schema("name string, source_url string, local_path string, success boolean, filesize_bytes long, timestamp string").option("multiLine", True).json(path)
+
+
+def video_info(raw: DataFrame) -> DataFrame:
+    """Eight fields of a fetched video; a null description is '', null chapters are none."""
+    none = F.array().cast("array<struct<start_time:double,title:string,end_time:double>>")
+    return raw.select(F.col("id").alias("video_id"), "url", "title", F.coalesce("description", F.lit("")).alias("description"), F.col("uploader").alias("author"), F.col("upload_date").alias("publish_date"), "duration", F.coalesce("chapters", none).alias("chapters"))
+
+
+def get_or_create(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows stored under ``path``; an empty store is made where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([], schema).coalesce(1).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def cached_captions(spark: SparkSession, images: DataFrame, path: str, caption) -> DataFrame:
+    """Captions of pages that the store under ``path`` lacks are made and added; all stored rows of these pages."""
+    store = get_or_create(spark, path, "file string, page int, images array<string>, summaries array<string>")
+    new = images.join(store.select("file", "page"), ["file", "page"], "left_anti")
+    caption(new).write.mode("append").parquet(path)
+    return spark.read.schema(store.schema).parquet(path).join(images.select("file", "page").distinct(), ["file", "page"], "left_semi")
+
+
 def read_repositories(spark: SparkSession, path: str, folder: str = "inst/help") -> DataFrame:
     """``repo, folder`` of a repository list."""
     shape = "github array<struct<source_type:string,repo:string,folder:string,source_url:string>>"

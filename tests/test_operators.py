@@ -157,7 +157,7 @@ def test_retrieve_modes(spark):
     for mode in (*R.MODES, "unknown"):
         got = [r.chunk_id for r in R.retrieve(R.bm25_index(chunks), vec, queries, qv, chunks, mode, k=2).orderBy("rank").collect()]
         assert got[0] == 1 and len(got) <= 2, mode
-    assert R.generate(R.prompts(queries, R.context_block(spark.createDataFrame([], "query_id long, rank int, title string, pdf_id string, page int, section string, content string")))).first().answer == "apple pie"
+    assert R.generate(R.prompts(queries, R.context_block(spark.createDataFrame([], "query_id long, rank int, title string, pdf_id string, page_number int, section string, content string")))).first().answer == "apple pie"
 
 
 def test_ingest_once(spark, tmp_path):
@@ -233,3 +233,123 @@ def test_no_part_passes_the_bound(spark):
     for k, t in enumerate(texts[:2]):
         parts = [r.text for r in sorted(got, key=lambda r: r.part) if r.id == k]
         assert "".join("".join(parts).split()) == "".join(t.split()) and len(parts) > 1
+
+
+def chunk_files(tmp_path):
+    items = [
+        {"text": "How to split data files by a factor.", "metadata": {"source_type": "pdf", "pdf_name": "Guide.pdf", "section_title": "Splitting", "page_start": "3", "section_id": "S1"}},
+        {"text": "Regression needs a dependent variable.", "metadata": {"source_type": "github", "markdown_file": "reg.md", "section_title": "Regression", "md_url": "u"}},
+        {"text": "A chapter about plots and figures.", "metadata": {"source_type": "video", "video_title": "Plots", "chapter_title": "Figures", "start_time": "1:05", "url": "w"}},
+    ]
+    (tmp_path / "manual_a.json").write_text(json.dumps({"sections": items}))
+    return str(tmp_path / "manual_a.json")
+
+
+def test_service_and_command_line(spark, tmp_path, capsys):
+    from heronsift import cli, service
+
+    path = chunk_files(tmp_path)
+    corpus = service.Corpus.read(spark, path)
+    for mode in [*service.modes(), "unknown"]:
+        found = service.retrieve(corpus, "  split data by factor ", mode)
+        assert found[0]["source_type"] == "pdf" and found[0]["page_number"] == 3 and found[0]["rank"] == 1, mode
+    for blank in ("", "  \n", None):
+        with pytest.raises(service.EmptyQuery):
+            service.retrieve(corpus, blank)
+    told = service.answer(corpus, "plots of figures", "m", client=lambda p: "said" if "Figures" in p else "nothing")
+    assert set(told) == {"query", "model", "retrieval_mode", "answer", "sources"} and told["answer"] == "said" and told["sources"][0]["rank"] == 1
+    assert service.answer(corpus, " ")["sources"] == []  # a failing retrieval leaves none
+    assert cli.main(["retrieve", "--chunks", path, "--q", "regression", "--mode", "bm25"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["title"] == "reg.md"
+    assert cli.main(["generate", "--chunks", path, "--q", "regression", "--model", "x"]) == 0
+    assert json.loads(capsys.readouterr().out)["model"] == "x"
+    (tmp_path / "b.json").write_text(json.dumps([{"text": "long text " * 400, "metadata": {"section_id": "L"}}]))
+    assert cli.main(["split", "--sections", str(tmp_path / "*.json"), "--pdf", "B", "--out", str(tmp_path / "out")]) == 0
+    made = [json.loads(x) for p in (tmp_path / "out").glob("source=*/*.json") for x in p.read_text().splitlines()]
+    assert len(made) == 1 and [x["metadata"]["sub_section_id"] for x in made[0]["sections"]] == ["L_part1", "L_part2"]
+
+
+def test_vector_top_equals_plain_search(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6))
+    x[7] = 0
+    x[20:40] = x[20]
+    rows = [(f"c{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)] + [("none", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, v array<double>").repartition(4)
+    q = df.filter("chunk_id < 'c060'").withColumnRenamed("chunk_id", "query_id")
+    monkeypatch.setattr(R, "QUERY_BYTES", 6 * 8 * 11)
+    monkeypatch.setattr(R, "VECTOR_BYTES", 4000)
+    got = {}
+    for r in R.vector_top(df, q, 5, digits=9).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.chunk_id
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    assert set(got) == {f"c{i:03d}" for i in range(60) if i != 7}
+    for name, ranks in got.items():
+        s = np.round(u @ u[int(name[1:])], 9)
+        s[7] = -np.inf
+        assert [ranks[k] for k in range(1, 6)] == [f"c{i:03d}" for i in np.lexsort((np.arange(300), -s))[:5]]
+    assert R.vector_top(df, q.limit(0)).count() == 0
+
+
+def test_index_can_be_stored(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma gamma"), (3, "")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(0, "gamma beta")], "query_id long, query string")
+    index = R.bm25_index(chunks)
+    R.store_index(index, str(tmp_path / "index"))
+    assert R.bm25(R.load_index(spark, str(tmp_path / "index")), asked).collect() == R.bm25(index, asked).collect()
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    text = lambda folder, ending: "".join(p.read_text() for p in sorted((tmp_path / folder).glob(f"*.{ending}")))
+    (tmp_path / "d.json").write_text(json.dumps([{"name": "a.pdf", "source_url": "u", "local_path": "p", "success": True, "filesize_bytes": 7, "timestamp": "t"}]))
+    assert S.read_downloads(spark, str(tmp_path / "d.json")).first().filesize_bytes == 7
+    (tmp_path / "g.json").write_text(json.dumps({"github": [{"repo": "a/b"}, {"repo": "c/d", "folder": "docs"}]}))
+    assert [r.folder for r in S.read_repositories(spark, str(tmp_path / "g.json")).orderBy("repo").collect()] == ["inst/help", "docs"]
+    (tmp_path / "v.json").write_text(json.dumps({"videos": [{"name": "n", "url": "u", "category": "c", "language": "en"}]}))
+    assert S.read_videos(spark, str(tmp_path / "v.json")).first().name == "n"
+    S.write_markdown(spark.createDataFrame([("x", "# A\ntext")], "file string, markdown string"), str(tmp_path / "md"))
+    assert text("md/file=x", "txt") == "# A\ntext\n"
+    sections = spark.sql("select 's' source, 't' text, named_struct('a', 'b', 'n', cast(null as string)) metadata")
+    S.write_section_list(sections, str(tmp_path / "list"))
+    assert json.loads(text("list/source=s", "json")) == {"text": "t", "metadata": {"a": "b"}}
+    S.write_csv(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "csv"))
+    assert set(text("csv", "csv").split()) == {"a,b", "1,x"}
+    S.write_jsonl(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "jl"))
+    assert json.loads(text("jl", "json")) == {"a": 1}
+    (tmp_path / "j.csv").write_text("QID,Question,Difficulty Level,Retrieval Mode,Rank,Retrieved Doc,Relevance,Gold Standard Set\n1,q,easy, BM25 ,x,d,2,'a,b'\n".replace("'", '"'))
+    assert S.read_judgements(spark, str(tmp_path / "j.csv")).first().gold == "a,b"
+    (tmp_path / "t.json").write_text(json.dumps([{"id": "q_1", "query": "w?", "relevant_chunk_ids": ["a"]}]))
+    assert S.read_tests(spark, str(tmp_path / "t.json")).first().relevant_chunk_ids == ["a"]
+    (tmp_path / "q.txt").write_text("🧪 skip?\n\nwhat is it?\nno question\n")
+    assert [r.query for r in S.read_questions(spark, str(tmp_path / "q.txt")).collect()] == ["what is it?"]
+    assert M.missing_columns(sections, ["text", "qid", "k"]) == ["k", "qid"]
+
+
+def test_captions_are_made_once(spark, tmp_path):
+    images = spark.createDataFrame([("f", 1, ["a.png", None]), ("f", 2, ["bad.png"])], "file string, page int, images array<string>")
+
+    def caption(path):
+        if path == "bad.png":
+            raise OSError(path)
+        return "seen " + path
+
+    store = str(tmp_path / "captions")
+    first = {r.page: r.summaries for r in S.cached_captions(spark, images.filter("page = 1"), store, lambda df: R.captions(df, caption)).collect()}
+    both = {r.page: r.summaries for r in S.cached_captions(spark, images, store, lambda df: R.captions(df, lambda p: "again" if p == "a.png" else caption(p))).collect()}
+    assert first == {1: ["seen a.png", ""]} and both == {1: ["seen a.png", ""], 2: ["(no summary)"]}
+
+
+def test_video_chunks(spark):
+    text = "one two three. " * 60
+    rows = [("v1", "desc here", [(0.0, "Intro", 5.0, text), (5.0, "Void", 6.0, " ")], []), ("v2", None, [(0.0, None, 9.0, "x")], [("a b", 0.0, 1.0), ("c d", 1.0, 1.0)]), ("v3", "", None, [("e", 0.0, 1.0)])]
+    df = spark.createDataFrame(rows, "video_id string, description string, chapters array<struct<start_time:double,title:string,end_time:double,text:string>>, segments array<struct<text:string,start:double,duration:double>>")
+    got = {(r.video_id, r.section_id): r.source for r in C.video_chunks(df, 100).collect()}
+    assert got == {("v1", "v1_desc_0"): "description", ("v1", "v1_ch1_part0"): "chapter", ("v1", "v1_ch1_part1"): "chapter", ("v2", "v2_seg0"): "transcript_fallback", ("v3", "v3_seg0"): "transcript_fallback"}
+
+
+def test_markdown_chunks(spark):
+    df = spark.createDataFrame([(1, "# A\nfirst\n\n## B\n" + "word. " * 700 + "\n\n   \n# C\n")], "id long, text string")
+    got = C.markdown_chunks(df, "id", "text", 500).orderBy("node", "part").collect()
+    assert [r.section_title for r in got][0] == "# A" and max(r.token_length for r in got) <= 500 and len(got) == 4
