@@ -299,21 +299,3 @@ def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [0.5, 0.5]), (21, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = ann.search(df).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 21), (0, 2, 20), (20, 1, 21), (20, 2, 0)]
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rows = [(i, " ".join(words(60)), "en", f"s{i % 3}", 1) for i in range(60)]
-    rows += [(100 + i, rows[i][1] + " ", "en", "s0", 1) for i in range(10)] + [(200, None, None, None, None), (None, "", "en", None, 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(40 + i, int(i % 2), 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    distinct = corpus_pipeline.keep_distinct(spark, read, str(tmp_path))
-    assert distinct.columns == read.columns and distinct.count() == 61
-    rows = [(k, t if k % 2 else " ".join(["new", *t.split()[1:]]), "en", "s0", 1) for k, t in enumerate([x[1] for x in rows[:20] for _ in range(2)])]
-    near = spark.createDataFrame(rows, read.schema)
-    assert sorted(r.doc_id for r in corpus_pipeline.keep_unlike(spark, near, str(tmp_path)).collect()) == list(range(0, 40, 2))
-    assert corpus_pipeline.keep_unlike(spark, distinct, str(tmp_path)).count() == 61
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0 and out.count() > 0
