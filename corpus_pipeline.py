@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 is written as Parquet and read again as the next stage's ``docs``.  All stages
-but the last return the columns of ``docs``; the last returns pieces of packed
-sequences.
+but the last return the columns of ``docs``, extra ones included, whatever their
+names; the last returns pieces of packed sequences.
+
+Defined cases: null and empty texts count as empty, are scored by quality like
+any other, are one group of copies, and are dropped by the mix, as they have no
+words; rows that repeat are one row after the exact stage; of rows alike in
+length the smallest id stays, null ids last; very long texts are worked on
+whole; an empty table, or one without words, gives no piece.
 """
 
 from __future__ import annotations
