@@ -899,9 +899,25 @@ def c01_header_nodes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(C.header_nodes(F.col("text"))).alias("node", "text"))
 
 
-@query()
+TOKENS = "CAST(len(regexp_extract_all(lower({c}), '[a-z0-9]+')) AS BIGINT)"
+
+
+@query(rf"""WITH long AS (SELECT doc_id, text FROM documents WHERE {TOKENS.format(c='text')} > 500),
+split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', E'\\1\x01', 'g'), E'\x01') AS parts FROM long),
+sents AS (SELECT doc_id, i, parts[i] AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM split) WHERE trim(parts[i], E' \t\n\r\x0b\x0c') <> ''),
+worded AS (SELECT doc_id, i, flatten(list_transform(regexp_extract_all(s, '\S+'), lambda w: CASE WHEN {TOKENS.format(c='w')} > 500 THEN regexp_extract_all(w, '[^A-Za-z0-9]*(?:[A-Za-z0-9]+[^A-Za-z0-9]*){{1,500}}') ELSE [w] END)) AS ws FROM sents WHERE {TOKENS.format(c='s')} > 500),
+greedy AS (SELECT doc_id, i, list_reduce(list_transform(ws, lambda w: {{'done': CAST([] AS VARCHAR[]), 'now': w, 'n': {TOKENS.format(c='w')}}}),
+  lambda a, x: CASE WHEN a.n + x.n > 500 THEN {{'done': list_append(a.done, a.now), 'now': x.now, 'n': x.n}} ELSE {{'done': a.done, 'now': a.now || ' ' || x.now, 'n': a.n + x.n}} END) AS g FROM worded),
+pieces AS (SELECT doc_id, i, 0 AS j, s AS p FROM sents WHERE {TOKENS.format(c='s')} <= 500 UNION ALL SELECT doc_id, i, unnest(range(len(g.done) + 1)), unnest(list_append(g.done, g.now)) FROM greedy),
+lists AS (SELECT doc_id, list(p ORDER BY i, j) AS ps FROM pieces GROUP BY doc_id),
+packed AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {{'done': CAST([] AS VARCHAR[]), 'now': p, 'n': {TOKENS.format(c='p')}, 'last': p, 'last_n': {TOKENS.format(c='p')}}}),
+  lambda a, x: CASE WHEN a.n > 0 AND a.n + x.n > 500 AND a.last_n <= 50 AND a.last_n + x.n <= 500 THEN {{'done': list_append(a.done, a.now), 'now': a.last || ' ' || x.now, 'n': a.last_n + x.n, 'last': x.last, 'last_n': x.last_n}}
+    WHEN a.n > 0 AND a.n + x.n > 500 THEN {{'done': list_append(a.done, a.now), 'now': x.now, 'n': x.n, 'last': x.last, 'last_n': x.last_n}}
+    ELSE {{'done': a.done, 'now': a.now || ' ' || x.now, 'n': a.n + x.n, 'last': x.last, 'last_n': x.last_n}} END) AS r FROM lists),
+parts AS (SELECT doc_id, unnest(range(len(r.done) + 1)) AS part, unnest(list_append(r.done, r.now)) AS t, true AS long FROM packed UNION ALL SELECT doc_id, 0, text, false FROM documents WHERE {TOKENS.format(c='text')} <= 500)
+SELECT doc_id, CAST(part AS INT) AS part, CASE WHEN long THEN doc_id || '_part' || (part + 1) END AS sub_section_id, CAST({TOKENS.format(c='t')} AS INT) AS token_length, md5(t) AS text_md5 FROM parts""")
 def c03_keep_or_split(spark, sf):
-    """Long texts cut by sentences, others kept (C02 to C04), tested against a plain loop."""
+    """Long texts cut by sentences, over-long sentences by words, others kept."""
     return C.keep_or_split(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "part", "sub_section_id", "token_length", F.md5("text").alias("text_md5"))
 
 
