@@ -264,7 +264,7 @@ cred AS (SELECT difficulty, mode, pow(sin(pi() / 2 * arg_min((i + 1 - (c - 0.025
 CRED = RATES + credible("r", 0.5) + ", rated AS (SELECT r.*, (successes + 0.5) / (n + 1.0) AS posterior_mean, cri_lo, cri_hi FROM r JOIN cred ON r.difficulty = cred.difficulty AND r.mode = cred.mode)"
 
 
-@query(CRED + " SELECT difficulty, mode, n, successes, round(rate, 6) AS rate, round(posterior_mean, 6) AS posterior_mean, round(cri_lo, 6) AS cri_lo, round(cri_hi, 6) AS cri_hi FROM rated")
+@query(CRED + " SELECT difficulty, mode, n, successes, round(rate, 5) AS rate, round(posterior_mean, 5) AS posterior_mean, round(cri_lo, 5) AS cri_lo, round(cri_hi, 5) AS cri_hi FROM rated", digits=5)
 def a03_beta_interval(spark, sf):
     """Posterior means and equal-tailed bounds of success rates."""
     return A.beta_interval(A.rates(metric_rows(spark, sf), "success", BY))
@@ -370,12 +370,12 @@ def a14_gold_summary(spark, sf):
 HITS = J + ", h AS (SELECT difficulty, mode, CAST(sum(greatest(0, least(5, round(precision_gold * 5)))) AS BIGINT) AS successes, count(*) * 5 AS n FROM m WHERE precision_gold IS NOT NULL GROUP BY difficulty, mode)"
 
 
-@query(HITS + credible("h", 1.0) + " SELECT h.difficulty, h.mode, successes, n, round((successes + 1) / (n + 2), 6) AS posterior_mean, round(cri_lo, 6) AS cri_lo, round(cri_hi, 6) AS cri_hi FROM h JOIN cred ON h.difficulty = cred.difficulty AND h.mode = cred.mode")
+@query(HITS + credible("h", 1.0) + " SELECT h.difficulty, h.mode, successes, n, round((successes + 1) / (n + 2), 5) AS posterior_mean, round(cri_lo, 5) AS cri_lo, round(cri_hi, 5) AS cri_hi FROM h JOIN cred ON h.difficulty = cred.difficulty AND h.mode = cred.mode", digits=5)
 def a15_precision_posterior(spark, sf):
     return A.precision_posterior(metric_rows(spark, sf), BY)
 
 
-@query(CRED + f", w AS (SELECT difficulty, mode, least({WILSON.format(s='-')}, cri_lo) AS low FROM rated) SELECT difficulty, mode, round(low, 6) AS low, round(min(low) OVER (PARTITION BY difficulty), 6) AS panel_low FROM w")
+@query(CRED + f", w AS (SELECT difficulty, mode, least({WILSON.format(s='-')}, cri_lo) AS low FROM rated) SELECT difficulty, mode, round(low, 5) AS low, round(min(low) OVER (PARTITION BY difficulty), 5) AS panel_low FROM w", digits=5)
 def a18_conservative_bound(spark, sf):
     """The lower of both intervals' lower bounds, per row and per panel."""
     return A.conservative_bound(A.rates(metric_rows(spark, sf), "success", BY), BY, "difficulty")
