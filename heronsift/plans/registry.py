@@ -1040,9 +1040,15 @@ def s27_page_images(spark, sf):
     return S.page_images(rows).select("file", "page", F.array_join("images", ",").alias("images"))
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id, turn * 2 AS page, string_agg(role, ',' ORDER BY role) AS images FROM conversations GROUP BY ALL),
+f AS (SELECT conv_id, list(page ORDER BY page) AS pages FROM p GROUP BY conv_id),
+l AS (SELECT conv_id, list({'at': turn, 'rest': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])} ORDER BY turn) AS xs, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, turns, list_reduce(list_prepend({'at': CAST(NULL AS BIGINT), 'rest': pages, 'out': CAST([] AS BIGINT[])}, xs),
+  lambda a, x: {'at': x.at, 'rest': list_filter(a.rest, lambda y: y <> coalesce(list_max(list_filter(a.rest, lambda z: z <= x.at)), list_min(a.rest), -1)), 'out': list_append(a.out, coalesce(list_max(list_filter(a.rest, lambda z: z <= x.at)), list_min(a.rest)))}) AS st FROM l JOIN f USING (conv_id)),
+u AS (SELECT conv_id, unnest(turns) AS section_no, unnest(st.out) AS image_page FROM r)
+SELECT u.conv_id, CAST(section_no AS INT) AS section_no, image_page, coalesce(images, '') AS images FROM u LEFT JOIN p ON u.conv_id = p.conv_id AND u.image_page = p.page""")
 def t28_dispatch_images(spark, sf):
-    """Sections take the images of the nearest page that has any left (T28), tested by hand-made rows."""
+    """Sections take the images of the nearest page that has any left."""
     c = table(spark, sf, "conversations")
     s = c.select("conv_id", F.col("turn").cast("int").alias("section_no"), F.col("turn").alias("page"))
     p = c.groupBy("conv_id", (F.col("turn") * 2).alias("image_page")).agg(F.sort_array(F.collect_list(F.col("role"))).alias("images"))
