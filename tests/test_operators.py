@@ -353,3 +353,31 @@ def test_markdown_chunks(spark):
     df = spark.createDataFrame([(1, "# A\nfirst\n\n## B\n" + "word. " * 700 + "\n\n   \n# C\n")], "id long, text string")
     got = C.markdown_chunks(df, "id", "text", 500).orderBy("node", "part").collect()
     assert [r.section_title for r in got][0] == "# A" and max(r.token_length for r in got) <= 500 and len(got) == 4
+
+
+def test_corpus_builds(spark, tmp_path):
+    from heronsift.plans import corpus
+
+    pages = [("m", 5, "Preface text"), ("m", 6, "USING THE TOOL\nFirst words\n12 | P a g e\nR² = 3\n\nthen\nSECOND PART\nMORE TITLE\nOther\nJASP 0.1 banned"), ("m", 7, "THIRD PART\nLast")]
+    df = spark.createDataFrame(pages, "file string, page int, text string")
+    d = corpus.pdf_documents(df, ("JASP 0.",), "USING THE TOOL (page 6)")
+    got = d.orderBy("n").collect()
+    assert [(r.section_title, r.section_id) for r in got] == [("USING THE TOOL", "USING_THE_TOOL_PAGE_6"), ("SECOND PART: MORE TITLE", "SECOND_PART_MORE_TITLE_PAGE_6"), ("THIRD PART", "THIRD_PART_PAGE_7")]
+    assert "$$R^2" in got[0].text and "P a g e" not in got[0].text and "banned" not in got[1].text
+    assert got[2].image_placeholders == ["[IMAGE_PLACEHOLDER_THIRD_PART_PAGE_7]"] and all(r.token_length > 0 and r.pdf_name == "m.pdf" for r in got)
+    images = spark.createDataFrame([("m", 6, ["a", "b"]), ("m", 8, ["c"])], "file string, page int, images array<string>")
+    sources = spark.createDataFrame([("m", "u2", "s"), ("m", "u1", "s")], "name string, source_url string, source_name string")
+    full = corpus.with_images(d, images, sources, lambda p: "seen " + p).orderBy("n").collect()
+    assert [r.image_summaries for r in full] == [["seen a", "seen b"], ["seen c"], []] and {r.source_url for r in full} == {"u1"}
+    assert full[0].text.endswith("Associated image descriptions:\nseen a\nseen b") and full[0].token_length > got[0].token_length
+
+    shape = "video_id string, description string, duration double, chapters array<struct<start_time:double,title:string,end_time:double>>, segments array<struct<text:string,start:double,duration:double>>"
+    heard = [("one", 0.0, 4.0), ("two", 5.0, 4.0), ("three", 10.0, 2.0)]
+    v = spark.createDataFrame([("a", "d", None, [(0.0, "x", None), (6.0, "y", None)], heard), ("b", None, 20.0, [], heard)], shape)
+    made = {r.section_id: r.text for r in corpus.video_documents(v).collect()}
+    assert made == {"a_desc_0": "d", "a_ch1_part0": "one two", "a_ch2_part0": "two three", "b_seg0": "one two three"}
+    store = str(tmp_path / "videos")
+    corpus.write_new_videos(spark, v.select("video_id", "description"), store)
+    corpus.write_new_videos(spark, v.select("video_id", "description").unionByName(spark.createDataFrame([("c", "n")], "video_id string, description string")), store)
+    assert sorted(r.video_id for r in spark.read.json(store).collect()) == ["a", "b", "c"]
+    assert one(spark, T.embed_url(F.lit("https://y/watch?v=1"), F.lit(7))) == "https://y/embed/1?start=7"
