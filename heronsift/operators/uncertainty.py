@@ -206,10 +206,11 @@ def resampled(df: DataFrame, column: str, by: list[str], draws: int = 10_000, st
     return middle.join(ends, by)
 
 
-def cube_means(df: DataFrame, column: str) -> DataFrame:
-    """Means by mode, by difficulty, by both and overall, in one pass."""
-    c = df.cube("difficulty", "mode").agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.grouping_id().cast("long").alias("level"))
-    return c.select("difficulty", "mode", "level", "n", "mean")
+def cube_means(df: DataFrame, column: str, median: bool = False) -> DataFrame:
+    """Means (and medians) by mode, by difficulty, by both and overall, in one pass."""
+    more = [F.median(column).alias("median")] if median else []
+    c = df.cube("difficulty", "mode").agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.grouping_id().cast("long").alias("level"), *more)
+    return c.select("difficulty", "mode", "level", "n", "mean", *(["median"] if median else []))
 
 
 def beta_mle(n: float, mean: float, var: float, mean_ln: float, mean_ln1: float) -> tuple[float, float]:

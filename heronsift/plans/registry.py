@@ -18,6 +18,7 @@ from heronsift.operators import metrics as M
 from heronsift.operators import retrieval as R
 from heronsift.operators import uncertainty as A
 from heronsift.sources import chunks as S
+from heronsift.streaming import ingest as I
 
 MODES = ["BM25", "vector", "bm_vector_fusion", "bm_vector_fusion_rerank"]
 DIFFICULTIES = ["easy", "difficult"]
@@ -1053,3 +1054,53 @@ def t28_dispatch_images(spark, sf):
     s = c.select("conv_id", F.col("turn").cast("int").alias("section_no"), F.col("turn").alias("page"))
     p = c.groupBy("conv_id", (F.col("turn") * 2).alias("image_page")).agg(F.sort_array(F.collect_list(F.col("role"))).alias("images"))
     return T.dispatch_images(s, p, "conv_id").withColumn("images", F.array_join("images", ","))
+
+
+@query("SELECT md5(text) AS text_md5, coalesce(lang, '') || '/' || doc_id AS section_title, CAST(n_chars AS INT) AS token_length FROM documents WHERE text IS NOT NULL")
+def s13_chunk_files(spark, sf):
+    """Documents written as section files and read back."""
+    d = table(spark, sf, "documents")
+    title = F.concat_ws("/", F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    rows = d.select("source", F.pmod("doc_id", F.lit(50_000)).cast("int").alias("idx"), "text", title.alias("section_title"), F.col("n_chars").cast("int").alias("token_length"))
+    path = S.shared_path(spark, "sections")
+    S.write_sections(rows, path, 500)
+    return S.read_chunks(spark, f"{path}/*/*.json").select(F.md5("text").alias("text_md5"), "meta.section_title", "meta.token_length")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def s18_ingest_once(spark, sf):
+    """A stream of documents stored once, though it is read twice."""
+    d, store = table(spark, sf, "documents"), S.shared_path(spark, "store")
+    for attempt in ("first", "again"):
+        I.ingest_once(spark, f"{sf}/documents.parquet*", d.schema, store, S.shared_path(spark, attempt), "doc_id")
+    return S.get_or_create(spark, store, d.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(J + f"SELECT qid, mode, success, {R6('mrr', 'recall_gold')} FROM m")
+def s21_csv_round_trip(spark, sf):
+    """Metrics written as CSV and read with coercion."""
+    path = S.shared_path(spark, "csv")
+    S.write_csv(metric_rows(spark, sf).select("qid", "mode", "success", "mrr", "recall_gold"), path)
+    read = spark.read.option("header", True).csv(path)
+    return read.select(F.col("qid").try_cast("long").alias("qid"), "mode", F.col("success").try_cast("int").alias("success"), *(F.col(c).try_cast("double").alias(c) for c in ("mrr", "recall_gold")))
+
+
+@query(RUN + "SELECT id, retrieved_ids, success_at_k FROM run")
+def s26_run_lines(spark, sf):
+    """A run written as JSON lines and read back."""
+    path = S.shared_path(spark, "run")
+    S.write_jsonl(run_results(spark, sf), path)
+    return spark.read.schema("id string, retrieved_ids array<string>, success_at_k boolean").json(path).select("id", F.array_join("retrieved_ids", ",").alias("retrieved_ids"), "success_at_k")
+
+
+@query(J + "SELECT difficulty, mode, count(ndcg) AS n, round(avg(ndcg), 6) AS mean, round(median(ndcg), 6) AS median, CAST(grouping(difficulty, mode) AS BIGINT) AS level FROM m GROUP BY CUBE (difficulty, mode)")
+def a10_reference_lines(spark, sf):
+    """Means and medians at all levels, the grand ones included."""
+    return A.cube_means(metric_rows(spark, sf), "ndcg", median=True)
+
+
+@query("SELECT 'k' AS missing UNION ALL SELECT 'qid'")
+def m15a_missing_columns(spark, sf):
+    """Required columns that a table lacks."""
+    lacks = M.missing_columns(table(spark, sf, "region"), ["r_name", "qid", "k"])
+    return spark.createDataFrame([(c,) for c in lacks], "missing string")

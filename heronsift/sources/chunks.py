@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,18 +64,26 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.partitionBy("source").mode("overwrite").json(path)
 
 
-def write_sections(chunks: DataFrame, path: str) -> None:
-    """One ``{"sections": [{text, metadata}]}`` record per source, each in a folder of its own.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the folder that all executors share; a local master may go without the setting."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="heronsift-")
+    return f"{found.rstrip('/')}/heronsift/{label}-{uuid.uuid4().hex}"
 
-    A source's sections are one document of the reference's form, so one record.
-    """
+
+def write_sections(chunks: DataFrame, path: str, most: int = 10_000) -> None:
+    """``{"sections": [{text, metadata}]}`` records, a folder per source, of ``most`` sections each."""
     drop = {"chunk_id", "source", "idx", "text", "meta", "key", "part"}
     own = [c for c in chunks.columns if c not in drop]
     meta = F.struct(*([F.col(f"meta.{f.name}").alias(f.name) for f in META.fields if f.name not in own] if "meta" in chunks.columns else []), *own)
     place = [c for c in ("idx", "part") if c in chunks.columns]
-    rows = chunks.select("source", F.struct(*place, "text", meta.alias("metadata")).alias("x"))
-    whole = rows.groupBy("source").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["text"].alias("text"), x["metadata"].alias("metadata"))).alias("sections"))
-    whole.write.mode("overwrite").partitionBy("source").json(path)
+    part = F.floor(F.col("idx") / most) if "idx" in chunks.columns else F.lit(0)
+    rows = chunks.select("source", part.alias("record"), F.struct(*place, "text", meta.alias("metadata")).alias("x"))
+    whole = rows.groupBy("source", "record").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["text"].alias("text"), x["metadata"].alias("metadata"))).alias("sections")).drop("record")
+    whole.repartition("source").write.option("maxRecordsPerFile", 1).mode("overwrite").partitionBy("source").json(path)
 
 
 def write_section_list(sections: DataFrame, path: str) -> None:
