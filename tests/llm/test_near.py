@@ -148,7 +148,7 @@ def test_passages(spark):
                 copy[k] = "edited"
             own[40:40] = copy
         rows.append((i, (" " if i % 2 else "  \n").join(own)))
-    rows += [(90, None), (91, ""), (92, "short text"), (None, rows[0][1]), (93, "same words " * 20_000), (94, " ".join(words(300))), (94, " ".join(words(300)))]
+    rows += [(90, None), (91, ""), (92, "short text"), (None, rows[0][1]), (93, "same words " * 20_000), (95, "same words " * 300), (94, " ".join(words(300))), (94, " ".join(words(300)))]
     got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
     flagged = {r.doc_id for r in got} | {r.other_id for r in got}
     assert flagged == {i for i in range(30) if i % 3 == 0} and {r.class_id for r in got} == {0}
