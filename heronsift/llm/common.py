@@ -75,9 +75,14 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, seed: str = "") -> DataFr
 
 
 def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` named by ``hs_k_id`` and ``hs_k_loc``, one of those that repeat."""
-    loc, n = free_name(docs, "hs_locator"), free_name(docs, "hs_rank")
-    marked = docs.withColumn(loc, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("hs_k_id")) & (F.col(loc) == F.col("hs_k_loc"))
-    one = Window.partitionBy(F.col(id_col).cast("long"), loc).orderBy(F.lit(1))
-    return marked.join(keep, same, "left_semi").withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).drop(loc, n)
+    """The rows of ``docs`` named by ``hs_k_id`` and ``hs_k_loc``, one of those that repeat.
+
+    Join and window are dealt by the same three columns, so rows are shuffled once.
+    """
+    own = [free_name(docs, f"hs_key{k}") for k in range(3)]
+    n = free_name(docs, "hs_rank")
+    key = lambda i, loc: (F.coalesce(i, F.lit(0)), i.isNull(), loc)
+    marked = docs.withColumns(dict(zip(own, key(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))))
+    named = keep.select(*(c.alias(x) for c, x in zip(key(F.col("hs_k_id"), F.col("hs_k_loc")), own)))
+    one = Window.partitionBy(*own).orderBy(F.lit(1))
+    return marked.join(named, own, "left_semi").withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
