@@ -358,9 +358,9 @@ def test_markdown_chunks(spark):
 def test_corpus_builds(spark, tmp_path):
     from heronsift.plans import corpus
 
-    pages = [("m", 5, "Preface text"), ("m", 6, "USING THE TOOL\nFirst words\n12 | P a g e\nR² = 3\n\nthen\nSECOND PART\nMORE TITLE\nOther\nJASP 0.1 banned"), ("m", 7, "THIRD PART\nLast")]
+    pages = [("m", 5, "Preface text"), ("m", 6, "USING THE TOOL\nFirst words\n12 | P a g e\nR² = 3\n\nthen\nSECOND PART\nMORE TITLE\nOther\nTOOL 0.1 banned"), ("m", 7, "THIRD PART\nLast")]
     df = spark.createDataFrame(pages, "file string, page int, text string")
-    d = corpus.pdf_documents(df, ("JASP 0.",), "USING THE TOOL (page 6)")
+    d = corpus.pdf_documents(df, ("TOOL 0.",), "USING THE TOOL (page 6)")
     got = d.orderBy("n").collect()
     assert [(r.section_title, r.section_id) for r in got] == [("USING THE TOOL", "USING_THE_TOOL_PAGE_6"), ("SECOND PART: MORE TITLE", "SECOND_PART_MORE_TITLE_PAGE_6"), ("THIRD PART", "THIRD_PART_PAGE_7")]
     assert "$$R^2" in got[0].text and "P a g e" not in got[0].text and "banned" not in got[1].text
