@@ -78,7 +78,9 @@ def targets(words, weights=(5, 2, 1)):
         capped |= over
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_mix(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [(i, "w " * (i % 13 * (50 if i % 97 == 0 else 1)), f"s{'0' if i % 3 == 0 else i % 7}") for i in range(600)] + [(1000 + i, "u v w", None) for i in range(5)] + [(2000, None, "s1"), (2001, "  ", "void")]
     got = mixing.mix_sizes(docs(spark, rows)).collect()
     words = {}
@@ -143,9 +145,10 @@ def judged(url):
     return host, path, None, "block" if hits and all(r.verdict == "block" for r in hits) else "allow"
 
 
-@pytest.mark.parametrize("tokens", [64, 0])
-def test_urls(spark, monkeypatch, tokens):
+@pytest.mark.parametrize("tokens,rules", [(64, 100_000), (0, 100_000), (0, 0)])
+def test_urls(spark, monkeypatch, tokens, rules):
     monkeypatch.setattr(url_rules, "MAP_TOKENS", tokens)
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", rules)
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(URLS)] + [(0, URLS[0], "x", "y"), (None, URLS[0], "x", "y")], "page_id long, url string, host string, token string")
     got = url_rules.judge_urls(pages).collect()
     assert len(got) == len(URLS) + 2
@@ -155,6 +158,13 @@ def test_urls(spark, monkeypatch, tokens):
     assert {r.verdict for r in url_rules.judge_urls(pages, ()).collect()} == {"allow"}
 
 
+def test_many_literals(spark):
+    rules = tuple(url_rules.pattern_rule("block", f"/w{k}x", f"w{k}x") for k in range(1500))
+    pages = spark.createDataFrame([(k, f"http://a.com/w{k}x") for k in range(0, 1600, 100)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, rules).collect()}
+    assert got == {k: "block" if k < 1500 else "allow" for k in range(0, 1600, 100)}
+
+
 def test_rule_without_path(spark):
     rule = url_rules.host_path_rule("block", "net", "")
     pages = spark.createDataFrame([(1, "http://a.net"), (2, "http://net/x"), (3, "http://netflix.com/")], "page_id long, url string")
