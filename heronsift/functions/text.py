@@ -262,9 +262,10 @@ def chunk_id(source: Column, idx: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("_", source, idx.cast("string"), text))
 
 
-def node_key(doc_id: Column, source: Column, text: Column) -> Column:
-    """What fusion and de-duplication compare."""
-    return F.md5(F.concat(F.coalesce(or_else(doc_id, source), F.lit("")), F.lit("::"), strip(text)))
+def node_key(doc_id: Column, source: Column, text: Column, file: Column | None = None) -> Column:
+    """What fusion and de-duplication compare: the first set name and the stripped text."""
+    names = [doc_id, source] + ([] if file is None else [file])
+    return F.md5(F.concat(F.coalesce(or_else(*names), F.lit("")), F.lit("::"), strip(text)))
 
 
 #: Line starts that mark headings, not questions.

@@ -104,6 +104,12 @@ def run_eval(hits: DataFrame, tests: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+def run_with(retrieve_fn, tests: DataFrame, k: int = 3) -> DataFrame:
+    """``run_eval`` of what ``retrieve_fn(queries, k)`` finds; ``queries``: id, query, blank ones left out."""
+    asked = tests.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    return run_eval(retrieve_fn(asked.select("id", "query"), k), asked, k)
+
+
 def run_rates(results: DataFrame) -> DataFrame:
     """Counts and rates over a run."""
     ok, first = F.sum(F.col("success_at_k").cast("long")), F.sum(F.col("top1_relevant").cast("long"))

@@ -191,6 +191,20 @@ def coverage_rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: i
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.col("rerank").alias("score"), "rank")
 
 
+def rerank_chain(*scorers):
+    """A reranker that takes the first scorer that can be called, else the fused order cut at ``k``."""
+
+    def run(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = TOP_FINAL) -> DataFrame:
+        for scorer in scorers:
+            try:
+                return scorer(hits, queries, chunks, k)
+            except (ImportError, OSError):  # a model that is not there
+                continue
+        return hits.filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+    return run
+
+
 def retrieve(index: dict[str, DataFrame], vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, mode: str = MODES[-1], k: int = TOP_FINAL, rerank=coverage_rerank, digits: int | None = None) -> DataFrame:
     """Route a batch of queries by mode; an unknown mode runs the whole pipeline.
 

@@ -381,3 +381,24 @@ def test_corpus_builds(spark, tmp_path):
     corpus.write_new_videos(spark, v.select("video_id", "description").unionByName(spark.createDataFrame([("c", "n")], "video_id string, description string")), store)
     assert sorted(r.video_id for r in spark.read.json(store).collect()) == ["a", "b", "c"]
     assert one(spark, T.embed_url(F.lit("https://y/watch?v=1"), F.lit(7))) == "https://y/embed/1?start=7"
+
+
+def test_run_with_a_function_and_a_chain_of_scorers(spark):
+    tests = spark.createDataFrame([("a", "one", ["x"]), ("b", " ", ["y"]), ("c", "two", ["z"])], "id string, query string, relevant_chunk_ids array<string>")
+    asked = []
+
+    def found(queries, k):
+        asked.extend(r.id for r in queries.collect())
+        return spark.createDataFrame([("a", 1, None, "x"), ("c", 1, "q", None), ("c", 4, "z", None)], "id string, rank int, doc_id string, section_id string")
+
+    got = {r.id: (r.success_at_k, r.top1_relevant) for r in M.run_with(found, tests).collect()}
+    assert sorted(asked) == ["a", "c"] and got == {"a": (True, True), "c": (False, False)}
+
+    def absent(*_):
+        raise ImportError("no model")
+
+    hits = spark.createDataFrame([(0, 1, 0.5, 1), (0, 2, 0.4, 2)], "query_id long, chunk_id long, score double, rank int")
+    chunks = spark.createDataFrame([(1, "pear"), (2, "apple")], "chunk_id long, text string")
+    queries = spark.createDataFrame([(0, "apple")], "query_id long, query string")
+    assert [r.chunk_id for r in R.rerank_chain(absent, R.coverage_rerank)(hits, queries, chunks, 1).collect()] == [2]
+    assert [r.chunk_id for r in R.rerank_chain(absent)(hits, queries, chunks, 1).collect()] == [1]
