@@ -43,6 +43,22 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 6 << 20
+
+
+def batched_by_bytes(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends rows to Python in batches of ``BATCH_BYTES``, unless it has a bound of its own.
+
+    Spark's bound is 64 MB and 10,000 rows, which executor and worker both hold;
+    it is read when a plan starts, so the session keeps the setting.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """``want``, or a variant of it that no column of ``df`` has (case ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, written
+from .common import batched_by_bytes, keep_rows, written
 from .components import connected_components
 from .simhash import GrayForest, gray_rank, majority, spanning
 from .substring_dedup import word_hashes
@@ -102,7 +102,7 @@ def marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x.view(np.int64)) for x in (d1, d2, fp)), listed, pa.array(sketches, pa.binary())], ["doc_id", "locator", "d1", "d2", "fp", "keys", "sketch"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("locator"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, locator long, d1 long, d2 long, fp long, keys array<long>, sketch binary")
+    return batched_by_bytes(narrow).mapInArrow(run, "doc_id long, locator long, d1 long, d2 long, fp long, keys array<long>, sketch binary")
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:

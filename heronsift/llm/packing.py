@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import batched_by_bytes, written
 from .tokens import encoder, slices
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -183,7 +183,7 @@ def pack(
         return made
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = written(narrow.mapInArrow(online, PIECE + ", task long, ids binary"), "packed")
+    placed = written(batched_by_bytes(narrow).mapInArrow(online, PIECE + ", task long, ids binary"), "packed")
     names = [x.split()[0] for x in PIECE.split(", ")]
     done = placed.filter("ids is null").select(*names)
     group = F.floor(F.col("task") / merged_tasks)

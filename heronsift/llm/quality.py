@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic
-from .common import crc32_bucket, written
+from .common import batched_by_bytes, crc32_bucket, written
 from .toxicity import label_shares, sampled_labels, training_rows
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 60_000
@@ -107,6 +107,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int,
 
     Only texts go to Python; the rows around them stay where they are.
     """
+    batched_by_bytes(docs)
     zeros, ones = label_shares(labels, label, mod, held)
     chosen = written(sampled_labels(labels, label, mod, held, sample_docs), "label-sample")
     rows = training_rows(docs, chosen, SAMPLE_CHARS, id_col, text_col).toPandas().sort_values("doc_id")  # the bounded sample

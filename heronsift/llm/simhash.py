@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import batched_by_bytes, written
 from .components import connected_components
 
 #: Bits that may differ.  The dealing below is exact for up to three.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(1)], ["doc_id", "fp", "locator"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("locator"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long, locator long")
+    return batched_by_bytes(narrow).mapInArrow(run, "doc_id long, fp long, locator long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:

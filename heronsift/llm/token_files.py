@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
+from .common import batched_by_bytes, sample_by_hash
 from .tokens import encoder, slices
 
 #: Bytes of text that a shard holds at most, about.
@@ -111,7 +111,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     dtype = "<u2" if max(encoder(tokenizer_path, spaces_matter).size - 1, end_id) < 1 << 16 else "<u4"
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = batched_by_bytes(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def serial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, spaces_matter)

@@ -32,7 +32,7 @@ BYTES_AT_ONCE = 6 << 20
 
 #: Chunks in one generation of the memo; two generations are held (about 200
 #: bytes a chunk).
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 
 
 def _flags(values) -> np.ndarray:
@@ -260,8 +260,11 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     total = int(lengths.sum())
     if not total:
         return flat[:0]
+    kind = np.int32 if max(len(flat), total) < 1 << 31 else np.int64
     before = np.cumsum(lengths) - lengths
-    return flat[np.repeat(starts - before, lengths) + np.arange(total)]
+    at = np.repeat((starts - before).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 _held: dict[tuple[str, bool], ChunkEncoder] = {}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic
-from .common import crc32_bucket, sample_by_hash, written
+from .common import batched_by_bytes, crc32_bucket, sample_by_hash, written
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 60_000
 FOLDS = 3
@@ -210,7 +210,7 @@ def toxicity(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score`` and what the score comes from."""
-    spark = docs.sparkSession
+    spark = batched_by_bytes(docs).sparkSession
     zeros, ones = label_shares(labels, label, mod, held)
     rows = training_rows(docs, written(sampled_labels(labels, label, mod, held, sample_docs), "label-sample"), SAMPLE_CHARS, id_col, text_col)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
