@@ -167,14 +167,21 @@ def m15d_off_grid(spark, sf):
     return M.off_grid(metric_rows(spark, sf), "precision_rel", [i / 5 for i in range(6)])
 
 
-@query(J + "SELECT count(*) FILTER (WHERE success = 0 AND recall_gold > 0) AS recall_without_success, count(*) FILTER (WHERE mrr > 0 AND success = 0) AS mrr_without_success, count(*) FILTER (WHERE gold_size <= 0) AS empty_gold, count(*) FILTER (WHERE recall_gold > 1) AS recall_above_one, count(*) FILTER (WHERE hits > gold_size OR hits > k) AS too_many_hits FROM m")
+@query(J + (
+    "SELECT count(*) FILTER (WHERE success = 0 AND recall_gold > 0) AS recall_without_success, count(*) FILTER (WHERE mrr > 0 AND success = 0) AS mrr_without_success, "
+    "count(*) FILTER (WHERE gold_size <= 0) AS empty_gold, count(*) FILTER (WHERE recall_gold > 1) AS recall_above_one, count(*) FILTER (WHERE hits > gold_size OR hits > k) "
+    "AS too_many_hits FROM m"
+))
 def m15eg_mismatches(spark, sf):
     """Contradictions, empty gold sets and broken invariants (M09, M15e, M15g)."""
     return M.logical_mismatches(metric_rows(spark, sf))
 
 
 def _described(source: str, columns: list[str], digits: int, by: str = "") -> str:
-    one = "SELECT {by}'{c}' AS metric, count({c}) AS n, round(avg({c}), {d}) AS mean, round(stddev_samp({c}), {d}) AS sd, round(min({c}), {d}) AS min, round(quantile_cont({c}, 0.25), {d}) AS q25, round(quantile_cont({c}, 0.5), {d}) AS median, round(quantile_cont({c}, 0.75), {d}) AS q75, round(max({c}), {d}) AS max FROM {s}{g}"
+    one = (
+        "SELECT {by}'{c}' AS metric, count({c}) AS n, round(avg({c}), {d}) AS mean, round(stddev_samp({c}), {d}) AS sd, round(min({c}), {d}) AS min, round(quantile_cont({c}, "
+        "0.25), {d}) AS q25, round(quantile_cont({c}, 0.5), {d}) AS median, round(quantile_cont({c}, 0.75), {d}) AS q75, round(max({c}), {d}) AS max FROM {s}{g}"
+    )
     return " UNION ALL ".join(one.format(by=by and by + ", ", c=c, d=digits, s=source, g=by and f" GROUP BY {by}") for c in columns)
 
 
@@ -280,7 +287,11 @@ def a04_report(spark, sf):
 
 
 NUMBERED = J + ", x AS (SELECT difficulty, mode, qid, {c} AS x, row_number() OVER (PARTITION BY difficulty, mode ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY difficulty, mode) AS n FROM m WHERE {c} IS NOT NULL), d AS (SELECT *, unnest(range(50)) AS b FROM x), "
-INDEXED = NUMBERED + "g AS (SELECT d.difficulty, d.mode, d.b, y.x FROM d JOIN x y ON d.difficulty = y.difficulty AND d.mode = y.mode AND y.i = CAST('0x' || substr(md5(d.difficulty || '/' || d.mode || '|' || d.b || '|' || d.i), 1, 12) AS BIGINT) % d.n), s AS (SELECT difficulty, mode, b, {s} AS s FROM g GROUP BY ALL) SELECT difficulty, mode, round(quantile_cont(s, 0.025), 5) AS lo, round(quantile_cont(s, 0.975), 5) AS hi FROM s GROUP BY ALL"
+INDEXED = NUMBERED + (
+    "g AS (SELECT d.difficulty, d.mode, d.b, y.x FROM d JOIN x y ON d.difficulty = y.difficulty AND d.mode = y.mode AND y.i = CAST('0x' || substr(md5(d.difficulty || '/' || "
+    "d.mode || '|' || d.b || '|' || d.i), 1, 12) AS BIGINT) % d.n), s AS (SELECT difficulty, mode, b, {s} AS s FROM g GROUP BY ALL) SELECT difficulty, mode, "
+    "round(quantile_cont(s, 0.025), 5) AS lo, round(quantile_cont(s, 0.975), 5) AS hi FROM s GROUP BY ALL"
+)
 
 
 @query(INDEXED.format(c="mrr", s="avg(x)"), digits=5)
@@ -302,7 +313,11 @@ def a07_bayes_bootstrap(spark, sf):
     return A.bayes_bootstrap(metric_rows(spark, sf), "mrr", BY, draws=50)
 
 
-@query(WEIGHED.format(c="ndcg") + "c AS (SELECT *, sum(w) OVER (PARTITION BY difficulty, mode, b ORDER BY x, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY difficulty, mode, b) AS cum FROM w), s AS (SELECT difficulty, mode, b, min(x) FILTER (WHERE cum >= 0.5) AS s FROM c GROUP BY ALL) SELECT difficulty, mode, round(quantile_cont(s, 0.025), 5) AS lo, round(quantile_cont(s, 0.975), 5) AS hi FROM s GROUP BY ALL", digits=5)
+@query(WEIGHED.format(c="ndcg") + (
+    "c AS (SELECT *, sum(w) OVER (PARTITION BY difficulty, mode, b ORDER BY x, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY difficulty, "
+    "mode, b) AS cum FROM w), s AS (SELECT difficulty, mode, b, min(x) FILTER (WHERE cum >= 0.5) AS s FROM c GROUP BY ALL) SELECT difficulty, mode, round(quantile_cont(s, "
+    "0.025), 5) AS lo, round(quantile_cont(s, 0.975), 5) AS hi FROM s GROUP BY ALL"
+), digits=5)
 def a17_bayes_median(spark, sf):
     return A.bayes_bootstrap(metric_rows(spark, sf), "ndcg", BY, draws=50, statistic="median")
 
@@ -443,7 +458,12 @@ def draws(spark) -> DataFrame:
     return A.condition_draws(grid, u)
 
 
-@query(DRAWS + ", w AS (SELECT *, lead(value, 950) OVER (PARTITION BY difficulty, mode ORDER BY value, sample_id) AS hi FROM draws), x AS (SELECT *, row_number() OVER (PARTITION BY difficulty, mode ORDER BY hi - value, value) AS rn FROM w WHERE hi IS NOT NULL), p AS (SELECT difficulty, mode, avg(value) AS mean FROM draws GROUP BY ALL) SELECT x.difficulty, x.mode, round(p.mean, 6) AS mean, round(x.value, 6) AS lo, round(x.hi, 6) AS hi FROM x JOIN p ON x.difficulty = p.difficulty AND x.mode = p.mode WHERE rn = 1")
+@query(DRAWS + (
+    ", w AS (SELECT *, lead(value, 950) OVER (PARTITION BY difficulty, mode ORDER BY value, sample_id) AS hi FROM draws), x AS (SELECT *, row_number() OVER (PARTITION BY "
+    "difficulty, mode ORDER BY hi - value, value) AS rn FROM w WHERE hi IS NOT NULL), p AS (SELECT difficulty, mode, avg(value) AS mean FROM draws GROUP BY ALL) SELECT "
+    "x.difficulty, x.mode, round(p.mean, 6) AS mean, round(x.value, 6) AS lo, round(x.hi, 6) AS hi FROM x JOIN p ON x.difficulty = p.difficulty AND x.mode = p.mode WHERE rn = "
+    "1"
+))
 def a25_condition_hdi(spark, sf):
     """Means and narrowest intervals per condition (A25, A27), over md5 draws."""
     d = draws(spark)
@@ -498,7 +518,10 @@ def a26_expected_values(spark, sf):
     return A.summary_of_draws(A.expected_values(draws(spark), inflation), BY, 1000).select(*BY, "mean", "lo", "hi")
 
 
-@query(DRAWS + ", g AS (SELECT mode, sample_id, max(value) FILTER (WHERE difficulty = 'difficult') - max(value) FILTER (WHERE difficulty = 'easy') AS gap FROM draws GROUP BY ALL) SELECT a.mode, round(avg(a.gap - b.gap), 6) AS did FROM g a JOIN g b ON a.sample_id = b.sample_id AND b.mode = 'BM25' WHERE a.mode <> 'BM25' GROUP BY a.mode")
+@query(DRAWS + (
+    ", g AS (SELECT mode, sample_id, max(value) FILTER (WHERE difficulty = 'difficult') - max(value) FILTER (WHERE difficulty = 'easy') AS gap FROM draws GROUP BY ALL) SELECT "
+    "a.mode, round(avg(a.gap - b.gap), 6) AS did FROM g a JOIN g b ON a.sample_id = b.sample_id AND b.mode = 'BM25' WHERE a.mode <> 'BM25' GROUP BY a.mode"
+))
 def a30_interaction(spark, sf):
     return A.interaction(draws(spark), "BM25")
 
@@ -711,7 +734,14 @@ def r18_normalised_hits(spark, sf):
 def r19_node_metadata(spark, sf):
     """The plainer resolver of metadata."""
     n = F.col("p_size")
-    m = F.struct(F.when(n % 2 == 0, "a.pdf").otherwise("").alias("pdf_name"), F.when(n % 3 != 0, F.col("p_type")).alias("source_type"), F.when(n % 3 == 0, "5").alias("page_start"), F.when(n % 3 == 1, "6").otherwise("").alias("page"), F.lit(None).cast("string").alias("page_number"), F.lit("u").alias("source_url"))
+    m = F.struct(
+        F.when(n % 2 == 0, "a.pdf").otherwise("").alias("pdf_name"),
+        F.when(n % 3 != 0, F.col("p_type")).alias("source_type"),
+        F.when(n % 3 == 0, "5").alias("page_start"),
+        F.when(n % 3 == 1, "6").otherwise("").alias("page"),
+        F.lit(None).cast("string").alias("page_number"),
+        F.lit("u").alias("source_url"),
+    )
     return table(spark, sf, "part").select("p_partkey", R.node_metadata(m).alias("x")).select("p_partkey", "x.source_type", "x.page")
 
 
@@ -720,7 +750,15 @@ def r19_node_metadata(spark, sf):
 def u05_labels(spark, sf):
     """Labels of a list of hits."""
     n = F.col("c_custkey")
-    hits = table(spark, sf, "customer").select("c_custkey", n.alias("rank"), F.when(n % 2 == 0, "pdf").otherwise("text").alias("source_type"), F.when(n % 2 == 0, F.col("c_name")).alias("pdf_id"), F.concat("c_name", "c_name", "c_name").alias("title"), F.when(n % 3 == 0, "sec").alias("section"), F.when(n % 3 == 1, "1:02").alias("timestamp"))
+    hits = table(spark, sf, "customer").select(
+        "c_custkey",
+        n.alias("rank"),
+        F.when(n % 2 == 0, "pdf").otherwise("text").alias("source_type"),
+        F.when(n % 2 == 0, F.col("c_name")).alias("pdf_id"),
+        F.concat("c_name", "c_name", "c_name").alias("title"),
+        F.when(n % 3 == 0, "sec").alias("section"),
+        F.when(n % 3 == 1, "1:02").alias("timestamp"),
+    )
     return hits.select("c_custkey", R.hit_label().alias("label"))
 
 
@@ -737,7 +775,16 @@ def s09_pdf_files(spark, sf):
 def s06_video_info(spark, sf):
     """Fields of fetched videos; null descriptions and chapters are empty."""
     one = F.array(F.struct(F.lit(0.0).alias("start_time"), F.lit("c").alias("title"), F.lit(1.0).alias("end_time")))
-    raw = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("u").alias("url"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("description"), F.col("p_brand").alias("uploader"), F.lit("20250101").alias("upload_date"), F.lit(3).alias("duration"), F.when(F.col("p_size") % 3 == 0, one).alias("chapters"))
+    raw = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.lit("u").alias("url"),
+        F.col("p_name").alias("title"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("description"),
+        F.col("p_brand").alias("uploader"),
+        F.lit("20250101").alias("upload_date"),
+        F.lit(3).alias("duration"),
+        F.when(F.col("p_size") % 3 == 0, one).alias("chapters"),
+    )
     return S.video_info(raw).select("video_id", "title", "description", "author", F.size("chapters").alias("chapters"))
 
 
@@ -897,7 +944,10 @@ def t19_interval_collect(spark, sf):
     return C.collect_between(ch.select("u", "chapter", at(F.col("chapter")).alias("start_time"), at(F.col("chapter") + 1).alias("end_time")), ev, "u")
 
 
-@query(r"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS node, t AS text FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(#{1,6}\s)', E'\\1\x01\\2', 'g'), E'\x01') AS p FROM documents)) WHERE trim(t, E' \t\n\r\x0b\x0c') <> ''")
+@query((
+    r"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS node, t AS text FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t "
+    r"FROM (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(#{1,6}\s)', E'\\1\x01\\2', 'g'), E'\x01') AS p FROM documents)) WHERE trim(t, E' \t\n\r\x0b\x0c') <> ''"
+))
 def c01_header_nodes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(C.header_nodes(F.col("text"))).alias("node", "text"))
 
@@ -1035,7 +1085,11 @@ def s03_listed_files(spark, sf):
     return S.listed_files(table(spark, sf, "part").withColumn("name", name), "name", "p_brand").select("p_partkey", "local_name")
 
 
-@query("SELECT l_orderkey AS file, page, array_to_string(list(path ORDER BY image_no), ',') AS images FROM (SELECT l_orderkey, l_linenumber % 2 + 1 AS page, l_partkey AS image_no, CAST(l_partkey AS VARCHAR) AS path, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) WHERE n > 2 AND q * 10 >= 150 GROUP BY ALL")
+@query((
+    "SELECT l_orderkey AS file, page, array_to_string(list(path ORDER BY image_no), ',') AS images FROM (SELECT l_orderkey, l_linenumber % 2 + 1 AS page, l_partkey AS "
+    "image_no, CAST(l_partkey AS VARCHAR) AS path, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_partkey, l_suppkey, l_quantity) AS "
+    "n FROM lineitem) WHERE n > 2 AND q * 10 >= 150 GROUP BY ALL"
+))
 def s27_page_images(spark, sf):
     """Images of a page but the first two, large enough."""
     li = table(spark, sf, "lineitem")
@@ -1047,7 +1101,8 @@ def s27_page_images(spark, sf):
 f AS (SELECT conv_id, list(page ORDER BY page) AS pages FROM p GROUP BY conv_id),
 l AS (SELECT conv_id, list({'at': turn, 'rest': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])} ORDER BY turn) AS xs, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
 r AS (SELECT conv_id, turns, list_reduce(list_prepend({'at': CAST(NULL AS BIGINT), 'rest': pages, 'out': CAST([] AS BIGINT[])}, xs),
-  lambda a, x: {'at': x.at, 'rest': list_filter(a.rest, lambda y: y <> coalesce(list_max(list_filter(a.rest, lambda z: z <= x.at)), list_min(a.rest), -1)), 'out': list_append(a.out, coalesce(list_max(list_filter(a.rest, lambda z: z <= x.at)), list_min(a.rest)))}) AS st FROM l JOIN f USING (conv_id)),
+  lambda a, x: {'at': x.at, 'rest': list_filter(a.rest, lambda y: y <> coalesce(list_max(list_filter(a.rest, lambda z: z <= x.at)), list_min(a.rest), -1)),
+    'out': list_append(a.out, coalesce(list_max(list_filter(a.rest, lambda z: z <= x.at)), list_min(a.rest)))}) AS st FROM l JOIN f USING (conv_id)),
 u AS (SELECT conv_id, unnest(turns) AS section_no, unnest(st.out) AS image_page FROM r)
 SELECT u.conv_id, CAST(section_no AS INT) AS section_no, image_page, coalesce(images, '') AS images FROM u LEFT JOIN p ON u.conv_id = p.conv_id AND u.image_page = p.page""")
 def t28_dispatch_images(spark, sf):
