@@ -44,7 +44,7 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 #: Bytes of rows that go to Python at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 8 << 20
 
 
 def batched_by_bytes(df: DataFrame) -> DataFrame:

@@ -144,10 +144,12 @@ def write_token_files(
 
         def out() -> pa.RecordBatch:
             ends = np.cumsum([len(h[2]) for h in held]).tolist()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([next((h[0] for h in held if h[0] is not None), None)], pa.int64()), pa.array([held[-1][0]], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in ([h[0] for h in held], [h[1] for h in held], ends)), pa.array([b"".join(h[2] for h in held)], pa.binary()), pa.array([digest])],
-                ["shard", "block", "shard_start", "first_id", "last_id", "doc_ids", "n_tokens", "ends", "payload", "dictionary_sha256"],
-            )
+            known = [h[0] for h in held if h[0] is not None]
+            numbers = [(shard, pa.int32()), (block, pa.int32()), (start, pa.int64()), (known[0] if known else None, pa.int64()), (held[-1][0], pa.int64())]
+            lists = [[h[0] for h in held], [h[1] for h in held], ends]
+            columns = [pa.array([v], t) for v, t in numbers] + [pa.array([v], pa.list_(pa.int64())) for v in lists]
+            columns += [pa.array([b"".join(h[2] for h in held)], pa.binary()), pa.array([digest])]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FRAMES.split(", ")])
 
         for b in batches:
             for s, d, n, f in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4))):

@@ -28,11 +28,11 @@ _PUNCTUATION = b".,!?;:*&%$#|\"()-/"
 #: Words that go to the library in one line.
 _LINE = 64
 #: Bytes of text encoded together.
-BYTES_AT_ONCE = 6 << 20
+BYTES_AT_ONCE = 8 << 20
 
 #: Chunks in one generation of the memo; two generations are held (about 200
 #: bytes a chunk).
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 
 
 def _flags(values) -> np.ndarray:
