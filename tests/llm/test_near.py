@@ -222,6 +222,7 @@ def test_a_passage_twice_in_a_document(spark):
 
 def test_classes_of_exact_passages_equal_brute_force(spark):
     # Random documents out of a few pieces: any 60 words in a row that two share join them.
+    RNG.seed(4)
     pool = [words(RNG.choice([10, 25, 35, 60, 90])) for _ in range(25)]
     rows = []
     for i in range(60):
