@@ -163,6 +163,7 @@ def pack(
                             rows += _rows(pieces, task << 32 | w)
                 if rows:
                     yield batch(rows, [None] * len(rows))
+        enc.settle()
         rows, kept = [], []
         for w, pieces in open_.rest():
             rows += _rows(pieces, task << 32 | w)

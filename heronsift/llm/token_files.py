@@ -137,6 +137,7 @@ def write_token_files(
                 made = pa.array([zc.compress(flat[lo:hi].tobytes()) for lo, hi in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
                 shard = _shard_of(bounds, some.column(0).to_numpy(), some.column(2).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), some.column(1), some.column(2), pa.array(np.diff(ends)), made], ["shard", "doc_id", "h", "n", "frame"])
+        enc.settle()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

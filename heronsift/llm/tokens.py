@@ -32,7 +32,7 @@ BYTES_AT_ONCE = 8 << 20
 
 #: Chunks in one generation of the memo; two generations are held (about 200
 #: bytes a chunk).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 
 
 def _flags(values) -> np.ndarray:
@@ -114,6 +114,10 @@ class ChunkEncoder:
         self._old = self._young
         self._young = (_Places(), np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
+    def settle(self) -> None:
+        """Let the previous generation go, as at a task's end: an idle worker holds one generation."""
+        self._old = (_Places(), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
     def _learn(self, chunks: list[str]) -> None:
         """Make distinct chunks known, from the previous generation or the library."""
         old = self._old[0]
