@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -241,6 +242,39 @@ def test_classes_of_exact_passages_equal_brute_force(spark):
     assert all(may[a] == may[b] for a in cls for b in cls if cls[a] == cls[b])
 
 
+@pytest.mark.parametrize("holders", [1, 5, 40])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_changed_passage_whose_pieces_stand_elsewhere(spark, parts, holders):
+    # 900 and 901 share 90 words, one in 15 changed; other documents hold each of the unchanged pieces.
+    shared = words(90)
+    copy = [w if k % 15 else "changed" for k, w in enumerate(shared)]
+    rows = [(40 * k + j, " ".join(words(40) + shared[15 * k + 1 : 15 * k + 15] + words(40))) for k in range(6) for j in range(holders)]
+    rows += [(900, " ".join(words(20) + shared + words(20))), (901, " ".join(words(33) + copy + words(7)))]
+    got = substring_dedup.repeated_passages(docs(spark, rows).repartition(parts)).collect()
+    cls, covered = joined(got)
+    assert set(cls) == {900, 901} and cls[900] == cls[901] == 900
+    assert set(range(22, 110)) <= covered[900] and set(range(35, 123)) <= covered[901]
+
+
+@pytest.mark.parametrize("cuts", [2, 7, 1000])
+def test_holders_met_in_parts(cuts):
+    # Rows of few holders meet each other, those of many the first; however they come in batches.
+    rows = sorted((h, RNG.randrange(12), RNG.randrange(400)) for h, n in [(1, 5), (2, 16), (3, 17), (4, 60), (5, 1), (6, 2), (9, 16)] for _ in range(n))
+    names = ["hash", "doc", "pos", "last", "kind", "often", "rep", "rep_pos", "rep_last"]
+    cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[2] for r in rows], [0] * len(rows), [False] * len(rows), *([[None] * len(rows)] * 3)]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+    table = pa.table([pa.array(c, t) for c, t in zip(cols, types)], names)
+    out = [r for b in substring_dedup._match_rows(iter(table.to_batches(max_chunksize=cuts))) for r in b.to_pylist()]
+    got = {((r["hash"], r["doc"], r["pos"]), (r["rep"], r["rep_pos"])) for r in out}
+    for h in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == h]
+        of = {(a, b) for a, b in got if a[0] == h}
+        if len(own) <= substring_dedup.MEET:
+            assert of == {(a, b[1:]) for n, a in enumerate(own) for b in own[:n] if a[1] != b[1]}
+        else:
+            assert {a for a, _ in of} >= set(own[1:]) and all(a[1] != b[0] for a, b in of)
+
+
 @pytest.mark.parametrize("unit", [True, False])
 def test_neighbours(spark, unit):
     rng = np.random.default_rng(5)
