@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -275,6 +276,45 @@ def test_holders_met_in_parts(cuts):
             assert {a for a, _ in of} >= set(own[1:]) and all(a[1] != b[0] for a, b in of)
 
 
+def seed_values(rows, bits=4):
+    table = pa.table([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc", "text"])
+    return [b for b in substring_dedup._seed_rows(iter(table.to_batches()), bits)]
+
+
+def test_seeds_cross_a_shuffle_packed():
+    # One value per bucket and chunk, not one row per seed; zlib stands for the shuffle's compression.
+    rows = [(i, " ".join(words(500))) for i in range(200)]
+    want = sorted((int(h), i, int(p)) for i, t in rows for h, p in zip(*substring_dedup.seeds(substring_dedup.word_hashes(t))))
+    values = [x.as_buffer() for b in seed_values(rows) for x in b.column(2)]
+    assert len(values) <= 16 and len(want) > 20_000
+    assert sum(len(zlib.compress(x, 1)) for x in values) < 15 * len(want)
+    h, doc, pos = substring_dedup._unpacked(values, substring_dedup._OPEN)[:3]
+    assert sorted(zip(h.tolist(), doc.tolist(), pos.tolist())) == want
+
+
+def test_met_rows_do_not_hang_on_their_order():
+    # Places of a frequent couple tie in all but their ends: the others meet the first document's nearest one.
+    rows = [(5, doc, 7, last) for doc in range(12) for last in (27, 30, 33)]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        h, doc, pos, last = (np.array(x) for x in zip(*rows))
+        cols = [h.astype(np.uint64), doc, pos, last, np.full(len(h), substring_dedup.COUPLE), np.zeros(len(h), bool)]
+        batches = [b for k in range(0, len(h), 9) for b in substring_dedup._by_bucket(cols[0][k : k + 9], [x[k : k + 9] for x in cols], substring_dedup._OPEN, 4)]
+        values = [x.as_buffer() for b in substring_dedup._met_rows(iter(batches)) for x in b.column(0)]
+        got = {x[1:4] + x[6:] for x in zip(*(c.tolist() for c in substring_dedup._unpacked(values, substring_dedup._MATCH)))}
+        assert got == {(d, 7, e, 0, 7, 27) for _, d, _, e in rows if d} | {(0, 7, e, 1, 7, 27) for e in (30, 33)}
+
+
+def test_points_in_one_number_equal_triples():
+    rng = np.random.default_rng(2)
+    for top in (9, 1 << 30):  # the latter take more than 64 bits
+        pair, x, y = (rng.integers(0, n, 500) for n in (7, top, top))
+        x[-1] = y[-1] = top - 1
+        pair, x, y = (np.concatenate([c, c[:200]]) for c in (pair, x, y))
+        got = substring_dedup._points(pair, x, y)
+        assert list(zip(*(c.tolist() for c in got))) == sorted({*zip(pair.tolist(), x.tolist(), y.tolist())})
+
+
 @pytest.mark.parametrize("unit", [True, False])
 def test_neighbours(spark, unit):
     rng = np.random.default_rng(5)
