@@ -11,9 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronsift.operators import posterior as P
+
 #: Fixed value: the 97.5 % quantile of the standard normal distribution.
 Z = 1.959963984540054
 
@@ -297,14 +301,14 @@ def trade_off(df: DataFrame) -> DataFrame:
     return p.join(r, ["difficulty", "mode"])
 
 
-def design_matrix(df: DataFrame, modes: list[str], base_difficulty: str) -> DataFrame:
-    """Treatment-coded mode * difficulty: intercept, dummies and their products."""
+def design_matrix(df: DataFrame, modes: list[str], base_difficulty: str, *kept: str) -> DataFrame:
+    """Treatment-coded mode * difficulty: intercept, dummies and their products, and columns ``kept`` as they are."""
     d = (F.col("difficulty") != base_difficulty).cast("int")
     cols = {"intercept": F.lit(1), "x_difficulty": d}
     for k, m in enumerate(modes[1:], 1):
         cols[f"x_mode{k}"] = (F.col("mode") == m).cast("int")
         cols[f"x_inter{k}"] = (F.col("mode") == m).cast("int") * d
-    return df.select("qid", "difficulty", "mode", *(c.alias(n) for n, c in cols.items()))
+    return df.select("qid", "difficulty", "mode", *kept, *(c.alias(n) for n, c in cols.items()))
 
 
 def condition_draws(conditions: DataFrame, draws: DataFrame) -> DataFrame:
@@ -374,19 +378,8 @@ def evidence(p: Column) -> Column:
     return F.when(p >= 0.95, "strong A").when(p >= 0.80, "moderate A").when(p > 0.20, "inconclusive").when(p > 0.05, "moderate B").otherwise("strong B")
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the Gamma function: Stirling's series after a shift by eight."""
-    shift = x * (x + 7)
-    # x (x+1) .. (x+7) as products of pairs that all grow by the same square.
-    product = shift * (shift + 6) * (shift + 10) * (shift + 12)
-    y = x + 8
-    r = 1 / y
-    r2 = r * r
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680))) - np.log(product)
-
-
 def mixed_model(df: DataFrame, label: str, features: list[str], group: str, family: str = "bernoulli", chains: int = 4, tune: int = 2000, draws: int = 2000, seed: int = 42, clip: float = 1e-4) -> DataFrame:
-    """Mixed model with a random intercept by adaptive Metropolis, one chain per task: ``chain, draw, parameter, value``.
+    """Posterior draws of a mixed model with a random intercept: ``chain, draw, parameter, value``.
 
     ``bernoulli``: success with a logistic mean.  ``beta``: labels inside (0, 1),
     clipped, with precision ~ Gamma(2, rate 0.1).  ``zoib``: labels inside are beta with
@@ -394,84 +387,66 @@ def mixed_model(df: DataFrame, label: str, features: list[str], group: str, fami
     three standard normal logits.  Effects are standard normal, the intercepts'
     deviation is half-normal.
 
-    Rows reach the chains as a few sums per distinct (group, features).  Given the
-    other parameters the groups' intercepts are independent, so a step proposes
-    all of them at once and accepts each by its own sums.
+    The intercepts are integrated out, group by group.  Groups stay on the
+    executors, those that are alike once with their number; only sums over groups
+    come back, for a round of draws at a time.  Features should have few distinct
+    rows, as a design's have.
     """
     spark = df.sparkSession
     y = F.col(label).cast("double")
     told = df.filter(y.isNotNull())
+    if family == "zoib":  # read twice
+        told = told.select(group, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
     inside = told.filter((y > 0) & (y < 1)) if family != "bernoulli" else told
     held = F.least(F.greatest(y, F.lit(clip)), F.lit(1 - clip)) if family == "beta" else y
-    sums = [F.sum(y).alias("k")] if family == "bernoulli" else [F.sum(F.log(held)).alias("k"), F.sum(F.log1p(-held)).alias("k1")]
-    data = inside.groupBy(group, *features).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums).toPandas()  # a row per query and condition
-    shares = told.agg(F.count_if(y <= 0), F.count_if(y >= 1), F.count_if((y > 0) & (y < 1))).first()
-    x, n, k = data[features].to_numpy(float), data["n"].to_numpy(float), data["k"].to_numpy(float)
-    k1 = data["k1"].to_numpy(float) if family != "bernoulli" else None
-    g, names = pd.factorize(data[group])
-    p, q = len(features), len(names)
-    extra = {"bernoulli": [], "beta": ["log_phi"], "zoib": ["log_phi", "logit_zero", "logit_one", "logit_middle"]}[family]
-    counts = np.array([float(c or 0) for c in shares])
-
-    def likelihood(eta: np.ndarray, phi: float) -> np.ndarray:
-        if family == "bernoulli":
-            return k * eta - n * np.logaddexp(0, eta)
-        a = np.maximum(phi / (1 + np.exp(-eta)), 1e-12)
-        b = np.maximum(phi - a, 1e-12)
-        return n * (math.lgamma(phi) - lgamma(a) - lgamma(b)) + (a - 1) * k + (b - 1) * k1
-
-    def prior(name: str, v: float) -> float:
-        if name == "log_sd":
-            return v - 0.5 * math.exp(2 * v)
-        if name == "log_phi":
-            return v - 2 * math.exp(v) if family == "zoib" else 2 * v - 0.1 * math.exp(v)
-        return -0.5 * v * v
-
-    def run(batches):
-        for pdf in batches:
-            for chain in pdf["chain"]:
-                rng = np.random.default_rng(seed + int(chain))
-                known = [*features, "log_sd", *extra]
-                fixed, u = np.zeros(len(known)), np.zeros(q)
-                at_phi = p + 1
-                phi = lambda v: math.exp(v[at_phi]) if extra else 1.0
-                scale, scale_u = np.full(len(known), 0.3), np.full(q, 0.3)
-                eta = x @ fixed[:p] + math.exp(fixed[p]) * u[g]
-                now, rows = likelihood(eta, phi(fixed)), []
-                mass = lambda v: float(counts @ (v - np.logaddexp.reduce(v)))
-                for step in range(tune + draws):
-                    rate = 1 / math.sqrt(1 + step / 20)
-                    for j, name in enumerate(known):
-                        new = fixed.copy()
-                        new[j] += scale[j] * rng.standard_normal()
-                        moved, value = eta, now
-                        if j <= at_phi:
-                            moved = eta + ((new[j] - fixed[j]) * x[:, j] if j < p else (math.exp(new[p]) - math.exp(fixed[p])) * u[g] if j == p else 0.0)
-                            value = likelihood(moved, phi(new))
-                            gain = value.sum() - now.sum()
-                        else:
-                            gain = mass(new[at_phi + 1 :]) - mass(fixed[at_phi + 1 :])
-                        ok = math.log(rng.random()) < gain + prior(name, new[j]) - prior(name, fixed[j])
-                        if ok:
-                            fixed, eta, now = new, moved, value
-                        if step < tune:
-                            scale[j] *= math.exp((0.6 if ok else -0.4) * rate)
-                    sd = math.exp(fixed[p])
-                    new_u = u + scale_u * rng.standard_normal(q)
-                    value = likelihood(eta + sd * (new_u - u)[g], phi(fixed))
-                    gain = np.bincount(g, value - now, minlength=q) - 0.5 * (new_u * new_u - u * u)
-                    yes = np.log(rng.random(q)) < gain
-                    u = np.where(yes, new_u, u)
-                    eta = x @ fixed[:p] + sd * u[g]
-                    now = likelihood(eta, phi(fixed))
-                    if step < tune:
-                        scale_u *= np.exp(np.where(yes, 0.6, -0.4) * rate)
-                    if step >= tune:
-                        rows += [(int(chain), step - tune, f, float(v)) for f, v in zip(known, fixed)]
-                yield pd.DataFrame(rows, columns=["chain", "draw", "parameter", "value"])
-
-    ids = spark.range(chains).withColumnRenamed("id", "chain").repartition(chains, "chain")
-    return ids.mapInPandas(run, "chain long, draw long, parameter string, value double")
+    sums = (F.sum(y), F.lit(0.0)) if family == "bernoulli" else (F.sum(F.log(held)), F.sum(F.log1p(-held)))
+    cells = inside.groupBy(group, *features).agg(F.count(F.lit(1)).cast("double").alias("n"), sums[0].alias("k"), sums[1].alias("k1"))
+    p, phis = len(features), family != "bernoulli"
+    stored = P.blocks(cells, group, features).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def wide(v: np.ndarray) -> np.ndarray:
+        """What a deviation stretches effects by: divided by it, they hardly hang on the deviation."""
+        return np.sqrt(1 + 0.346 * v[..., p, None] ** 2)
+
+    def density(nodes: int) -> P.Evaluate:
+        """Of effects over ``wide``, the deviation and the log precision, changes of variables counted."""
+
+        def at(v: np.ndarray) -> np.ndarray:
+            by = wide(v)
+            v = np.hstack([v[:, :p] * by, v[:, p:]])
+            prior = p * np.log(by[:, 0]) - 0.5 * (v[:, : p + 1] ** 2).sum(1)
+            if phis:
+                prior += v[:, p + 1] - 2 * np.exp(v[:, p + 1]) if family == "zoib" else 2 * v[:, p + 1] - 0.1 * np.exp(v[:, p + 1])
+            return prior + P.summed(stored, v, family, nodes)
+
+        return at
+
+    try:
+        best, nodes = np.array([0.0] * p + [0.5] + [0.0] * phis), 8
+        while True:
+            best, cov = P.peak(density(nodes), best)
+            reach = 4 * np.linalg.cholesky(cov).T
+            around = np.concatenate([best + reach, best - reach])
+            if np.abs(density(nodes)(around) - density(2 * nodes)(around)).max() < P.CLOSE:
+                break
+            nodes *= 2
+            if nodes > 8192:
+                raise ValueError("a group's rows tell more of its intercept than 8192 nodes can follow")
+        drawn = P.sampled(density(nodes), best, cov, chains, tune, draws, seed, folded=p)
+        drawn[:, :, :p] *= wide(drawn)
+        drawn[:, :, p] = np.log(drawn[:, :, p])
+        known = [*features, "log_sd", *["log_phi"] * phis]
+        if family == "zoib":
+            counts = np.array([float(c) for c in told.agg(F.count_if(y <= 0), F.count_if(y >= 1), F.count_if((y > 0) & (y < 1))).first()])
+            shares = lambda v: v @ counts - counts.sum() * np.logaddexp.reduce(v, axis=1) - 0.5 * (v * v).sum(1)
+            drawn = np.concatenate([drawn, P.sampled(shares, *P.peak(shares, np.zeros(3)), chains, tune, draws, seed + 1)], axis=2)
+            known += ["logit_zero", "logit_one", "logit_middle"]
+    finally:
+        stored.unpersist()
+        if family == "zoib":
+            told.unpersist()
+    at = np.indices(drawn.shape).reshape(3, -1)
+    return spark.createDataFrame(pa.table({"chain": at[0], "draw": at[1], "parameter": np.array(known)[at[2]], "value": drawn.ravel()}))
 
 
 def inflation_of(draws: DataFrame) -> DataFrame:

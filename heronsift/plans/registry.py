@@ -413,9 +413,7 @@ EFFECTS = ["intercept", "x_difficulty", *(f"x_{kind}{k}" for kind in ("mode", "i
 
 def modelled(spark, sf, label: str, family: str) -> DataFrame:
     rows = metric_rows(spark, sf)
-    x = A.design_matrix(rows, MODES, "easy").select("qid", "difficulty", "mode", *EFFECTS).distinct()
-    y = rows.select("qid", "difficulty", "mode", label)
-    return A.mixed_model(x.join(y, ["qid", "difficulty", "mode"]), label, EFFECTS, "qid", family, chains=4, tune=2000, draws=2000)
+    return A.mixed_model(A.design_matrix(rows, MODES, "easy", label), label, EFFECTS, "qid", family, chains=4, tune=2000, draws=2000)
 
 
 @query()
