@@ -97,3 +97,21 @@ def test_likelihood_equals_a_plain_one(spark, family):
         for g in {r[0] for r in rows}:
             plain += math.log(np.prod([density(b0 + b1 * x + s * u, y, math.exp(phi[0]) if phi else 0) for i, _, x, y in rows if i == g], axis=0) @ mass)
         assert found == pytest.approx(plain, abs=1e-6)
+
+
+def planted(spark, groups: int, shares: list[float]):
+    """Two labels a group, beta with an effect of x and an intercept of the group's, some of them 0 or 1."""
+    rng = np.random.default_rng(11)
+    q, x = np.repeat(np.arange(groups), 2), np.tile([0.0, 1.0], groups)
+    mu = 1 / (1 + np.exp(-(-0.4 + 1.1 * x + 0.5 * rng.normal(size=groups)[q])))
+    kind = rng.choice(3, size=len(q), p=shares)
+    y = np.where(kind == 2, np.clip(rng.beta(8 * mu, 8 * (1 - mu)), 1e-4, 1 - 1e-4), kind)
+    rows = [(a, 1.0, b, c) for a, b, c in zip(q.tolist(), x.tolist(), y.tolist())]
+    return spark.createDataFrame(rows, "q long, one double, x double, y double"), [float((kind == i).mean()) for i in range(3)]
+
+
+def test_beta_model_of_many_groups(spark, no_rows_on_driver):
+    got = drawn(A.mixed_model(planted(spark, 5000, [0.0, 0.0, 1.0])[0], "y", ["one", "x"], "q", "beta"))
+    assert got["x"].shape == (4, 2000) and all(agree(v) for v in got.values())
+    means = [got["one"].mean(), got["x"].mean(), np.exp(got["log_sd"]).mean(), np.exp(got["log_phi"]).mean()]
+    assert means == [pytest.approx(-0.4, abs=0.06), pytest.approx(1.1, abs=0.06), pytest.approx(0.5, abs=0.05), pytest.approx(8, rel=0.08)]
