@@ -115,3 +115,14 @@ def test_beta_model_of_many_groups(spark, no_rows_on_driver):
     assert got["x"].shape == (4, 2000) and all(agree(v) for v in got.values())
     means = [got["one"].mean(), got["x"].mean(), np.exp(got["log_sd"]).mean(), np.exp(got["log_phi"]).mean()]
     assert means == [pytest.approx(-0.4, abs=0.06), pytest.approx(1.1, abs=0.06), pytest.approx(0.5, abs=0.05), pytest.approx(8, rel=0.08)]
+
+
+def test_zoib_model_of_many_groups(spark, no_rows_on_driver):
+    df, shares = planted(spark, 5000, [0.2, 0.1, 0.7])
+    d = A.mixed_model(df, "y", ["one", "x"], "q", "zoib")
+    got = drawn(d)
+    assert got["x"].shape == (4, 2000) and all(agree(v) for v in got.values())
+    means = [got["one"].mean(), got["x"].mean(), np.exp(got["log_sd"]).mean(), np.exp(got["log_phi"]).mean()]
+    assert means == [pytest.approx(-0.4, abs=0.08), pytest.approx(1.1, abs=0.08), pytest.approx(0.5, abs=0.06), pytest.approx(8, rel=0.12)]
+    p = A.inflation_of(d).agg(F.avg("p_zero"), F.avg("p_one"), F.avg("p_middle")).first()
+    assert list(p) == [pytest.approx(s, abs=0.002) for s in shares]
