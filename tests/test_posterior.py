@@ -126,3 +126,18 @@ def test_zoib_model_of_many_groups(spark, no_rows_on_driver):
     assert means == [pytest.approx(-0.4, abs=0.08), pytest.approx(1.1, abs=0.08), pytest.approx(0.5, abs=0.06), pytest.approx(8, rel=0.12)]
     p = A.inflation_of(d).agg(F.avg("p_zero"), F.avg("p_one"), F.avg("p_middle")).first()
     assert list(p) == [pytest.approx(s, abs=0.002) for s in shares]
+
+
+def test_fitted_effects_of_many_queries(spark, monkeypatch, no_rows_on_driver):
+    from heronsift.plans import registry
+
+    q = spark.range(40_000).withColumnRenamed("id", "qid").withColumn("difficulty", F.when(F.col("qid") % 2 == 0, "easy").otherwise("difficult"))
+    rows = q.select("*", F.posexplode(F.array(*map(F.lit, registry.MODES))).alias("i", "mode"))
+    # Of ten queries of a difficulty, 4 + i succeed in mode i, and one more where they are easy; shifts keep queries apart.
+    rows = rows.withColumn("success", (F.pmod(F.xxhash64("qid", "i"), F.lit(10)) < 4 + F.col("i") + (F.col("difficulty") == "easy").cast("int")).cast("double"))
+    monkeypatch.setattr(registry, "metric_rows", lambda *_: rows)
+    got = {r.effect: r for r in registry.QUERIES["a29_fitted_effects"](spark, "").collect()}
+    assert set(got) == {"easy - difficult", *(f"{m} - BM25" for m in registry.MODES[1:])}
+    wanted = {"easy - difficult": 0.1} | {f"{m} - BM25": i / 10 for i, m in enumerate(registry.MODES[1:], 1)}
+    for effect, r in got.items():
+        assert r.mean == pytest.approx(wanted[effect], abs=0.015) and r.lo < r.mean < r.hi < r.lo + 0.03 and r.p_greater == 1
