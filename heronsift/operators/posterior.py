@@ -1,7 +1,8 @@
-"""Posteriors of mixed models: random intercepts integrated out over stored blocks, draws by independent proposals."""
+"""Posteriors of mixed models: random intercepts integrated out over stored or condensed blocks, draws by independent proposals."""
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import pickle
@@ -9,15 +10,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Values of a block's likelihood table worked on at once.
 WORK = 1 << 17
 #: Degrees of freedom of the proposals: their tails outweigh the posterior's.
 TAILS = 5.0
-#: Nodes are doubled until no sum of log likelihoods changes by more.
-CLOSE = 1e-4
+#: Nodes are doubled until no sum of log likelihoods changes by more; condensed groups may change their differences by so much.
+CLOSE, SAME = 1e-4, 1e-3
+#: Moments that condensed groups of a class keep at most, one number tried after the other; their least and greatest degree.
+TERMS, DEGREES = (210, 500), (6, 24)
+#: Rows of condensed groups at most, blocks joined on the driver at most.
+KEPT, JOINED = 20_000, 32
+#: Values of condensed groups' likelihood tables worked out on the driver, or by a task at least.
+FEW = 1 << 23
 
 Evaluate = Callable[[np.ndarray], np.ndarray]
 
@@ -108,6 +115,113 @@ def summed(stored: DataFrame, at: np.ndarray, family: str, nodes: int) -> np.nda
     return sum((np.frombuffer(r.total) for r in stored.mapInArrow(run, "total binary").collect()), np.zeros(len(at)))
 
 
+def joined(blocks: list[list]) -> list:
+    """One block: parts joined where the features and the numbers of rows of all cells are alike."""
+    held: dict[tuple, list] = {}
+    for x, sums, weight, k, k1 in itertools.chain(*blocks):
+        rows, at = np.unique(sums[:, : len(x)], axis=0, return_inverse=True)
+        for i, row in enumerate(rows):
+            mine = at.ravel() == i
+            held.setdefault((x.shape, x.tobytes(), row.tobytes()), []).append((x, sums[mine], weight[mine], k * (i == 0), k1 * (i == 0)))
+    return [(p[0][0], np.vstack([b[1] for b in p]), np.concatenate([b[2] for b in p]), sum(b[3] for b in p), sum(b[4] for b in p)) for p in held.values()]
+
+
+def powers(sums: np.ndarray, terms: int) -> np.ndarray | None:
+    """Products of Chebyshev polynomials of the columns that vary, a row per product, up to the greatest total degree with so many; None if that is low."""
+    lo, hi = sums.min(0), sums.max(0)
+    vary = hi > lo
+    p = int(vary.sum())
+    degree = max((d for d in range(DEGREES[1] + 1) if math.comb(p + d, d) <= terms), default=0)
+    if degree < DEGREES[0]:
+        return None
+    z = (2 * sums[:, vary] - lo[vary] - hi[vary]) / (hi - lo)[vary]
+    one = np.cos(np.arange(degree + 1)[:, None, None] * np.arccos(np.clip(z, -1, 1)))
+    out, left = np.ones((1, len(z))), np.array([degree])
+    for j in range(p):
+        out = np.concatenate([out[left >= d] * one[d, :, j] for d in range(degree + 1)])
+        left = np.concatenate([left[left >= d] - d for d in range(degree + 1)])
+    return out
+
+
+def chosen(values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns, as many as there are rows at most, and weights with the same weighted sum of columns."""
+    n, spread = len(values), (values * np.abs(weight)) @ values.T
+    root = np.linalg.cholesky(spread + 1e-13 * np.trace(spread) / n * np.eye(n))
+    flat = np.linalg.solve(root, values)
+    size = np.einsum("ij,ij->j", flat, flat)
+    # Columns far out and columns by chance, of these each time the one that is farthest from those before.
+    far, some = np.argsort(-size, kind="stable")[: 2 * n], np.random.default_rng(n).permutation(len(weight))[: 2 * n]
+    tried = np.union1d(far, some)
+    left, size, picked = flat[:, tried], size[tried], []
+    for _ in range(n):
+        j = int(size.argmax())
+        if size[j] < 1e-10 * n / np.abs(weight).sum():
+            break
+        q = left[:, j] / math.sqrt(left[:, j] @ left[:, j])
+        left = left - np.outer(q, c := q @ left)
+        size = np.maximum(size - c * c, 0)
+        size[j] = 0
+        picked.append(tried[j])
+    at = np.sort(picked)
+    return at, np.linalg.lstsq(flat[:, at], flat @ weight, rcond=1e-12)[0]
+
+
+def condensed_block(block: list, terms: int) -> list:
+    """A block whose classes of over twice ``terms`` groups have fewer, with the same moments of their sums."""
+    out = []
+    for x, sums, weight, k, k1 in block:
+        values = powers(sums, terms)
+        if values is not None and len(weight) > 2 * len(values):
+            at, weight = chosen(values, weight)
+            sums = sums[at]
+        out.append((x, sums, weight, k, k1))
+    return out
+
+
+def condensed(stored: DataFrame, terms: int) -> list | None:
+    """All blocks as one of few groups, condensed within tasks first; None where they stay too many."""
+
+    def run(batches):
+        held: list | None = []
+        for batch in batches:
+            for block in batch["block"]:
+                if held is not None and block.is_valid:
+                    held = condensed_block(joined([held, pickle.loads(block.as_py())]), terms)
+                if not block.is_valid or held is not None and sum(len(b[2]) for b in held) > KEPT:
+                    held = None
+        if held != []:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([held and pickle.dumps(held)], pa.binary())})
+
+    tasks, fewer = 2 * stored.sparkSession.sparkContext.defaultParallelism, stored.mapInArrow(run, "block binary")
+    while tasks > JOINED:
+        tasks = -(-tasks // JOINED)
+        fewer = fewer.repartition(tasks).mapInArrow(run, "block binary")
+    found = [r.block for r in fewer.collect()]
+    if None in found:
+        return None
+    whole = condensed_block(joined([pickle.loads(b) for b in found]), terms)
+    return whole if sum(len(b[2]) for b in whole) <= KEPT else None
+
+
+def dealt(spark: SparkSession, block: list, at: np.ndarray, family: str, nodes: int) -> np.ndarray:
+    """Log likelihood of one block at rows of parameters; the rows are dealt to tasks where they are many."""
+    u, w = rule(nodes)
+    tasks = min(spark.sparkContext.defaultParallelism, len(at), len(at) * nodes * sum(len(b[2]) for b in block) // FEW)
+    if tasks < 2:
+        return likelihood(block, at, family, u, w) if block else np.zeros(len(at))
+
+    def run(batches):
+        for batch in batches:
+            for i in batch["id"].to_pylist():
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i]), "total": pa.array([likelihood(block, at[i::tasks], family, u, w).tobytes()], pa.binary())})
+
+    out = np.zeros(len(at))
+    if block:
+        for r in spark.range(0, tasks, 1, tasks).mapInArrow(run, "i long, total binary").collect():
+            out[r.i :: tasks] = np.frombuffer(r.total)
+    return out
+
+
 def peak(evaluate: Evaluate, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a log density is greatest, by Newton's steps on differences, and the covariance there."""
     p = len(at)

@@ -388,7 +388,9 @@ def mixed_model(df: DataFrame, label: str, features: list[str], group: str, fami
     deviation is half-normal.
 
     The intercepts are integrated out, group by group.  Groups stay on the
-    executors, those that are alike once with their number; only sums over groups
+    executors, those that are alike once with their number.  Fewer groups with
+    weights, whose sums have the same moments, stand for all of them where the log
+    likelihood of all around its peak is the same; else only sums over all groups
     come back, for a round of draws at a time.  Features should have few distinct
     rows, as a design's have.
     """
@@ -408,8 +410,8 @@ def mixed_model(df: DataFrame, label: str, features: list[str], group: str, fami
         """What a deviation stretches effects by: divided by it, they hardly hang on the deviation."""
         return np.sqrt(1 + 0.346 * v[..., p, None] ** 2)
 
-    def density(nodes: int) -> P.Evaluate:
-        """Of effects over ``wide``, the deviation and the log precision, changes of variables counted."""
+    def density(nodes: int, few: list | None) -> P.Evaluate:
+        """Of effects over ``wide``, the deviation and the log precision, changes of variables counted; of ``few`` groups or all."""
 
         def at(v: np.ndarray) -> np.ndarray:
             by = wide(v)
@@ -417,22 +419,38 @@ def mixed_model(df: DataFrame, label: str, features: list[str], group: str, fami
             prior = p * np.log(by[:, 0]) - 0.5 * (v[:, : p + 1] ** 2).sum(1)
             if phis:
                 prior += v[:, p + 1] - 2 * np.exp(v[:, p + 1]) if family == "zoib" else 2 * v[:, p + 1] - 0.1 * np.exp(v[:, p + 1])
-            return prior + P.summed(stored, v, family, nodes)
+            return prior + (P.summed(stored, v, family, nodes) if few is None else P.dealt(spark, few, v, family, nodes))
 
         return at
 
-    try:
+    def found(few: list | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+        """The peak and the covariance there, nodes enough for it, points around it and their densities."""
         best, nodes = np.array([0.0] * p + [0.5] + [0.0] * phis), 8
         while True:
-            best, cov = P.peak(density(nodes), best)
+            best, cov = P.peak(density(nodes, few), best)
             reach = 4 * np.linalg.cholesky(cov).T
-            around = np.concatenate([best + reach, best - reach])
-            if np.abs(density(nodes)(around) - density(2 * nodes)(around)).max() < P.CLOSE:
-                break
+            around = np.concatenate([best[None], best + reach, best - reach])
+            if np.abs((near := density(nodes, few)(around)) - density(2 * nodes, few)(around)).max() < P.CLOSE:
+                return best, cov, nodes, around, near
             nodes *= 2
             if nodes > 8192:
                 raise ValueError("a group's rows tell more of its intercept than 8192 nodes can follow")
-        drawn = P.sampled(density(nodes), best, cov, chains, tune, draws, seed, folded=p)
+
+    try:
+        for terms in (*P.TERMS, 0):
+            few = P.condensed(stored, terms) if terms else None
+            if terms and few is None:
+                continue
+            try:
+                best, cov, nodes, around, near = found(few)
+            except (np.linalg.LinAlgError, ValueError):
+                if few is None:
+                    raise
+                continue
+            # Condensed groups serve where all groups, in full, have the same differences.
+            if few is None or np.ptp(density(nodes, None)(around) - near) < P.SAME:
+                break
+        drawn = P.sampled(density(nodes, few), best, cov, chains, tune, draws, seed, folded=p)
         drawn[:, :, :p] *= wide(drawn)
         drawn[:, :, p] = np.log(drawn[:, :, p])
         known = [*features, "log_sd", *["log_phi"] * phis]

@@ -117,6 +117,38 @@ def test_beta_model_of_many_groups(spark, no_rows_on_driver):
     assert means == [pytest.approx(-0.4, abs=0.06), pytest.approx(1.1, abs=0.06), pytest.approx(0.5, abs=0.05), pytest.approx(8, rel=0.08)]
 
 
+def evaluated_in_full(monkeypatch):
+    """Points at which all groups are evaluated, counted."""
+    points, summed = [], P.summed
+    monkeypatch.setattr(P, "summed", lambda stored, at, *rest: points.append(len(at)) or summed(stored, at, *rest))
+    return points
+
+
+def test_condensed_groups_of_the_beta_model_have_the_same_posterior(spark, monkeypatch, no_rows_on_driver):
+    df, points = planted(spark, 3000, [0.0, 0.1, 0.9])[0], evaluated_in_full(monkeypatch)
+    got = drawn(A.mixed_model(df, "y", ["one", "x"], "q", "beta"))
+    assert 0 < sum(points) < 100  # 16,000 in the samples alone, where every group is evaluated for every one
+    monkeypatch.setattr(P, "TERMS", (6,))
+    monkeypatch.setattr(P, "DEGREES", (2, 2))  # means and variances say too little, so all groups are used
+    whole = drawn(A.mixed_model(df, "y", ["one", "x"], "q", "beta"))
+    assert sum(points) > 16_000
+    for name, values in whole.items():
+        assert abs(got[name].mean() - values.mean()) < 0.02 * values.std() and got[name].std() == pytest.approx(values.std(), rel=0.02)
+
+
+def test_condensed_blocks_keep_moments():
+    rng = np.random.default_rng(4)
+    block = [(np.array([[1.0, 0.0], [1.0, 1.0]]), np.hstack([np.ones((3000, 2)), rng.normal(size=(3000, 2)) ** 3]), rng.integers(1, 4, 3000).astype(float), 5.0, 7.0)]
+    (x, sums, weight, *rest), = P.condensed_block(P.joined([block, block]), 28)
+    assert len(weight) == 28 and (x == block[0][0]).all() and rest == [10.0, 14.0]
+    for i in range(7):
+        for j in range(7 - i):
+            moment = lambda s, w: w @ (s[:, 2] ** i * s[:, 3] ** j)
+            assert moment(sums, weight) == pytest.approx(2 * moment(block[0][1], block[0][2]), rel=1e-6, abs=1e-6 * 6000 * 60 ** ((i + j) / 2))
+    many = [(np.eye(12), np.hstack([np.ones((3000, 12)), rng.normal(size=(3000, 12))]), np.ones(3000), 0.0, 0.0)]
+    assert len(P.condensed_block(many, 500)[0][2]) == 3000  # too many moments: left as they are
+
+
 def test_zoib_model_of_many_groups(spark, no_rows_on_driver):
     df, shares = planted(spark, 5000, [0.2, 0.1, 0.7])
     d = A.mixed_model(df, "y", ["one", "x"], "q", "zoib")
