@@ -152,14 +152,13 @@ def chosen(values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     # Columns far out and columns by chance, of these each time the one that is farthest from those before.
     far, some = np.argsort(-size, kind="stable")[: 2 * n], np.random.default_rng(n).permutation(len(weight))[: 2 * n]
     tried = np.union1d(far, some)
-    left, size, picked = flat[:, tried], size[tried], []
-    for _ in range(n):
+    left, size, picked, rows = flat[:, tried], size[tried], [], np.empty((n, len(tried)))
+    for i in range(n):
         j = int(size.argmax())
         if size[j] < 1e-10 * n / np.abs(weight).sum():
             break
-        q = left[:, j] / math.sqrt(left[:, j] @ left[:, j])
-        left = left - np.outer(q, c := q @ left)
-        size = np.maximum(size - c * c, 0)
+        rows[i] = (left[:, j] @ left - rows[:i, j] @ rows[:i]) / math.sqrt(size[j])
+        size = np.maximum(size - rows[i] ** 2, 0)
         size[j] = 0
         picked.append(tried[j])
     at = np.sort(picked)

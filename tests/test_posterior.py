@@ -124,6 +124,12 @@ def evaluated_in_full(monkeypatch):
     return points
 
 
+def test_condensed_groups_of_the_zoib_model_serve_for_all_draws(spark, monkeypatch, no_rows_on_driver):
+    df, points = planted(spark, 2000, [0.2, 0.1, 0.7])[0], evaluated_in_full(monkeypatch)
+    got = drawn(A.mixed_model(df, "y", ["one", "x"], "q", "zoib"))
+    assert got["x"].shape == (4, 2000) and 0 < sum(points) < 100  # over 16,000 where every group is evaluated for every draw
+
+
 def test_condensed_groups_of_the_beta_model_have_the_same_posterior(spark, monkeypatch, no_rows_on_driver):
     df, points = planted(spark, 3000, [0.0, 0.1, 0.9])[0], evaluated_in_full(monkeypatch)
     got = drawn(A.mixed_model(df, "y", ["one", "x"], "q", "beta"))
