@@ -130,6 +130,18 @@ def test_condensed_groups_of_the_zoib_model_serve_for_all_draws(spark, monkeypat
     assert got["x"].shape == (4, 2000) and 0 < sum(points) < 100  # over 16,000 where every group is evaluated for every draw
 
 
+def test_main_effects_shuffle_the_draws_once_for_their_means(spark):
+    """A row per sample in one exchange, draws of an effect in another; the joins and repeated pivots took 10 and more."""
+    rows = [(d, m, i, float(i % 7) * k + (d == "easy")) for i in range(400) for d in ("easy", "difficult") for k, m in enumerate("abc", 1)]
+    out = A.main_effects(spark.createDataFrame(rows, "difficulty string, mode string, sample_id long, value double"), 400, "a")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+    got = {r.effect: (r.mean, r.lo, r.hi, r.p_greater) for r in out.collect()}
+    mean = sum(i % 7 for i in range(400)) / 400
+    assert set(got) == {"easy - difficult", "b - a", "c - a"} and got["easy - difficult"] == (1.0, 1.0, 1.0, 1.0)
+    for e, k in (("b - a", 1), ("c - a", 2)):
+        assert got[e] == (pytest.approx(k * mean), 0.0, 6.0 * k, pytest.approx(sum(i % 7 > 0 for i in range(400)) / 400))
+
+
 def test_condensed_groups_of_the_beta_model_have_the_same_posterior(spark, monkeypatch, no_rows_on_driver):
     df, points = planted(spark, 3000, [0.0, 0.1, 0.9])[0], evaluated_in_full(monkeypatch)
     got = drawn(A.mixed_model(df, "y", ["one", "x"], "q", "beta"))
